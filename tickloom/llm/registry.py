@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tickloom.llm import exact_dedup, html_text, quality, secrets, url_filter
+from tickloom.llm import exact_dedup, html_text, packing, quality, secrets, token_counts, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op5_packing": packing.op5_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_html_text": html_text.op8_html_text,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": quality.op10_quality,
 }
 ORACLES = {**url_filter.ORACLE, **secrets.ORACLE, **exact_dedup.ORACLE, **html_text.ORACLE, **quality.ORACLE}
