@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tickloom.llm import exact_dedup, html_text, packing, quality, secrets, token_counts, url_filter
+from tickloom.llm import exact_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_filter
 
 QUERIES = {
     "op3_url_filter": url_filter.op3_url_filter,
+    "op4_simhash": simhash.op4_simhash,
     "op5_packing": packing.op5_packing,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
