@@ -60,8 +60,15 @@ def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be in the filter; never false for one that is."""
     if not len(hashes):
         return np.zeros(0, dtype=bool)
-    block, want = _places(hashes, len(bits))
-    return ((bits[block] & want) == want).all(axis=1)
+    keys = hashes.astype(np.int64).view(np.uint64)
+    block = ((keys >> np.uint64(32)) % np.uint64(len(bits))).astype(np.int64)
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    out = np.zeros(len(hashes), dtype=bool)
+    left = np.arange(len(hashes))
+    for i in range(WORDS):  # most keys that are not there go at the first word
+        left = left[bits[block[left], i] >> ((low[left] * SALTS[i]) >> np.uint32(27)) & np.uint32(1) > 0]
+    out[left] = True
+    return out
 
 
 def probe(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
