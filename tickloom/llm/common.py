@@ -29,14 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared scratch folder and read it back.
 
     Like :func:`cut`, but compressed and columnar, so later steps read only the
     columns they use.
     """
     path = f"{scratch_root(df.sparkSession).rstrip('/')}/tickloom-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

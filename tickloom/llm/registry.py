@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontaminate, exact_dedup, html_text, packing, quality, secrets, simhash, token_counts, url_filter
+from tickloom.llm import decontaminate, exact_dedup, html_text, packing, quality, secrets, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_url_filter": url_filter.op3_url_filter,
     "op4_simhash": simhash.op4_simhash,
