@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tickloom.plans import book_plans
+
+FLAGSHIP = "feat_imbalance"
+MODULES = (book_plans,)
+QUERIES = {name: plan for m in MODULES for name, plan in m.catalog.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.catalog.oracles.items()}
