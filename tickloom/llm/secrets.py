@@ -66,10 +66,11 @@ def versions_of(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """New ledger rows: the findings of every blob that ``ledger`` does not have at this rule version."""
-    blobs = versions.select("blob_id", "text")
+    # A blob without any rule's trigger has no findings: its text need not move.
+    blobs = versions.select("blob_id", F.when(F.rlike("text", F.lit("|".join(r[4] for r in RULES))), F.col("text")).alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob_id"), "blob_id", "left_anti")
-    return scan_blobs(blobs.groupBy("blob_id").agg(F.first("text").alias("text")))
+    return scan_blobs(blobs.groupBy("blob_id").agg(F.first("text").alias("text")).select("blob_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
