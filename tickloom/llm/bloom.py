@@ -71,8 +71,8 @@ def contains(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def probe(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
-    """Rows of ``df`` whose hash in ``column`` may be in the filter."""
+def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose hash in ``column`` may be in the filter, and those whose hash is not; null is not."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -82,4 +82,9 @@ def probe(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
         known = hashes.notna().to_numpy()
         return pd.Series(known & contains(sent.value, hashes.fillna(0).to_numpy(dtype=np.int64)))
 
-    return df.filter(maybe(F.col(column)))
+    return df.filter(maybe(F.col(column))), df.filter(~maybe(F.col(column)))
+
+
+def probe(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose hash in ``column`` may be in the filter."""
+    return split(df, column, bits)[0]
