@@ -222,9 +222,8 @@ def strat_cost(spark, sf):
     return policies.abandon(rows, F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost").select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
 
-@catalog.add("simulate")
 def simulate(spark, sf):
-    """All six strategies on the test days, with fees and adverse moves."""
+    """All six strategies on the test days, with fees; not a registered query yet, since the union of all parts takes minutes to plan and run."""
     test = F.dayofmonth("date") > 20
     cps = sim_plans.checkpoints(spark, sf).filter(test)
     orders = policies.orders_of(cps)

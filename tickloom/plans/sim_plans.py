@@ -228,7 +228,7 @@ UNION ALL SELECT {KC}, queue_model, 'oracle', 'oracle_upper_bound', false, t0, C
 
 @catalog.add("trade_log", LOG_SQL)
 def trade_log(spark, sf):
-    """Strategies without a model on the same decisions; ``simulate`` has all six."""
+    """Strategies without a model on the same decisions; each model has a query of its own."""
     rows = checkpoints(spark, sf)
     orders = policies.orders_of(rows)
     parts = [policies.always_cross(orders, SIM), policies.always_post(orders, SIM), policies.oracle(rows)]
