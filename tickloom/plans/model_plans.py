@@ -216,8 +216,8 @@ def cost_model(spark, sf):
     return cost_rows(spark, sf).filter("day(date) > 20").select(*ORDER, *CELL, "queue_model", "j", "label", "prediction")
 
 
-@catalog.add("strat_cost")
 def strat_cost(spark, sf):
+    """Orders given up where the predicted cost of waiting is positive; not a registered query yet, see the README."""
     rows = cost_rows(spark, sf).filter("day(date) > 20")
     return policies.abandon(rows, F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost").select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
