@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import features, models, policies, simulator, stats, targets
+from tickloom.operators import book, features, models, policies, simulator, stats, targets
 from tickloom.plans import sim_plans
 from tickloom.plans.cost_plans import R, buckets_sql, rounded
 from tickloom.plans.registry import Catalog
 from tickloom.schema import DAY, DEFAULT
 from tickloom.sources.fixtures import MINI_PRED_SQL, l2_events, l2_sql, mini_pred
+from tickloom.sources.scratch import stored
 
 catalog = Catalog()
 ORDER = [*simulator.ORDER]
@@ -159,20 +160,6 @@ def direction_walk_forward(spark, sf):
 SIM = sim_plans.SIM
 
 
-def direction_rows(spark, sf):
-    """Checkpoints with the direction model's probability of an adverse move."""
-    train, _, _ = _split(spark, sf)
-    rows = models.probability(models.logistic().fit(train), modelled(spark, sf), models.LOGISTIC, "p_up").select(*DAY, F.col("sequence").alias("cp_seq"), "p_up")
-    cps = sim_plans.checkpoints(spark, sf).join(rows, [*DAY, "cp_seq"])
-    return cps.withColumn("p_adverse", F.when(F.col("order_side") > 0, F.col("p_up")).otherwise(1 - F.col("p_up")))
-
-
-@catalog.add("strat_direction")
-def strat_direction(spark, sf):
-    return policies.abandon(direction_rows(spark, sf), F.col("p_adverse") > 0.6, SIM, "model_direction").select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
-
-
-_THETA = "(0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)"
 _TUNE = f"""{sim_plans.CP_SQL}, th AS (SELECT unnest([0.50::DOUBLE, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80]) AS theta), ab AS (SELECT {sim_plans.KC}, queue_model, theta, arg_min(cp_cross, j) FILTER (((cp_seq * 37 + j * 11) % 100) / 100.0::DOUBLE > theta) AS x FROM c3, th GROUP BY ALL),
 co AS (SELECT queue_model, latency_ms, deadline_s, theta, round(avg(s * (coalesce(ab.x, passive_px) - mid)), 9) AS c FROM sim JOIN ab USING ({sim_plans.KC}, queue_model) GROUP BY ALL)
 SELECT queue_model, latency_ms, deadline_s, arg_min(theta, (c, theta)) AS theta FROM co GROUP BY ALL"""
@@ -190,6 +177,8 @@ def tune_theta(spark, sf):
     return costs.groupBy("queue_model", *CELL).agg(F.min_by("theta", F.struct("c", "theta")).alias("theta"))
 
 
+#: Models learn from the first twenty days of the month; strategies are judged on the others.
+TEST = "day(date) > 20"
 COST_NAMES = ("imbalance", "microprice", "spread", "depth_imb_3", "ofi_ev10", "tfi_ms1000")
 COST_ALL = (*COST_NAMES, "own_side_queue", "opp_queue", "ahead", "ahead_frac", "tleft_s", "at_touch", "latency_ms")
 CPF_SQL = f"""{sim_plans.CP_SQL} SELECT c3.instrument_id, c3.date, decision_id, latency_ms, deadline_s, queue_model, CAST(j AS BIGINT) AS j, CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END AS own_side_queue, CASE WHEN s = 1 THEN b.ad[1] ELSE b.bd[1] END AS opp_queue, round(c3.ahead / greatest(CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END, 1), 9) AS ahead_frac,
@@ -203,33 +192,73 @@ def checkpoint_features(spark, sf):
     return rows.select(*ORDER, *CELL, "queue_model", "j", F.col("own_side_queue").cast("long").alias("own_side_queue"), F.col("opp_queue").cast("long").alias("opp_queue"), F.round("ahead_frac", 9).alias("ahead_frac"), F.round("imbalance", 9).alias("imbalance"))
 
 
-def cost_rows(spark, sf):
-    market = features.with_features(sim_plans.books(spark, sf)).filter("mid IS NOT NULL")
-    rows = policies.with_cost_to_go(policies.checkpoint_features(sim_plans.checkpoints(spark, sf), market, list(COST_NAMES)))
-    whole = rows.na.drop(subset=[*COST_ALL, "label"])
-    model = models.boosted_cost(COST_ALL).fit(whole.filter("day(date) <= 20").withColumn("label", F.col("label").cast("double")))
-    return model.transform(whole)
+def _tables(spark, sf):
+    """Book, features with targets, and checkpoints, each written once: later plans start from tables."""
+    frame = stored(book.book_frame(l2_events(spark, sf)), "book")
+    names = dict.fromkeys([*NAMES, *COST_NAMES, "bid_queue", "ask_queue", "mid"])
+    market = targets.with_targets(features.with_features(frame)).select(*DAY, "sequence", *names, F.col("next_dir").alias("y"))
+    orders = stored(simulator.simulate(sim_plans.made(spark, sf), frame, SIM), "orders")
+    return frame, stored(market, "market"), stored(simulator.checkpoint_rows(orders, frame, SIM), "checkpoints")
+
+
+def _by_direction(cps, market):
+    """Checkpoints of the test days with the probability of an adverse move, 0.5 where a feature is missing."""
+    model = models.logistic().fit(market.filter("day(date) <= 20").na.drop(subset=[*models.LOGISTIC, "y"]))
+    rows = models.probability(model, market, models.LOGISTIC, "p_up").select(*DAY, F.col("sequence").alias("cp_seq"), "p_up")
+    cps = cps.filter(TEST).join(rows, [*DAY, "cp_seq"], "left")
+    return cps.withColumn("p_adverse", F.coalesce(F.when(F.col("order_side") > 0, F.col("p_up")).otherwise(1 - F.col("p_up")), F.lit(0.5)))
+
+
+def _by_cost(cps, market):
+    """Checkpoints of the test days with the predicted cost of waiting, null where a feature is missing."""
+    two_sided = market.filter("mid IS NOT NULL")
+    rows = policies.with_cost_to_go(policies.checkpoint_features(cps, two_sided, list(COST_NAMES))).withColumn("label", F.col("label").cast("double"))
+    rows = stored(rows.na.drop(subset=[*COST_ALL]).select(*ORDER, *CELL, "queue_model", "j", "label", *(n for n in COST_ALL if n not in CELL)), "cost-rows")
+    model = models.boosted_cost(COST_ALL).fit(rows.filter("day(date) <= 20 AND label IS NOT NULL"))
+    keys = [*ORDER, *CELL, "queue_model", "j"]
+    return cps.filter(TEST).join(model.transform(rows.filter(TEST)).select(*keys, "prediction"), keys, "left")
+
+
+def _give_up_by_cost(cps, market):
+    return policies.abandon(_by_cost(cps, market), F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost")
 
 
 @catalog.add("cost_model")
 def cost_model(spark, sf):
-    return cost_rows(spark, sf).filter("day(date) > 20").select(*ORDER, *CELL, "queue_model", "j", "label", "prediction")
+    """Cost of waiting against its prediction at the checkpoints of the test days."""
+    _, market, cps = _tables(spark, sf)
+    rows = policies.with_cost_to_go(_by_cost(cps, market)).filter("label IS NOT NULL AND prediction IS NOT NULL")
+    return rows.select(*ORDER, *CELL, "queue_model", "j", "label", "prediction")
+
+
+def _give_up_by_direction(cps, market):
+    return policies.abandon(_by_direction(cps, market), F.col("p_adverse") > 0.6, SIM, "model_direction")
+
+
+@catalog.add("strat_direction")
+def strat_direction(spark, sf):
+    """Orders of the test days given up where the price is likely to move away."""
+    _, market, cps = _tables(spark, sf)
+    return _give_up_by_direction(cps, market).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
 
+@catalog.add("strat_cost")
 def strat_cost(spark, sf):
-    """Orders given up where the predicted cost of waiting is positive; not a registered query yet, see the README."""
-    rows = cost_rows(spark, sf).filter("day(date) > 20")
-    return policies.abandon(rows, F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost").select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
+    """Orders of the test days given up where the predicted cost of waiting is positive; none is lost for a missing feature."""
+    _, market, cps = _tables(spark, sf)
+    return _give_up_by_cost(cps, market).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
 
+@catalog.add("simulate")
 def simulate(spark, sf):
-    """All six strategies on the test days, with fees; not a registered query yet, since the union of all parts takes minutes to plan and run."""
-    test = F.dayofmonth("date") > 20
-    cps = sim_plans.checkpoints(spark, sf).filter(test)
-    orders = policies.orders_of(cps)
-    fresh = simulator.simulate_new_level(sim_plans.made(spark, sf).filter(test), sim_plans.books(spark, sf), SIM)
+    """The trade log of all six strategies on the same orders of the test days, with fees."""
+    frame, market, cps = _tables(spark, sf)
+    test = cps.filter(TEST)
+    orders = policies.orders_of(test)
+    fresh = simulator.simulate_new_level(sim_plans.made(spark, sf).filter(TEST), frame.filter(TEST), SIM)
     parts = [
-        policies.always_cross(orders, SIM), policies.always_post(orders, SIM), policies.abandon(direction_rows(spark, sf).filter(test), F.col("p_adverse") > 0.6, SIM, "model_direction"),
-        policies.abandon(cost_rows(spark, sf).filter(test), F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost"), policies.new_level(fresh), policies.oracle(cps),
+        policies.always_cross(orders, SIM), policies.always_post(orders, SIM), _give_up_by_direction(cps, market),
+        _give_up_by_cost(cps, market), policies.new_level(fresh), policies.oracle(test),
     ]
-    return policies.with_fees(policies.union_log(parts), SIM)
+    # Each strategy is written by itself: six plans of their own size instead of one of all.
+    return policies.with_fees(policies.union_log([stored(p.select(*policies.LOG), "log") for p in parts]), SIM)
