@@ -23,8 +23,8 @@ def grid(spark: SparkSession, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def cost(price: Column) -> Column:
-    """Ticks paid against the arrival mid."""
-    return (F.col("order_side") * (price - F.col("arrival_mid"))).cast("double")
+    """Ticks paid against the arrival mid; zero has no sign."""
+    return (F.col("order_side") * (price - F.col("arrival_mid"))).cast("double") + F.lit(0.0)
 
 
 def _deadline() -> Column:

@@ -163,7 +163,7 @@ def queue_models(spark, sf):
 NEW_SIM_SQL = f"{NEW_SQL}, {_walk_fixed('n3', 'o.landed', 'n')}"
 
 
-@catalog.add("strat_new_level", f"{NEW_SIM_SQL} SELECT {KC}, queue_model, {_FILL}, CASE WHEN filled THEN 'limit' WHEN px IS NOT NULL THEN 'limit_then_market' ELSE 'market' END AS order_type, CAST(s * (passive_px - mid) AS DOUBLE) AS cost_ticks FROM nsim")
+@catalog.add("strat_new_level", f"{NEW_SIM_SQL} SELECT {KC}, queue_model, {_FILL}, CASE WHEN filled THEN 'limit' WHEN px IS NOT NULL THEN 'limit_then_market' ELSE 'market' END AS order_type, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks FROM nsim")
 def strat_new_level(spark, sf):
     rows = simulator.simulate_new_level(made(spark, sf), books(spark, sf), SIM)
     return policies.new_level(rows).select(*ORDER, *CELL, "queue_model", "filled", "fill_seq", "fill_ts", "passive_px", "order_type", "cost_ticks")
@@ -193,10 +193,10 @@ catalog.add("checkpoint_rows", f"{CP_SQL} SELECT queue_model, latency_ms, deadli
 )
 catalog.add("gather_checkpoint", f"{CP_SQL} SELECT {KC}, queue_model, cp_cross AS cross_2 FROM c3 WHERE j = 2")(lambda s, d: checkpoints(s, d).filter("j = 2").select(*ORDER, *CELL, "queue_model", F.col("cp_cross").alias("cross_2")))
 catalog.add("cost_to_go", f"{CP_SQL} SELECT {KC}, queue_model, CAST(j AS BIGINT) AS j, s * (passive_px - cp_cross) AS label FROM c3")(lambda s, d: policies.with_cost_to_go(checkpoints(s, d)).select(*ORDER, *CELL, "queue_model", "j", "label"))
-catalog.add("cost_ticks", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (passive_px - mid) AS DOUBLE) AS cost_ticks FROM sim")(lambda s, d: policies.always_post(sim(s, d), SIM).select(*ORDER, *CELL, "queue_model", "cost_ticks"))
-catalog.add("strat_always_cross", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (cross_px - mid) AS DOUBLE) AS cost_ticks, t0 + latency_ms * 1000000 AS exec_ts FROM sim")(lambda s, d: policies.always_cross(sim(s, d), SIM).select(*ORDER, *CELL, "queue_model", "cost_ticks", "exec_ts"))
+catalog.add("cost_ticks", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks FROM sim")(lambda s, d: policies.always_post(sim(s, d), SIM).select(*ORDER, *CELL, "queue_model", "cost_ticks"))
+catalog.add("strat_always_cross", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (cross_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks, t0 + latency_ms * 1000000 AS exec_ts FROM sim")(lambda s, d: policies.always_cross(sim(s, d), SIM).select(*ORDER, *CELL, "queue_model", "cost_ticks", "exec_ts"))
 _EXEC = "CASE WHEN filled THEN fill_ts ELSE t0 + deadline_s * 1000000000::BIGINT + latency_ms * 1000000 END AS exec_ts"
-catalog.add("strat_always_post", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (passive_px - mid) AS DOUBLE) AS cost_ticks, CASE WHEN filled THEN 'limit' ELSE 'limit_then_market' END AS order_type, {_EXEC} FROM sim")(
+catalog.add("strat_always_post", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks, CASE WHEN filled THEN 'limit' ELSE 'limit_then_market' END AS order_type, {_EXEC} FROM sim")(
     lambda s, d: policies.always_post(sim(s, d), SIM).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type", "exec_ts")
 )
 _AB = f"""{CP_SQL}, ab AS (SELECT {KC}, queue_model, min(j) AS j FROM c3 WHERE ahead > 20 AND j % 2 = 1 GROUP BY ALL),
@@ -210,9 +210,9 @@ def abandoned(spark, sf):
 
 
 catalog.add("first_abandon", f"{_AB} SELECT {KC}, queue_model, CAST(j AS BIGINT) AS j FROM ao")(lambda s, d: abandoned(s, d).select(*ORDER, *CELL, "queue_model", F.col("abandon_j").alias("j")))
-catalog.add("abandon_outcome", f"{_AB} SELECT {KC}, queue_model, CAST(s * (CASE WHEN j IS NOT NULL THEN cp_cross ELSE passive_px END - mid) AS DOUBLE) AS cost_ticks, j IS NULL AND filled AS passive_fill FROM ao")(lambda s, d: abandoned(s, d).select(*ORDER, *CELL, "queue_model", "cost_ticks", "passive_fill"))
+catalog.add("abandon_outcome", f"{_AB} SELECT {KC}, queue_model, CAST(s * (CASE WHEN j IS NOT NULL THEN cp_cross ELSE passive_px END - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks, j IS NULL AND filled AS passive_fill FROM ao")(lambda s, d: abandoned(s, d).select(*ORDER, *CELL, "queue_model", "cost_ticks", "passive_fill"))
 catalog.add("exec_ts", f"{_AB} SELECT {KC}, queue_model, CASE WHEN j IS NOT NULL THEN t0 + j * 250000000 + latency_ms * 1000000 WHEN filled THEN fill_ts ELSE t0 + deadline_s * 1000000000::BIGINT + latency_ms * 1000000 END AS exec_ts FROM ao")(lambda s, d: abandoned(s, d).select(*ORDER, *CELL, "queue_model", "exec_ts"))
-ORACLE_COST = f"{CP_SQL}, mc AS (SELECT {KC}, queue_model, min(s * (cp_cross - mid)) AS c FROM c3 GROUP BY ALL) SELECT {KC}, queue_model, CAST(least(c, s * (passive_px - mid)) AS DOUBLE) AS cost_ticks FROM sim JOIN mc USING ({KC}, queue_model)"
+ORACLE_COST = f"{CP_SQL}, mc AS (SELECT {KC}, queue_model, min(s * (cp_cross - mid) + 0.0::DOUBLE) AS c FROM c3 GROUP BY ALL) SELECT {KC}, queue_model, CAST(least(c, s * (passive_px - mid) + 0.0::DOUBLE) AS DOUBLE) AS cost_ticks FROM sim JOIN mc USING ({KC}, queue_model)"
 catalog.add("oracle_cost", ORACLE_COST)(lambda s, d: policies.oracle(checkpoints(s, d)).select(*ORDER, *CELL, "queue_model", "cost_ticks"))
 _ADV = f"""{SIM_SQL}, a0 AS (SELECT * FROM ({asof_sql('(SELECT *, fill_ts AS ats FROM sim WHERE filled)', '0.5 * (q.bid_px + q.ask_px) AS m0')})), a1 AS (SELECT * FROM ({asof_sql('(SELECT * REPLACE (fill_ts + 1000000000 AS ats) FROM a0)', '0.5 * (q.bid_px + q.ask_px) AS m1')})), a5 AS (SELECT * FROM ({asof_sql('(SELECT * REPLACE (fill_ts + 5000000000 AS ats) FROM a1)', '0.5 * (q.bid_px + q.ask_px) AS m5')}))
 SELECT {KC}, queue_model, CAST(s * (m0 - m1) AS DOUBLE) AS adverse_1s, CAST(s * (m0 - m5) AS DOUBLE) AS adverse_5s FROM a5"""
@@ -220,10 +220,10 @@ catalog.add("adverse_move", _ADV)(lambda s, d: policies.adverse(sim(s, d).filter
 catalog.add("fees", f"{SIM_SQL} SELECT {KC}, queue_model, CAST(s * (passive_px - mid) * 15.625 + 2.5 AS DOUBLE) AS cost_usd, 2.5::DOUBLE AS fee_usd FROM sim")(lambda s, d: policies.with_fees(policies.always_post(sim(s, d), SIM), SIM).select(*ORDER, *CELL, "queue_model", "cost_usd", "fee_usd"))
 
 _T = "AS (SELECT {}, queue_model".format(KC)
-LOG_SQL = f"""{CP_SQL}, mc AS (SELECT {KC}, queue_model, min(s * (cp_cross - mid)) AS c FROM c3 GROUP BY ALL)
-SELECT {KC}, queue_model, 'always_cross' AS strategy, 'market' AS order_type, false AS filled_passive, t0 + latency_ms * 1000000 AS exec_ts, CAST(s * (cross_px - mid) AS DOUBLE) AS cost_ticks FROM sim
-UNION ALL SELECT {KC}, queue_model, 'always_post', CASE WHEN filled THEN 'limit' ELSE 'limit_then_market' END, filled, {_EXEC.replace(' AS exec_ts', '')}, CAST(s * (passive_px - mid) AS DOUBLE) FROM sim
-UNION ALL SELECT {KC}, queue_model, 'oracle', 'oracle_upper_bound', false, t0, CAST(least(c, s * (passive_px - mid)) AS DOUBLE) FROM sim JOIN mc USING ({KC}, queue_model)"""
+LOG_SQL = f"""{CP_SQL}, mc AS (SELECT {KC}, queue_model, min(s * (cp_cross - mid) + 0.0::DOUBLE) AS c FROM c3 GROUP BY ALL)
+SELECT {KC}, queue_model, 'always_cross' AS strategy, 'market' AS order_type, false AS filled_passive, t0 + latency_ms * 1000000 AS exec_ts, CAST(s * (cross_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks FROM sim
+UNION ALL SELECT {KC}, queue_model, 'always_post', CASE WHEN filled THEN 'limit' ELSE 'limit_then_market' END, filled, {_EXEC.replace(' AS exec_ts', '')}, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE FROM sim
+UNION ALL SELECT {KC}, queue_model, 'oracle', 'oracle_upper_bound', false, t0, CAST(least(c, s * (passive_px - mid) + 0.0::DOUBLE) AS DOUBLE) FROM sim JOIN mc USING ({KC}, queue_model)"""
 
 
 @catalog.add("trade_log", LOG_SQL)
