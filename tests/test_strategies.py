@@ -25,4 +25,4 @@ def test_stored_tables_go_to_the_shared_folder(spark):
     rows = stored(spark.range(5), "few")
     assert rows.count() == 5
     assert all(f"{scratch_root(spark).removeprefix('file://')}/tickloom-few-" in f for f in rows.inputFiles())
-    assert stored(spark.range(0), "none").schema == spark.range(0).schema
+    assert stored(spark.range(0), "none").dtypes == spark.range(0).dtypes  # files hold nullable columns
