@@ -62,6 +62,17 @@ def test_exact_groups(spark):
     assert kept.columns == docs_frame(spark, []).columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_copies_go_by_id_and_text(spark):
+    a, b, c, d = (prose(400, s) for s in range(81, 85))
+    rows = [(1, b), (9, b), (9, a), (11, a), (12, c), (None, c), (None, d), (None, b + " "), (None, None), (13, "")]
+    kept = sorted((str(r.doc_id), r.text) for r in exact_dedup.keep_first(docs_frame(spark, rows)).collect())
+    assert kept == sorted([("9", a), ("12", c), ("None", d), ("None", b + " "), ("13", "")])
+    near = [(1, b), (9, b + " end"), (9, a), (11, a + " end"), (None, b + " end"), (None, d), (10, None), (12, ""), (12, c)]
+    assert bin(simhash.fingerprint(b.encode()) ^ simhash.fingerprint((b + " end").encode())).count("1") <= 4
+    kept = sorted((str(r.doc_id), str(r.text)) for r in simhash.keep_one(docs_frame(spark, near)).collect())
+    assert kept == sorted([("1", b), ("9", a), ("None", b + " end"), ("None", d), ("10", "None"), ("12", c)])
+
+
 def url_cases():
     hosts = ["com", "x.com", "example.com", "www.example.com", "a.www.example.com", "notexample.com", "a.net", "net", "b.org", "spam-farm.example.org"]
     return [None, "", "no scheme/com", "://", "http://", "http://X.COM", "HTTP://EXAMPLE.com/en/?q://x", *(f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/1", "/es/2?ref=1", "/fr/#t", "?/en/", "/en"))]

@@ -164,9 +164,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops."""
-    kept = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    """``docs`` without the rows that :func:`exact_groups` drops.
+
+    A verdict is of an id and a text together: other texts of a dropped id, or
+    of a null id, stay.
+    """
+    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__dropped"), F.col("text_sha256").alias("__sha")).distinct()
+    same = docs[id_col].eqNullSafe(F.col("__dropped")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha"))
+    return docs.join(gone, same, "left_anti")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

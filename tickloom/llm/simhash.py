@@ -48,15 +48,17 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (signed long) of every row; null texts count as empty."""
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
+    """``id`` and ``fp`` (signed long) of every row, and the columns ``also``; null texts count as empty."""
+    also = also or []
 
     def rows(batches):
         for batch in batches:
             found = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], ["id", "fp", *also])
 
-    return docs.select(id_col, text_col).mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
+    return docs.select(id_col, text_col, *also).mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp long{more}")
 
 
 def _keys(fp):
@@ -148,6 +150,17 @@ def links(fps: DataFrame) -> DataFrame:
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_run_links, "a long, b long")
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None = None) -> DataFrame:
+    """``fp``, ``id``, the columns ``also`` and ``component_id`` of every row."""
+    prints = stored(with_fingerprint(docs, id_col, text_col, also), "fingerprints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = components(links(nodes))
+    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = nodes.join(least, "root").select("fp", "component_id")
+    return prints.join(labels, "fp")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups, one row a document.
 
@@ -160,19 +173,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns ``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``.
     """
-    prints = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = nodes.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _labelled(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each near-duplicate group; rows with a null id stay."""
-    gone = near_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__dropped"))
-    return docs.join(gone, docs[id_col] == F.col("__dropped"), "left_anti")
+    """``docs`` with the smallest id of each near-duplicate group; rows with a null id stay.
+
+    A verdict is of an id and a text together: other texts of a dropped id stay.
+    """
+    # Equal texts have equal fingerprints, so the text's hash leads to the verdict without a second fingerprint.
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    labelled = _labelled(docs.select(F.col(id_col), F.col(text_col), digest.alias("__sha")), id_col, text_col, ["__sha"])
+    gone = labelled.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__dropped"), "__sha").distinct()
+    return docs.join(gone, (docs[id_col] == F.col("__dropped")) & (digest == F.col("__sha")), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
