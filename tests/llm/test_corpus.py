@@ -212,6 +212,29 @@ def test_inconsistent_slots_do_not_match(spark):
     assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {1, 3}
 
 
+def test_decontamination_of_units_conflicts_and_bare_values(spark):
+    items = [
+        (1, "the old road from the mill to the river is 5 miles long and nobody walks it in winter"),
+        (2, "so 3 red pears lie in the basket on the kitchen table while some more plums and 3 figs lie in the cellar of the house"),
+        (3, "Anna Bob Carl Dora 12 34 56 78 Emil Fred Gina Hans"),
+        (4, "then the winner Anna Berta Carla got 12 34 medals"),
+    ]
+    texts = [
+        items[0][1].replace("5 miles", "7 km"), items[1][1].replace("3 figs", "4 figs"), items[2][1], items[3][1].lower(), items[2][1].replace("34", "35").replace("Emil", "Otto"),
+    ]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_frame(spark, [(i, f"{prose(20, i)}. {t}. {prose(20, 50 + i)}") for i, t in enumerate(texts)])
+    got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(0, 1): True, (1, 2): True, (2, 3): False, (3, 4): False}
+
+
+def test_alignment_keeps_its_majority():
+    pairs = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), ("b", "b")]
+    hits = [{"at": k, "item_slots": [i], "slots": [d], "lexical": True} for k, (i, d) in enumerate(pairs)]
+    hits += [{"at": 2, "item_slots": None, "slots": None, "lexical": True}, {"at": 9, "item_slots": None, "slots": None, "lexical": False}]
+    assert decontaminate.agreeing(hits) == {0: (True, True), 1: (True, True), 4: (True, False), 2: (True, False), 9: (False, False)}
+
+
 def test_packing_holds_every_id_once(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer

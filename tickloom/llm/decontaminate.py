@@ -4,12 +4,14 @@ Numbers, names and units become typed placeholders, so a question with other
 parameters keeps its template. Windows of five template words of the benchmark
 are hash-joined with those of the documents. A match counts where the slots
 agree: along one alignment, every value of the item stands for one value of the
-document. An item is found where such windows cover enough of its template.
+document, the one most of its slots have. Windows of equal words, whatever their
+case, count always. An item is found where such windows cover enough of it.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from tickloom.llm.common import stored, table
 WINDOW, COVERAGE = 5, 0.8
 #: Least share of a window's words that are words, not placeholders, in fifths: a template of slots alone says nothing.
 LEXICAL = 2
+#: Keeps hashes of windows of words apart from those of templates.
+_VERBATIM = 1 << 8
 FILTER_BYTES = 16 << 20
 UNITS = frozenset(
     "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs pound pounds oz ounce ounces t ton tons ml l liter liters litre litres"
@@ -43,8 +47,8 @@ VOCABULARY = 500_000
 class Canon:
     """Template words of texts: two 64-bit hashes a word (template and value), kinds and flags, cached.
 
-    With a ``vocabulary``, lower-case words outside it share one row: no window
-    that has one can match.
+    With a ``vocabulary``, lower-case words outside it that are no units share
+    one row: no window that has one can match.
     """
 
     def __init__(self, vocabulary: frozenset[str] | None = None):
@@ -72,7 +76,7 @@ class Canon:
 
     def learn(self, raw: str) -> int:
         known = self.vocabulary
-        if known is not None and raw.isalpha() and raw.islower() and raw not in known:
+        if known is not None and raw.isalpha() and raw.islower() and raw not in known and raw not in UNITS:
             self.rows[raw] = 0
             return 0
         if raw == _BREAK:
@@ -120,25 +124,31 @@ class Canon:
         return template, value, kind, owner
 
 
-def windows(template: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` template words, and whether the window counts: it lies in one text and has words enough."""
-    n = len(template) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
-    mixed = np.full(n, size * 0x9E3779B97F4A7C15 % (1 << 64), dtype=np.uint64)
+def windows(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """Hash of each window of ``size`` words (hashes)."""
+    n = max(0, len(words) - size + 1)
+    mixed = np.full(n, (size + salt) * 0x9E3779B97F4A7C15 % (1 << 64), dtype=np.uint64)
     for j in range(size):
-        mixed = (mixed ^ template[j : j + n]) * np.uint64(0x9FB21C651E98DF25)
+        mixed = (mixed ^ words[j : j + n]) * np.uint64(0x9FB21C651E98DF25)
         mixed ^= mixed >> np.uint64(28)
-    words = np.r_[0, np.cumsum(kind == 0)]
-    lexical = words[size:] - words[:-size]
-    return mixed, (owner[size - 1 :] == owner[:n]) & (lexical * WINDOW >= min(LEXICAL, size) * size)
+    return mixed
+
+
+def judged(template: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window lies in one text and has no unknown word, and whether it also has words enough for a template."""
+    n = len(template) - size + 1
+    if n <= 0:
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+    words, unknown = np.r_[0, np.cumsum(kind == 0)], np.r_[0, np.cumsum(template == 0)]
+    whole = (owner[size - 1 :] == owner[:n]) & (unknown[size:] == unknown[:-size])
+    return whole, whole & ((words[size:] - words[:-size]) * WINDOW >= min(LEXICAL, size) * size)
 
 
 def _slots(value, kind, at: int, size: int) -> list[str]:
     return [f"{k}:{v:016x}" for k, v in zip(kind[at : at + size].tolist(), value[at : at + size].tolist(), strict=True) if k]
 
 
-_FOUND = "pos long, size int, h long, slots array<string>"
+_FOUND = "pos long, size int, h long, slots array<string>, lexical boolean"
 
 
 def vocabulary_of(benchmark: DataFrame, most: int = VOCABULARY) -> frozenset[str] | None:
@@ -154,9 +164,11 @@ def vocabulary_of(benchmark: DataFrame, most: int = VOCABULARY) -> frozenset[str
 
 
 def template_windows(rows: DataFrame, sizes: list[int] | None = None, bits: np.ndarray | None = None, vocabulary: frozenset[str] | None = None) -> DataFrame:
-    """Template windows of ``rows`` (``id``, ``text``): ``id``, ``n_words``, ``pos``, ``size``, ``h``, ``slots``.
+    """Windows of ``rows`` (``id``, ``text``): ``id``, ``n_words``, ``pos``, ``size``, ``h``, ``slots``, ``lexical``.
 
-    Without ``sizes`` a text shorter than ``WINDOW`` words is one window. With
+    A window of words enough (``lexical``) comes out with the hash of its
+    template and its slots; every window comes out with the hash of its words
+    themselves, in lower case, and null ``slots``. Without ``sizes`` a text shorter than ``WINDOW`` words is one window. With
     ``bits``, only windows that the blocked Bloom filter may hold come out.
     """
     sent = rows.sparkSession.sparkContext.broadcast((bits, vocabulary)) if bits is not None else None
@@ -170,51 +182,88 @@ def template_windows(rows: DataFrame, sizes: list[int] | None = None, bits: np.n
                 counts = np.bincount(owner, minlength=part.num_rows)
                 out = []
                 for size in sizes or range(1, WINDOW + 1):
-                    mixed, ok = windows(template, kind, owner, size)
-                    if sizes is None and size < WINDOW:
-                        ok &= counts[owner[: len(ok)]] == size
-                    at = np.flatnonzero(ok)
-                    if sent is not None:
-                        at = at[bloom.contains(sent.value[0], mixed[at].view(np.int64))]
-                    out += [(i, size, int(mixed[i].view(np.int64))) for i in at.tolist()]
+                    whole, lexical = judged(template, kind, owner, size)
+                    for mixed, ok, verbatim in ((windows(template, size), lexical, False), (windows(value, size, _VERBATIM), whole, True)):
+                        if sizes is None and size < WINDOW:
+                            ok = ok & (counts[owner[: len(ok)]] == size)
+                        at = np.flatnonzero(ok)
+                        if sent is not None:
+                            at = at[bloom.contains(sent.value[0], mixed[at].view(np.int64))]
+                        slots = [None if verbatim else _slots(value, kind, i, size) for i in at.tolist()]
+                        out += zip(at.tolist(), [size] * len(at), mixed[at].view(np.int64).tolist(), slots, lexical[at].tolist(), strict=True)
                 first = np.r_[0, np.cumsum(counts)]
                 who = owner[[x[0] for x in out]] if out else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column("id").take(pa.array(who)), pa.array(counts[who], type=pa.int64()), pa.array([x[0] for x in out] - first[who], type=pa.int64()), pa.array([x[1] for x in out], type=pa.int32()),
-                    pa.array([x[2] for x in out], type=pa.int64()), pa.array([_slots(value, kind, i, s) for i, s, _ in out], type=pa.list_(pa.string())),
-                ], ["id", "n_words", "pos", "size", "h", "slots"])
+                    pa.array([x[2] for x in out], type=pa.int64()), pa.array([x[3] for x in out], type=pa.list_(pa.string())), pa.array([x[4] for x in out], type=pa.bool_()),
+                ], ["id", "n_words", "pos", "size", "h", "slots", "lexical"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.select("id", "text").mapInArrow(found, f"id {kind}, n_words long, {_FOUND}")
 
 
+def agreeing(hits: list[dict]) -> dict[int, tuple[bool, bool]]:
+    """Places of the item whose windows agree along one alignment: whether they are lexical, and whether values differ.
+
+    Every value of the item stands for the value of the document that it meets
+    in most windows, for itself among equals. Windows that disagree are
+    dropped; those of equal values never are.
+    """
+    pairs = [list(zip(w["item_slots"] or (), w["slots"] or (), strict=True)) for w in hits]
+    best: dict[str, tuple] = {}
+    for (i, d), n in Counter(p for own in pairs for p in own).items():
+        best[i] = max(best.get(i, (0,)), (n, i == d, d))
+    found: dict[int, tuple[bool, bool]] = {}
+    for w, own in zip(hits, pairs, strict=True):
+        changed = any(i != d for i, d in own)
+        if not changed or all(best[i][2] == d for i, d in own):
+            lexical, before = found.get(w["at"], (False, False))
+            found[w["at"]] = (lexical or w["lexical"], before or changed)
+    return found
+
+
+def _agree(batches):
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            rows = [(k, at, *flags) for k, hits in enumerate(part.column("hits").to_pylist()) for at, flags in agreeing(hits).items()]
+            who, at, lexical, reworded = zip(*rows, strict=True) if rows else ((), (), (), ())
+            who = pa.array(who, type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(who), part.column("item").take(who), pa.array(at, type=pa.int64()), pa.array(lexical, type=pa.bool_()), pa.array(reworded, type=pa.bool_())],
+                ["id", "item", "at", "lexical", "reworded"],
+            )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
     Returns ``id_col``, ``item_col``, ``coverage`` (share of the item's windows
-    found with consistent slots) and ``reworded`` (some slot values differ), for
-    a coverage of ``coverage`` or more. Items without words are never found;
+    found with consistent slots or word by word: of all, or of those with words
+    enough, whichever is more) and ``reworded`` (some slot values differ), for a
+    coverage of ``coverage`` or more. Items without words are never found;
     null texts are empty; rows with a null id in either table are left out.
     Repeated rows of one id count as one document. Empty tables give no rows;
     other columns are ignored.
     """
     items = template_windows(benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).filter("id IS NOT NULL"))
-    items = stored(items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots")), "items")
-    need = items.groupBy("item").agg(F.count_distinct("item_pos").alias("n_windows"))
+    items = stored(items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"), "lexical"), "items")
+    lexical = F.when(F.col("lexical"), F.col("item_pos"))
+    need = items.groupBy("item").agg(F.count_distinct(lexical).alias("n_lexical"), F.count_distinct("item_pos").alias("n_all"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
     bits = bloom.build(items, "h", bloom.block_count(items.count(), FILTER_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     words = vocabulary_of(benchmark.select(F.col(item_text).alias("text")))
-    hits = template_windows(rows, sizes or [WINDOW], bits, words).join(items, ["h", "size"])
+    hits = template_windows(rows, sizes or [WINDOW], bits, words).drop("lexical").join(items, ["h", "size"])
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    # Along one alignment a document has at most one window for each of the item's.
-    along = hits.groupBy("id", "item", "diagonal").agg(F.collect_set("item_pos").alias("seen"), F.array_distinct(F.flatten(F.collect_list(pairs))).alias("pairs"))
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    reworded = F.exists("pairs", lambda p: p["i"] != p["d"])
-    found = along.filter(consistent).select("id", "item", F.explode("seen").alias("at"), reworded.alias("reworded"))
-    found = found.groupBy("id", "item").agg(F.count_distinct("at").alias("n"), F.max("reworded").alias("reworded")).join(need, "item")
-    share = F.col("n") / F.col("n_windows")
+    one = F.struct(F.col("item_pos").alias("at"), "item_slots", "slots", "lexical")
+    along = hits.groupBy("id", "item", "diagonal").agg(F.collect_set(one).alias("hits")).select("id", "item", "hits")
+    id_type, item_type = (t.schema[c].dataType.simpleString() for t, c in ((along, "id"), (along, "item")))
+    found = along.mapInArrow(_agree, f"id {id_type}, item {item_type}, at long, lexical boolean, reworded boolean")
+    counts = F.count_distinct(F.when(F.col("lexical"), F.col("at"))).alias("lexical_found"), F.count_distinct("at").alias("found")
+    found = found.groupBy("id", "item").agg(*counts, F.max("reworded").alias("reworded")).join(need, "item")
+    # Windows of few words match only word by word: where others suffice they are not asked for.
+    share = F.greatest(F.try_divide("lexical_found", "n_lexical"), F.try_divide("found", "n_all"))
     return found.filter(share >= coverage).select(F.col("id").alias(id_col), F.col("item").alias(item_col), share.alias("coverage"), "reworded")
 
 
