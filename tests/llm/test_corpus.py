@@ -262,6 +262,23 @@ def test_packing_holds_every_id_once(spark):
     assert packing.pack(docs_frame(spark, [(None, "a"), (6, LONG), (6, LONG)])).select("doc_id").distinct().count() == 2
 
 
+def test_packing_finds_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from tickloom.llm.tokens import encoder
+
+    model = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|>  z", "<|endoftext", "é<|endoftext|>日本  <|endoftext|>  ", prose(50, 1) + "<|endoftext|>" + prose(9, 2)]
+    ids = {i: np.array(model.encode(t, add_special_tokens=False).ids + [0], dtype="<u4") for i, t in enumerate(texts)}
+    assert ids[0].tolist() == [64, 220, 50256, 275, 0]
+    got = {}
+    for p in sorted(packing.pack(docs_frame(spark, list(enumerate(texts)))).collect(), key=lambda p: p.start):
+        got[p.doc_id] = got.get(p.doc_id, b"") + bytes(p.ids)
+    assert got == {i: x.tobytes() for i, x in ids.items()}
+    assert 50256 not in encoder()(texts[0])  # the separator of flat files
+
+
 def test_bm25_prefers_shared_rare_terms():
     docs = [np.array(x, dtype="<u4") for x in ([1, 2, 3, 9], [1, 2, 7, 8], [9, 3, 5, 6], [1, 1, 1, 1])]
     score = packing.Index(docs).scores(docs[0])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import table
-from tickloom.llm.tokens import VOCABULARY, encoder
+from tickloom.llm.tokens import ADDED, VOCABULARY, encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -135,10 +135,11 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, added: str | None = ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all rows of ``docs``; each id lies in exactly one piece.
 
-    A document is the ids of its whole text and then ``end_id``; null and empty
+    A document is the ids of its whole text, where tokens that ``added`` lists
+    are found, and then ``end_id``; null and empty
     texts are that id alone. Rows that repeat an id, and null ids, are packed
     like others. An empty table gives no pieces; other columns are ignored.
 
@@ -162,7 +163,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     def rows(batches):
         from pyspark import TaskContext
 
-        encode, base = encoder(vocabulary), TaskContext.get().partitionId() << 32
+        encode, base = encoder(vocabulary, added), TaskContext.get().partitionId() << 32
         names, texts, size = [], [], 0
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
