@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bloom
+from tickloom.llm import bloom, verdicts
 from tickloom.llm.common import partitions, stored, table
 
 #: What normalisation deletes: the characters [\x20\x09-\x0D].
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Fingerprints that one owner decodes at once, on average.
 OWNER_KEYS = 250_000
+#: Fingerprints that one task codes at once.
+MESSAGE_KEYS = 4_000_000
 FILTER_BYTES = 16 << 20
 
 
@@ -63,16 +66,35 @@ def _width(n_owners: int) -> np.uint64:
 
 
 def _messages(n_owners: int):
+    """Coded messages of one partition's fingerprints; they leave it sorted and compressed, in rounds of MESSAGE_KEYS."""
     width = _width(n_owners)
 
-    def send(group: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = np.unique(group["fingerprint"].to_numpy(dtype=np.int64).view(np.uint64), return_counts=True)
+    def message(held: list[np.ndarray], number: int) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
         owner = (keys // width).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(keys) else np.zeros(0, dtype=int)
-        rows = []
-        for a, b in zip(first, np.r_[first[1:], len(keys)], strict=True):
-            rows.append((int(group["sender"].iloc[0]), int(owner[a]), rice_encode(keys[a:b] - np.uint64(owner[a]) * width), np.packbits(counts[a:b] > 1).tobytes()))
-        return pd.DataFrame(rows, columns=["sender", "owner", "coded", "twice"])
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        coded, twice = [], []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            coded.append(rice_encode(keys[a:b] - np.uint64(owner[a]) * width))
+            twice.append(np.packbits(counts[a:b] > 1).tobytes())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number] * len(first), type=pa.int64()), pa.array(owner[first]), pa.array(coded, type=pa.binary()), pa.array(twice, type=pa.binary())],
+            ["sender", "owner", "coded", "twice"],
+        )
+
+    def send(batches):
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch.column(0).to_numpy().view(np.uint64))
+                size += batch.num_rows
+            if size >= MESSAGE_KEYS:
+                yield message(held, number)
+                number, held, size = number + 1, [], 0
+        if held:
+            yield message(held, number)
 
     return send
 
@@ -111,13 +133,12 @@ def normalised(text):
 
 
 def fingerprint_exchange(prints: DataFrame) -> DataFrame:
-    """Fingerprints that more than one row of ``prints`` has.
+    """Fingerprints (``fingerprint``, not null) that more than one row of ``prints`` has.
 
-    ``prints`` (``sender``, ``fingerprint``) has to give the same rows whenever
-    it is read again, as a stored table does.
+    Only coded messages and bitmaps are shuffled, never a fingerprint itself.
     """
     n_owners = max(partitions(prints.sparkSession), prints.count() // OWNER_KEYS + 1)
-    sent = stored(prints.select("sender", "fingerprint").groupBy("sender").applyInPandas(_messages(n_owners), "sender long, owner long, coded binary, twice binary"), "messages")
+    sent = stored(prints.select("fingerprint").mapInArrow(_messages(n_owners), "sender long, owner long, coded binary, twice binary"), "messages")
     replies = sent.groupBy("owner").applyInPandas(_reply, "sender long, owner long, bitmap binary")
     received = sent.select("sender", "owner", "coded").join(replies, ["sender", "owner"])
     return received.mapInPandas(_receive(n_owners), "fingerprint long").distinct()
@@ -139,7 +160,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", "body", normalised(F.col("body")).alias("norm")
     )
     prints = stored(
-        rows.select("id", F.xxhash64("norm").alias("fingerprint"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.spark_partition_id().cast("long").alias("sender")),
+        rows.select("id", F.xxhash64("norm").alias("fingerprint"), F.unhex(F.sha2("norm", 256)).alias("sha")),
         "prints",
     )
     shared = stored(fingerprint_exchange(prints), "shared")
@@ -148,11 +169,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     suspects = suspects.join(shared, "fingerprint", "left_semi")
     groups = (
         suspects.groupBy("fingerprint", "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("size", (-F.col("id")).alias("minus"))).alias("best"))
+        .agg(F.count(F.lit(1)).alias("group_size"), F.min(F.struct(-F.col("size"), F.col("id").isNull(), "id")).alias("best"))
         .filter("group_size > 1")
-        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", (-F.col("best.minus")).alias("keep_id"))
+        .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size", F.col("best.id").alias("keep_id"))
     )
-    out = prints.select("id", "sha").join(groups, "sha", "left")
+    # Rows whose fingerprint nobody shares stay where they are.
+    maybe, alone = bloom.split(prints, "fingerprint", bits)
+    out = maybe.select("id", "sha").join(groups, "sha", "left")
+    out = out.unionByName(alone.select("id", "sha", F.lit(None).cast("long").alias("group_size"), F.lit(None).cast(docs.schema[id_col].dataType).alias("keep_id")))
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return out.select(
         F.col("id").alias(id_col),
@@ -164,14 +188,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_groups` drops.
+    """``docs`` with one row of each group of equal texts, the one that :func:`exact_groups` keeps.
 
     A verdict is of an id and a text together: other texts of a dropped id, or
-    of a null id, stay.
+    of a null id, stay. Of rows that repeat both, one stays. Nulls, empty texts
+    and empty tables are as there; all columns of ``docs`` come back.
     """
-    gone = exact_groups(docs, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__dropped"), F.col("text_sha256").alias("__sha")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__dropped")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("__sha"))
-    return docs.join(gone, same, "left_anti")
+    groups = exact_groups(docs, id_col, text_col).filter("group_size > 1").groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    named = stored(groups.agg(F.first("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("many")), "verdicts")
+    return verdicts.settle(docs, named, {"id": docs[id_col], "sha": F.sha2(normalised(docs[text_col]), 256)})
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
