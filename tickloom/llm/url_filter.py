@@ -63,15 +63,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_
     rows = rows.withColumn("canonical", canonical(F.col("host"), F.col("path"), url)).withColumn("h", F.xxhash64("canonical"))
     names = stored(listed.select("canonical").filter("canonical <> ''").distinct().withColumn("h", F.xxhash64("canonical")), "listed")
     bits = bloom.build(names, "h", bloom.block_count(names.count(), FILTER_BYTES))
-    # The keys that pass are joined exactly, and only distinct ones: a hot URL moves once a partition.
-    possible = bloom.probe(rows.select("canonical", "h"), "h", bits).distinct()
-    hits = possible.join(names, ["h", "canonical"], "left_semi").select("canonical", F.lit(True).alias("listed"))
+    # Certain misses stay where they are. Possible hits meet the list; a hot URL is one row of the list and many of the pages, which a skewed join divides.
+    possible, missed = (part.drop("h", "url") for part in bloom.split(rows, "h", bits))
+    hits = possible.join(names.select("canonical", F.lit(True).alias("listed")), "canonical", "left").select("id", "host", "path", F.coalesce("listed", F.lit(False)).alias("listed"))
+    rows = hits.unionByName(missed.select("id", "host", "path", F.lit(False).alias("listed")))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.drop("h", "url").join(hits, "canonical", "left")
-    is_listed = F.coalesce("listed", F.lit(False))
     return rows.select(
         F.col("id").alias(id_col), "host", "path", rule.alias("rule"),
-        F.coalesce(verdict, F.when(is_listed, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), is_listed.alias("listed"),
+        F.coalesce(verdict, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "listed",
     )
 
 
