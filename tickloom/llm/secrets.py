@@ -7,10 +7,12 @@ each, and the findings are joined back to every path that holds the blob.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import scratch_root, table
 
 RULE_VERSION = "1"
 _KEYWORD = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -26,31 +28,49 @@ RULES = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ"),
 )
 BASE = ("assign", "access", "hex")
+#: Matches whose places are summed together.
+RUN = 256
 _SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, though inner functions ask for it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spans_of(text: Column, rank: int) -> Column:
     """Spans (code points, end exclusive) of rule ``rank`` in ``text``.
 
     Matches are leftmost and do not overlap. The pieces between them give their
-    places: a match starts after the pieces and matches before it.
+    places: a match starts after the pieces and matches before it. Lengths are
+    summed run by run, so that a text with very many matches stays cheap.
     """
     kind, pattern, group, least, needs = RULES[rank]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("found"), measured.alias("measured"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["piece"])
         stop = begin + F.length(x["found"])
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        more = F.when(F.length(x["measured"]) >= least, F.array(span)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+        more = F.when(F.length(x["measured"]) >= least, F.array(span)).otherwise(none)
         return F.struct(stop.alias("at"), F.concat(acc["spans"], more).alias("spans"))
 
-    zipped = F.arrays_zip(pieces.alias("piece"), found.alias("found"), measured.alias("measured"))
-    spans = F.aggregate(zipped, start, step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(needs)), spans).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def whole(matches):
+        run = lambda i: F.slice(matches, i * RUN + 1, F.lit(RUN))
+        runs = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
+        total = lambda xs, f: F.aggregate(xs, F.lit(0), lambda acc, x: acc + f(x))
+        sums = F.transform(runs, lambda i: total(run(i), lambda x: F.length(x["piece"]) + F.length(x["found"])))
+        spans = lambda before: F.transform(
+            runs, lambda i: F.aggregate(run(i), F.struct(total(F.slice(before, F.lit(1), i), lambda x: x).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        )
+        return F.when(F.size(matches) > 0, F.flatten(_bound(sums, spans))).otherwise(none)
+
+    # The piece behind the last match has none beside it.
+    spans = _bound(F.filter(zipped, lambda x: x["found"].isNotNull()), whole)
+    return F.when(F.rlike(text, F.lit(needs)), spans).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame) -> DataFrame:
@@ -73,14 +93,33 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFra
     return scan_blobs(blobs.groupBy("blob_id").agg(F.first("text").alias("text")).select("blob_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
-def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
-    """``path``, ``blob_id``, ``spans`` of every version, from a ledger that has all its blobs.
+def ledger_at(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger in the folder ``path``, which is made if it is not there; partitioned by rule version."""
+    empty = spark.createDataFrame([], f"blob_id string, spans array<{_SPAN}>, rule_version string")
+    empty.write.mode("ignore").partitionBy("rule_version").parquet(path)
+    return spark.read.schema(empty.schema).parquet(path)
+
+
+def record(versions: DataFrame, path: str) -> DataFrame:
+    """Scan what the ledger at ``path`` has not seen, append it, and return the whole ledger.
+
+    A run that is broken off appends nothing, so the next one scans the same
+    blobs again.
+    """
+    unseen = scan_unseen(versions, ledger_at(versions.sparkSession, path))
+    unseen.select("blob_id", "spans", "rule_version").write.mode("append").partitionBy("rule_version").parquet(path)
+    return ledger_at(versions.sparkSession, path)
+
+
+def findings(versions: DataFrame, ledger: DataFrame, *columns: Column) -> DataFrame:
+    """``path``, ``blob_id`` and ``spans`` of every version, from a ledger that has all its blobs.
 
-    Equal texts share one scan; rows that repeat a path are reported each, and
-    a null path stays null. An empty text has no spans, an empty table gives no
-    rows, and columns other than path and text are never read.
+    With ``columns``, these are made once a blob and come out in place of
+    ``spans``. Equal texts share one scan; rows that repeat a path are reported
+    each, and a null path stays null. An empty text has no spans, an empty
+    table gives no rows, and columns other than path and text are never read.
     """
-    now = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob_id", "spans")
+    now = ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob_id", *(columns or (F.col("spans"),)))
     return versions.select("path", "blob_id").join(now, "blob_id")
 
 
@@ -89,12 +128,13 @@ def _joined(spans: Column) -> Column:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every document, through a ledger of this run's own in the shared folder."""
     versions = versions_of(table(spark, sf_dir, "documents"))
-    # The digest is made once a blob, before the findings go out to the paths.
+    ledger = record(versions, f"{scratch_root(spark).rstrip('/')}/tickloom-ledger-{uuid.uuid4().hex}")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    digest = scan_unseen(versions).select("blob_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
-    return versions.select(F.col("path").alias("doc_id"), "blob_id").join(digest, "blob_id").drop("blob_id")
+    out = findings(versions, ledger, *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return out.withColumnRenamed("path", "doc_id").drop("blob_id")
 
 
 def _oracle() -> str:
