@@ -1,64 +1,98 @@
 """Packing documents into fixed windows by lexical retrieval.
 
-Each shard of documents has a BM25 inverted index over token ids. A seed
-document opens a window; its nearest unused neighbours fill the rest, the last
-of them cut so that the window is exactly full. Shards are runs of rows of one
-partition, so nothing is shuffled and every shard fits in a task.
+1. Texts become token ids, once; how many documents have a term and how long
+   documents are is counted over the whole corpus.
+2. A document's three heaviest terms by these counts order the corpus, so that
+   documents about the same things stand together whatever partition they came
+   from. Ranges of that order are the partitions, runs of them the shards.
+3. Each shard has a BM25 inverted index with the corpus' counts. A seed document
+   opens a window; its nearest unused neighbours by all of its terms fill the
+   rest, the last of them cut so that the window is exactly full.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import table
+from tickloom.llm.common import partitions, stored, table
 from tickloom.llm.tokens import ADDED, VOCABULARY, encoder
 
 WINDOW = 1024
 END_ID = 0
-#: A shard is closed when it has this many ids, or SHARD_DOCS documents.
-SHARD_TOKENS = 3_000_000
-SHARD_DOCS = 8_000
-#: BM25 parameters, and how many of a seed's rarest terms make its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 24
+#: A shard is closed when it has this many documents or ids.
+SHARD_DOCS, SHARD_TOKENS = 1024, 1_000_000
+#: Ids of a partition on average, and ids that one record batch takes.
+PARTITION_TOKENS, BATCH_TOKENS = 4_000_000, 1_000_000
+#: BM25 parameters; terms that a document is placed by; share of a shard's documents from which a term has a dense row.
+K1, B, PLACED_BY, DENSE = 1.2, 0.75, 3, 1 / 8
 SCHEMA = "doc_id {}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-class Index:
-    """BM25 postings of the documents of one shard; terms are token ids."""
-
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
-        sizes = np.array([len(d) for d in docs])
-        keys = np.concatenate(docs).astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(n, dtype=np.uint64), sizes)
-        keys.sort()
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        tf = np.diff(np.r_[first, len(keys)]).astype(np.float32)
-        keys = keys[first]
-        term, self.doc = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.start = np.searchsorted(term, np.arange(int(term[-1]) + 2))
-        df = np.diff(self.start)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = (K1 * (1 - B + B * sizes / max(1.0, sizes.mean()))).astype(np.float32)
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.df, self.n = df, n
-
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """BM25 scores of all documents for the rarest shared terms of ``ids``."""
-        terms = np.unique(ids)
+@dataclass(frozen=True)
+class Counts:
+    """Counts over the whole corpus: documents, documents that have each term, mean length."""
+
+    n: int
+    df: np.ndarray
+    mean: float
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, size) -> np.ndarray:
+        """BM25 weights of ``terms`` in documents of ``size`` ids."""
         df = self.df[terms]
-        terms, df = terms[df > 1], df[df > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(df, QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(terms):
-            return np.zeros(self.n, dtype=np.float32)
-        spans = [slice(a, b) for a, b in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)]
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(1.0, self.mean)))).astype(np.float32)
+
+    @staticmethod
+    def of(docs: list[np.ndarray]) -> Counts:
+        seen = np.concatenate([np.unique(d) for d in docs])
+        return Counts(len(docs), np.bincount(seen), sum(map(len, docs)) / max(1, len(docs)))
+
+
+class Index:
+    """BM25 postings of the documents of one shard; terms are token ids.
+
+    Terms that many documents have are rows of a matrix, whose products give
+    their part of all scores at once; all others are lists.
+    """
+
+    def __init__(self, docs: list[np.ndarray], counts: Counts):
+        self.n = n = len(docs)
+        found = [np.unique(d, return_counts=True) for d in docs]
+        sizes = np.array([len(t) for t, _ in found])
+        term, tf = (np.concatenate([x[i] for x in found]).astype(np.int64) for i in (0, 1))
+        doc = np.repeat(np.arange(n), sizes)
+        weight = counts.weights(term, tf, np.repeat([len(d) for d in docs], sizes))
+        own = np.bincount(term)
+        shared = own[term] > 1
+        term, doc, weight = term[shared], doc[shared], weight[shared]
+        dense = own[term] > max(2, DENSE * n)
+        names, row = np.unique(term[dense], return_inverse=True)
+        matrix, has = np.zeros((len(names), n), dtype=np.float32), np.zeros((n, len(names)), dtype=np.float32)
+        matrix[row, doc[dense]] = weight[dense]
+        has[doc[dense], row] = 1
+        self.common = has @ matrix
+        term, doc, weight = term[~dense], doc[~dense], weight[~dense]
+        names, term = np.unique(term, return_inverse=True)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(names)))]
+        order = np.argsort(doc, kind="stable")
+        self.terms, self.first = term[order], np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all documents for all terms of document ``seed``."""
+        terms = self.terms[self.first[seed] : self.first[seed + 1]]
+        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(terms) else np.zeros(0, dtype=np.int64)
+        return self.common[seed] + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, counts: Counts | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard.
 
     Documents are cut freely: whole windows of a long one first, then its rest
@@ -77,7 +111,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     unused = rest > 0
     if not unused.any():
         return pieces
-    index = Index(docs)
+    index = Index(docs, counts or Counts.of(docs))
     tail: list[tuple[int, int, int]] = []
     seed, pointer = None, 0
     while True:
@@ -93,7 +127,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
         ranked = None
         while filled < window:
             if ranked is None:
-                score = np.where(unused, index.scores(docs[query]), -1.0)
+                score = np.where(unused, index.scores(query), -1.0)
                 count = min(32, int(unused.sum()))
                 ranked = np.argpartition(-score, count - 1)[:count].tolist() if count else []
                 ranked.sort(key=lambda d, s=score: (-s[d], d))
@@ -135,49 +169,126 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return pieces
 
 
+def tokenised(docs: DataFrame, end_id: int = END_ID, vocabulary: str = VOCABULARY, added: str | None = ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``row`` (a number of the row), ``ids`` (little-endian uint32, with ``end_id`` behind) and ``size`` of every row."""
+
+    def rows(batches):
+        encode = encoder(vocabulary, added)
+        for batch in batches:
+            found, first, size = [], 0, 0
+            for i, text in enumerate(batch.column(2)):
+                found.append(np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4"))
+                size += len(found[-1])
+                if size >= BATCH_TOKENS or i == batch.num_rows - 1:
+                    part = batch.slice(first, i + 1 - first)
+                    sizes = pa.array([len(x) for x in found], type=pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in found], type=pa.binary()), sizes], ["id", "row", "ids", "size"])
+                    found, first, size = [], i + 1, 0
+
+    numbered = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    return numbered.mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, row long, ids binary, size long")
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column("ids")]
+
+
+def count_terms(tokens: DataFrame) -> Counts:
+    """Counts of a whole tokenised corpus; what reaches the driver is one number a term of the vocabulary."""
+
+    def rows(batches):
+        df = np.zeros(1 << 16, dtype=np.int64)
+        for batch in batches:
+            for ids in _ids(batch):
+                terms = np.unique(ids)
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.pad(df, (0, int(terms[-1]) + 1))
+                df[terms] += 1
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], ["term", "df"])
+
+    found = tokens.select("ids").mapInArrow(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(1 + max(found.column("term").to_pylist(), default=0), dtype=np.int64)
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    n, size = tokens.agg(F.count(F.lit(1)), F.sum("size")).first()
+    return Counts(n, df, (size or 0) / max(1, n))
+
+
+def placed(tokens: DataFrame, counts: Counts) -> DataFrame:
+    """``tokens`` with ``t0``, ``t1`` and so on: the terms that weigh most in each document among those of two documents or more, -1 for none."""
+    sent = tokens.sparkSession.sparkContext.broadcast(counts)
+    names = [f"t{i}" for i in range(PLACED_BY)]
+
+    def rows(batches):
+        own = sent.value
+        for batch in batches:
+            heavy = np.full((batch.num_rows, PLACED_BY), -1, dtype=np.int64)
+            for i, ids in enumerate(_ids(batch)):
+                terms, tf = np.unique(ids, return_counts=True)
+                known = own.df[terms] > 1
+                terms, tf = terms[known], tf[known]
+                weight = own.weights(terms, tf, len(ids))
+                best = terms[np.lexsort((terms, -weight))[:PLACED_BY]]
+                heavy[i, : len(best)] = best
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(heavy[:, i])) for i in range(PLACED_BY))], [*batch.schema.names, *names])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema.fields)
+    return tokens.mapInArrow(rows, schema + "".join(f", {c} long" for c in names))
+
+
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, added: str | None = ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all rows of ``docs``; each id lies in exactly one piece.
 
     A document is the ids of its whole text, where tokens that ``added`` lists
-    are found, and then ``end_id``; null and empty
-    texts are that id alone. Rows that repeat an id, and null ids, are packed
-    like others. An empty table gives no pieces; other columns are ignored.
+    are found, and then ``end_id``; null and empty texts are that id alone.
+    Rows that repeat an id, and null ids, are packed like others; equal scores
+    are filled in the order of the shard. An empty table gives no pieces; other
+    columns are ignored.
 
     Returns ``id_col``, ``start``, ``length``, ``ids`` (little-endian uint32),
     ``doc_tokens``, ``sequence_id`` (partition number times 2^32 and a running
     number) and ``offset``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    tokens = stored(tokenised(docs, end_id, vocabulary, added, id_col, text_col), "tokens")
+    counts = count_terms(tokens)
+    n_parts = max(partitions(docs.sparkSession), int(counts.n * counts.mean) // PARTITION_TOKENS + 1)
+    order = [*(f"t{i}" for i in range(PLACED_BY)), "row"]
+    # The row's number is the last key, so documents of one term, or copies of one text, go to as many partitions as they need.
+    ordered = placed(tokens, counts).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def shard(names, texts, base):
-        pieces = pack_shard(texts, window)
-        columns = [np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True)]
-        doc, start, length, sequence, offset = columns
-        ids = pa.array([texts[d][s : s + n].tobytes() for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)], type=pa.binary())
+    def shard(own, texts, base):
+        pieces = pack_shard(texts, window, sent.value)
+        doc, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        batch = [pa.array(names).take(pa.array(doc)), pa.array(start), pa.array(length), ids, pa.array(sizes[doc]), pa.array(base + sequence), pa.array(offset)]
-        for a in range(0, len(doc), 4096):
-            yield pa.RecordBatch.from_arrays([c.slice(a, 4096) for c in batch], [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for a in range(0, len(doc), 1024):
+            part = slice(a, a + 1024)
+            ids = pa.array([texts[d][s : s + n].tobytes() for d, s, n in zip(doc[part].tolist(), start[part].tolist(), length[part].tolist(), strict=True)], type=pa.binary())
+            columns = [own.take(pa.array(doc[part])), pa.array(start[part]), pa.array(length[part]), ids, pa.array(sizes[doc[part]]), pa.array(base + sequence[part]), pa.array(offset[part])]
+            yield pa.RecordBatch.from_arrays(columns, names)
         return int(sequence.max()) + 1
 
     def rows(batches):
         from pyspark import TaskContext
 
-        encode, base = encoder(vocabulary, added), TaskContext.get().partitionId() << 32
-        names, texts, size = [], [], 0
+        base, own, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.array([end_id], dtype="<u4"))
-                names.append(name)
+            first = 0
+            for i, ids in enumerate(_ids(batch)):
                 texts.append(ids)
                 size += len(ids)
                 if size >= SHARD_TOKENS or len(texts) >= SHARD_DOCS:
-                    base += yield from shard(pa.array(names, type=batch.schema.field(0).type), texts, base)
-                    names, texts, size = [], [], 0
+                    own.append(batch.column(0).slice(first, i + 1 - first))
+                    base += yield from shard(pa.concat_arrays(own), texts, base)
+                    own, texts, size, first = [], [], 0, i + 1
+            if first < batch.num_rows:
+                own.append(batch.column(0).slice(first))
         if texts:
-            yield from shard(pa.array(names, type=batch.schema.field(0).type), texts, base)
+            yield from shard(pa.concat_arrays(own), texts, base)
 
-    return docs.select(id_col, text_col).mapInArrow(rows, SCHEMA.format(kind).replace("doc_id", f"`{id_col}`", 1))
+    return ordered.select("id", "ids").mapInArrow(rows, SCHEMA.format(kind).replace("doc_id", f"`{id_col}`", 1))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
