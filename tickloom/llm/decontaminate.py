@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as h
 
-from tickloom.llm import bloom
+from tickloom.llm import bloom, verdicts
 from tickloom.llm.common import stored, table
 
 WINDOW, COVERAGE = 5, 0.8
@@ -268,9 +268,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__dropped"), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    A verdict is of a text, whatever its id: rows with a null id are judged
+    like others, and other texts of a dropped id stay. Null and empty texts
+    stay, repeated rows go or stay together, an empty benchmark keeps all rows
+    and an empty table gives none; all columns of ``docs`` come back.
+    """
+    digest = F.sha2(docs[text_col], 256)
+    gone = contaminated(docs.select(digest.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text").select(F.col("id").alias("sha")).distinct()
+    return verdicts.without(docs, stored(gone, "contaminated"), {"sha": digest})
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Fingerprints are compared only where they agree in two of six blocks of bits:
-with at most four differing bits four blocks can differ, so no link is missed.
+Fingerprints are compared only where they agree in some blocks of bits: with at
+most four differing bits, four of their blocks can differ, so no link is
+missed. There are six blocks, seven or eight by the number of fingerprints, so
+that the runs to compare stay short; which links are found is the same for all.
 Of these pairs, those whose Hamming distances to a set of reference
 fingerprints (pivots) differ by more than four in any coordinate are discarded
 by the triangle inequality; the survivors are verified bit by bit.
@@ -16,151 +18,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm import near_text, pivots
 from tickloom.llm.common import partitions, stored, table
 from tickloom.llm.components import components
 
-WORDS, SEED, RADIUS = 4, 42, 4
-#: (shift, width) of the six blocks of bits.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-PIVOTS = np.random.default_rng(20240229).integers(0, 1 << 64, 16, dtype=np.uint64)
-#: Runs of equal keys up to this length are compared pair by pair, longer ones by growing clusters.
-SHORT_RUN = 16
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+WORDS, RADIUS = 4, 4
+#: Blocks in which fingerprints agree, and chance runs of a key, on average, from which one more is asked for.
+AGREE, CHANCE_RUN = (2, 3, 4), 16
 
 
 def fingerprint(raw: bytes) -> int:
     """SimHash of UTF-8 text: XXH64 of every shingle of four words, repeats included; a bit is set if it is in over half of them."""
-    from xxhash import xxh64_intdigest
-
-    words = raw.translate(_LOWER).split()
-    if not words:
-        return 0
-    text = b" ".join(words)
-    if len(words) < WORDS:
-        return xxh64_intdigest(text, SEED)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    stop = np.cumsum(size + 1) - 1
-    start = (stop - size)[: 1 - WORDS].tolist()
-    hashes = np.array([xxh64_intdigest(text[a:b], SEED) for a, b in zip(start, stop[WORDS - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    ones = np.zeros(64, dtype=np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: list[str] | None = None) -> DataFrame:
-    """``id`` and ``fp`` (signed long) of every row, and the columns ``also``; null texts count as empty."""
-    also = also or []
+    return near_text.fingerprint_of(near_text.shingles(near_text.words_of(raw), WORDS))
+
+
+def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and ``fp`` (signed long) of every row; null texts count as empty."""
 
     def rows(batches):
         for batch in batches:
             found = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), *batch.columns[2:]], ["id", "fp", *also])
-
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in also)
-    return docs.select(id_col, text_col, *also).mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp long{more}")
-
-
-def _keys(fp):
-    """One key for each pair of blocks, unlike those of other pairs."""
-    block = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in BLOCKS]
-    return F.array(*(F.lit(i << 22) + F.shiftleft(block[a], 11) + block[b] for i, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))))
-
-
-def distance_table(fps: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints to all pivots, ``int8[n, pivots]``."""
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-
-
-def _near(fps: np.ndarray, coords: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs link: the pivot table discards first, four coordinates at a time, then bits are counted."""
-    left = np.arange(len(i))
-    for a in range(0, coords.shape[1], 4):
-        far = np.abs(coords[i[left], a : a + 4] - coords[j[left], a : a + 4]).max(axis=1) > RADIUS if len(left) else np.zeros(0, dtype=bool)
-        left = left[~far]
-    ok = np.bitwise_count(fps[i[left]] ^ fps[j[left]]) <= RADIUS
-    out = np.zeros(len(i), dtype=bool)
-    out[left[ok]] = True
-    return out
-
-
-def _grow(fps: np.ndarray, coords: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span each cluster of one run: members are met once, by their first neighbour."""
-    links, free = [], np.arange(len(fps))
-    while len(free) > 1:
-        seed, free = free[0], free[1:]
-        front = [seed]
-        while front and len(free):
-            x = front.pop()
-            new = _near(fps, coords, np.full(len(free), x), free)
-            if new.any():
-                found = free[new]
-                links += [(int(seed), int(y)) for y in found]
-                front += found.tolist()
-                free = free[~new]
-    return links
-
-
-def links_in_runs(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints with equal keys; equal keys stand together."""
-    coords = distance_table(fps)
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[first, len(keys)])
-    long_runs = sizes > SHORT_RUN
-    a, b = [], []
-    short = np.repeat(~long_runs, sizes)
-    for lag in range(1, SHORT_RUN):
-        i = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:]) if len(keys) > lag else np.zeros(0, dtype=int)
-        if not len(i):
-            break
-        near = _near(fps, coords, i, i + lag)
-        a.append(fps[i[near]])
-        b.append(fps[i[near] + lag])
-    for at, n in zip(first[long_runs].tolist(), sizes[long_runs].tolist(), strict=True):
-        grown = np.array(_grow(fps[at : at + n], coords[at : at + n]), dtype=np.int64).reshape(-1, 2) + at
-        a.append(fps[grown[:, 0]])
-        b.append(fps[grown[:, 1]])
-    none = np.zeros(0, dtype=np.uint64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["id", "fp"])
 
+    return docs.select(id_col, text_col).mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
-def _run_links(batches):
-    """Links of a partition sorted by key; a run that a batch cuts is carried on."""
-    held_k, held_f = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
 
-    def out(keys, fps):
-        a, b = links_in_runs(keys, fps)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def agreeing_blocks(n: int) -> int:
+    """Blocks of ``RADIUS + k`` that keys take, for ``n`` fingerprints."""
+    return next((k for k in AGREE if n <= CHANCE_RUN << (64 * k // (RADIUS + k))), AGREE[-1])
 
-    for batch in batches:
-        held_k = np.r_[held_k, batch.column(0).to_numpy()]
-        held_f = np.r_[held_f, batch.column(1).to_numpy().view(np.uint64)]
-        cut = int(np.searchsorted(held_k, held_k[-1])) if len(held_k) else 0
-        if cut:
-            yield out(held_k[:cut], held_f[:cut])
-            held_k, held_f = held_k[cut:], held_f[cut:]
-    if len(held_k):
-        yield out(held_k, held_f)
 
+def _keys(fp, agree: int):
+    """One key for each choice of ``agree`` blocks, unlike those of other choices."""
+    edges = [64 * i // (RADIUS + agree) for i in range(RADIUS + agree + 1)]
+    block = [(b - a, F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) for a, b in zip(edges, edges[1:], strict=False)]
+    keys = []
+    for i, chosen in enumerate(combinations(block, agree)):
+        key = F.lit(i).cast("long")
+        for width, bits in chosen:
+            key = F.shiftleft(key, width) + bits
+        keys.append(key)
+    return F.array(*keys)
+
+
+def _run_links(batches):
+    """Links of a partition sorted by key."""
+    for keys, fps in pivots.whole_runs(batches):
+        i, j = pivots.near_in_runs(keys, fps.view(np.uint64), RADIUS)
+        yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], ["a", "b"])
 
-def links(fps: DataFrame) -> DataFrame:
+
+def links(fps: DataFrame, agree: int | None = None) -> DataFrame:
     """Links (``a``, ``b``) between the distinct fingerprints in ``fps`` (``fp``), enough of them to connect all that are connected."""
-    keyed = fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
+    keyed = fps.select(F.explode(_keys(F.col("fp"), agree or agreeing_blocks(fps.count()))).alias("key"), "fp")
     n = partitions(fps.sparkSession)
     return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_run_links, "a long, b long")
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, also: list[str] | None = None) -> DataFrame:
-    """``fp``, ``id``, the columns ``also`` and ``component_id`` of every row."""
-    prints = stored(with_fingerprint(docs, id_col, text_col, also), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = nodes.join(least, "root").select("fp", "component_id")
-    return prints.join(labels, "fp")
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near-duplicate groups, one row a document.
 
@@ -173,19 +87,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Returns ``id_col``, ``fingerprint`` (16 hex digits) and ``component_id``.
     """
-    return _labelled(docs, id_col, text_col).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    prints = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    roots = components(links(nodes))
+    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = nodes.join(least, "root").select("fp", "component_id")
+    return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the smallest id of each near-duplicate group; rows with a null id stay.
-
-    A verdict is of an id and a text together: other texts of a dropped id stay.
-    """
-    # Equal texts have equal fingerprints, so the text's hash leads to the verdict without a second fingerprint.
-    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    labelled = _labelled(docs.select(F.col(id_col), F.col(text_col), digest.alias("__sha")), id_col, text_col, ["__sha"])
-    gone = labelled.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("__dropped"), "__sha").distinct()
-    return docs.join(gone, (docs[id_col] == F.col("__dropped")) & (digest == F.col("__sha")), "left_anti")
+    """``docs`` with one row of each group of near-equal texts: fingerprints of five words propose, shingles decide; see :mod:`near_text`."""
+    return near_text.keep_one(docs, id_col, text_col)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
