@@ -1,17 +1,25 @@
-"""Limit-order-book reconstruction with window expressions.
+"""Limit-order-book reconstruction.
 
 Every price level of a day is a running sum with a floor at zero: with S the
 running sum since the last reset, the level is ``S - least(0, min S)``. Resets
-are absolute sizes and clears. Levels become intervals of validity, and the
-book after an event is the set of intervals that hold it.
+are absolute sizes and clears. Single levels are window expressions; the whole
+book after every event, which would multiply events by levels there, is a fold
+of each day.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickloom.schema import ADD, ASK, BAD_SIZE, BID, CANCEL, CLEAR, CROSSED, DAY, DEFAULT, LOCKED, MODIFY, NEGATIVE_SIZE, OUT_OF_RANGE, TRADE, Settings
+from tickloom.operators import ladder
+from tickloom.schema import ADD, ASK, BAD_SIZE, BID, CLEAR, CROSSED, DAY, DEFAULT, LOCKED, MODIFY, OUT_OF_RANGE, TRADE, Settings
+
+#: Columns that the book adds to its events.
+BOOK = {"row": T.LongType(), "bid_px": T.LongType(), "ask_px": T.LongType(), "bid_depth": T.ArrayType(T.LongType()), "ask_depth": T.ArrayType(T.LongType()), "book_flags": T.IntegerType()}
 
 
 def _day():
@@ -49,44 +57,28 @@ def level_states(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.lag("level").over(_level()), F.lit(0))).drop("delta", "segment", "total")
 
 
-def live_levels(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """Intervals ``[row, until)`` in which a level has ``level`` > 0."""
-    last = screened(events, cfg).groupBy(*DAY).agg((F.max("row") + 1).alias("end"))
-    states = level_states(events, cfg).withColumn("next", F.lead("row").over(_level())).filter("level > 0")
-    return states.join(last, [*DAY]).select(*DAY, "book_side", "price", "level", "row", F.coalesce("next", "end").alias("until"))
-
-
-def book_tops(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """``bid_px``, ``ask_px`` (null: empty) and dense depth arrays after each row.
+def book_frame(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """The events with ``row`` and the book after each: ``bid_px``, ``ask_px`` (null: empty), dense depth arrays and ``book_flags``.
 
-    One exchange: levels that live at a row meet by (day, row). Their number is
-    that of the book's levels, whatever the length of the day.
+    A day of an instrument is one group: the days' number grows with the data,
+    a day does not. Its rows meet in one exchange and are folded by array
+    operations (:mod:`ladder`).
     """
-    alive = live_levels(events, cfg).select(*DAY, "book_side", "price", "level", F.explode(F.sequence("row", F.col("until") - 1)).alias("row"))
-    entry = F.struct("price", "level")
-    sides = alive.groupBy(*DAY, "row").agg(
-        F.max(F.when(F.col("book_side") == BID, F.col("price"))).alias("bid_px"),
-        F.min(F.when(F.col("book_side") == ASK, F.col("price"))).alias("ask_px"),
-        F.map_from_entries(F.collect_list(F.when(F.col("book_side") == BID, entry))).alias("bids"),
-        F.map_from_entries(F.collect_list(F.when(F.col("book_side") == ASK, entry))).alias("asks"),
-    )
-    steps = F.sequence(F.lit(0), F.lit(cfg.levels - 1))
-    depth = lambda m, at: F.transform(steps, lambda i: F.coalesce(F.try_element_at(m, at(i)), F.lit(0).cast("long")))
-    return sides.select(
-        *DAY, "row", "bid_px", "ask_px",
-        depth(F.col("bids"), lambda i: F.coalesce("bid_px", F.lit(0)) - i).alias("bid_depth"), depth(F.col("asks"), lambda i: F.coalesce("ask_px", F.lit(0)) + i).alias("ask_depth"),
-    )
-
-
-def book_frame(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """The events with the book after each: prices, depth arrays and ``book_flags``."""
-    rows = screened(events, cfg)
-    zero = F.array_repeat(F.lit(0).cast("long"), cfg.levels)
-    negative = level_states(events, cfg).filter(F.col("action").isin(CANCEL, TRADE) & (F.col("size") > F.col("before"))).select(*DAY, "row", F.lit(NEGATIVE_SIZE).alias("negative"))
-    rows = rows.join(book_tops(events, cfg), [*DAY, "row"], "left").join(negative, [*DAY, "row"], "left")
-    state = F.when(F.col("bid_px") > F.col("ask_px"), CROSSED).when(F.col("bid_px") == F.col("ask_px"), LOCKED).otherwise(0)
-    flags = F.when(F.col("reject") > 0, F.col("reject")).when(F.col("action") == CLEAR, 0).otherwise(F.coalesce("negative", F.lit(0)) + state)
-    return rows.withColumns({"bid_depth": F.coalesce("bid_depth", zero), "ask_depth": F.coalesce("ask_depth", zero), "book_flags": flags.cast("int")}).drop("first_price", "reject", "book_side", "negative")
+    fields = events.schema.fields
+
+    def day(table: pa.Table) -> pa.Table:
+        table = table.take(np.argsort(table.column("sequence").to_numpy(), kind="stable"))
+        column = lambda c, empty: table.column(c).combine_chunks().fill_null(empty).to_numpy(zero_copy_only=False).astype(np.int64)
+        known = table.column("price").is_valid().to_numpy(zero_copy_only=False)
+        found = ladder.fold(column("action", -1), column("side", 0), column("price", 0), column("size", 0), known, cfg.levels, cfg.price_window)
+        n = table.num_rows
+        px = [pa.array(found[f"{s}_px"], mask=~found[f"has_{s}"]) for s in ("bid", "ask")]
+        depth = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * cfg.levels), pa.array(found[f"{s}_depth"].ravel())) for s in ("bid", "ask")]
+        more = [pa.array(np.arange(1, n + 1)), *px, *depth, pa.array(found["book_flags"].astype(np.int32))]
+        return pa.table([*table.columns, *more], [*table.column_names, *BOOK])
+
+    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in BOOK.items())])
+    return events.groupBy(*DAY).applyInArrow(day, schema)
 
 
 def wide_depth(book: DataFrame, levels: int = DEFAULT.levels) -> DataFrame:
