@@ -226,9 +226,12 @@ def substring_expected(rows):
     return out
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("small", [{}, {"HOT_CONTEXTS": 4, "HOT_PART": 3}])
+def test_substring_dedup(spark, monkeypatch, small):
+    for name, value in small.items():  # anchors taken apart
+        monkeypatch.setattr(substring_dedup, name, value)
     shared = [prose(30, s) for s in range(6)]
-    rows = ODD + [(50 + i, f"{prose(12, 900 + i)} {shared[i % 6]} {prose(i % 20, i)} {shared[(i * 5 + 1) % 6]}") for i in range(60)]
+    rows = (ODD if not small else [r for r in ODD if r[1] is not LONG]) + [(50 + i, f"{prose(12, 900 + i)} {shared[i % 6]} {prose(i % 20, i)} {shared[(i * 5 + 1) % 6]}") for i in range(60)]
     rows += [(200 + i, "x" * (49 + i % 3)) for i in range(4)] + [(300, "ab" * 80), (301, "ba" * 90), (302, "\x00" * 120), (303, "\x00" * 90 + "q")]
     got = {r.doc_id: (r.n_bytes, sum(s.stops - s.starts for s in r.spans), len(r.spans), bytes(r.kept)) for r in substring_dedup.without_repeats(docs_frame(spark, rows)).collect()}
     assert got == substring_expected(rows)
@@ -236,6 +239,30 @@ def test_substring_dedup(spark):
     assert substring_dedup.without_repeats(docs_frame(spark, [])).count() == 0
 
 
+def test_merged_shards_give_the_first_owners(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_CONTEXTS", 7)
+    draw = np.random.default_rng(5)
+    for _ in range(5):
+        pieces = draw.integers(97, 99, (12, 40), dtype=np.uint8)
+        contexts = np.concatenate([pieces[draw.integers(0, 12, 60)], pieces[draw.integers(0, 12, 60)]], axis=1)
+        lo, hi, least = draw.integers(0, 9, 60), draw.integers(70, 81, 60), draw.integers(0, 1000, 60)
+        contexts = np.where((np.arange(80) >= lo[:, None]) & (np.arange(80) < hi[:, None]), contexts, np.uint8(0))
+        first = {}
+        for c, a, b, i in zip(contexts, lo, hi, least, strict=True):
+            for w in range(31):
+                if a <= w and w + 50 <= b:
+                    first[c[w : w + 50].tobytes()] = min(i, first.get(c[w : w + 50].tobytes(), i))
+        expected = [[first[c[w : w + 50].tobytes()] if a <= w and w + 50 <= b else substring_dedup.NONE for w in range(31)] for c, a, b in zip(contexts, lo, hi, strict=True)]
+        assert (substring_dedup.first_owners(contexts, lo, hi, least) == np.array(expected)).all()
+
+
+def test_contexts_are_equal_byte_by_byte():
+    draw = np.random.default_rng(3)
+    contexts = draw.integers(97, 99, (200, substring_dedup.CONTEXT), dtype=np.uint8)[draw.integers(0, 40, 200)]
+    first, inverse = substring_dedup._distinct(contexts, np.zeros(200, dtype=np.uint64))  # every hash collides
+    assert (contexts[first[inverse.ravel()]] == contexts).all() and len(first) == len(np.unique(contexts, axis=0))
+
+
 def test_shard_order_is_the_order_of_prefixes():
     text = np.frombuffer(b"abracadabra" * 9 + b"zzz", dtype=np.uint8)
     padded = text.tobytes() + b"\0" * 50
