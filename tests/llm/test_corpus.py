@@ -472,13 +472,22 @@ def test_best_region_is_the_greatest_sum():
 def test_token_counts(spark, tmp_path):
     from tickloom.llm.tokens import encoder
 
-    rows = [(i, t) for i, t in ODD if i is not None] + [(70 + i, prose(i * 3, i)) for i in range(30)]
-    expected = sorted((i, len(encoder()(t or ""))) for i, t in rows)
-    for size in (7, 64, 1 << 16):
-        found = token_counts.documents_of(token_counts.separators(token_counts.flatten(docs_frame(spark, rows), block_tokens=size)))
-        got = found.selectExpr("element_at(closes, place + 1) doc_id", "n_tokens").collect()
-        assert sorted((r.doc_id, r.n_tokens) for r in got) == expected
-    assert token_counts.documents_of(token_counts.separators(token_counts.flatten(docs_frame(spark, [])))).count() == 0
+    rows = ODD + [(70 + i, prose(i * 3, i)) for i in range(30)] + [(None, None), (71, prose(3, 1))]
+    expected = sorted((str(i), len(encoder()(t or ""))) for i, t in rows)
+    short = [r for r in rows if r[1] is not LONG]
+    for size, some in ((7, short), (4096, rows)):
+        got = token_counts.counted(docs_frame(spark, some), f"file://{tmp_path}/flat{size}", size).collect()
+        assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted(x for x in expected if some is rows or x[1] < 10_000)
+    rows = short
+    (tmp_path / "flat7" / "part-000000-lost.bin").write_bytes(b"abc")  # what a lost task leaves
+    manifest = token_counts.stored(token_counts.write_flat(docs_frame(spark, rows), f"file://{tmp_path}/flat7").withColumn("file", token_counts._name("file")), "m")
+    assert token_counts.read_flat(spark, f"file://{tmp_path}/flat7", manifest=manifest).select("file").distinct().count() == manifest.select("file").distinct().count()
+    named = docs_frame(spark, rows).selectExpr("concat('d', doc_id) doc_id", "text", "1 block")
+    assert {r.doc_id for r in token_counts.counted(named, f"file://{tmp_path}/named").collect()} == {i and f"d{i}" for i, _ in rows}
+    assert token_counts.counted(docs_frame(spark, []), f"file://{tmp_path}/none").count() == 0
+    tmp_path = tmp_path / "own"
+    tmp_path.mkdir()
+    (tmp_path / "c.bin").write_bytes(b"")
     end = token_counts.END_ID
     np.array([5, 6, end, end, 7, end, 8, 9], dtype="<u2").tofile(tmp_path / "a.bin")
     np.array([end], dtype="<u2").tofile(tmp_path / "b.bin")

@@ -1,85 +1,116 @@
 """Token counts of documents in flat token files, by a scan for separators.
 
-The files are ids only: no index says where a document ends. Every block of a
-file is searched for end-of-document ids at once; documents that cross blocks
-are stitched by a prefix scan over the blocks' counts and last separators.
+The files are ids only: no index says where a document ends. They are read in
+byte ranges; every block of a file is searched for end-of-document ids at once,
+and documents that cross blocks are stitched by a prefix scan over the blocks'
+counts and last separators.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import stored, table
+from tickloom.llm.common import partitions, scratch_root, stored, table
 from tickloom.llm.tokens import VOCABULARY, encoder
 
 END_ID = 50_256
+DTYPE = "<u2"
 BLOCK_TOKENS = 1 << 18
-#: Blocks that the first level of the prefix scan takes together.
-SUPER_BLOCKS = 4096
+#: Blocks that the first level of the prefix scan takes together, and blocks that a task reads on average.
+SUPER_BLOCKS, TASK_BLOCKS = 4096, 64
 
 
-def read_flat(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (``file``, ``block``, ``ids``) of the flat files at ``path``.
+def _folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI; Spark writes local ones with a single slash."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(uri) if rest else (fs.LocalFileSystem(), uri)
 
-    A file is one row of Spark's binary reader, which takes files below 2 GiB;
-    corpora of flat shards keep theirs under that. A file whose size is not a
-    multiple of the item size is an error; an empty one has no blocks.
-    """
-    step = block_tokens * np.dtype(dtype).itemsize
 
-    def rows(batches):
-        for batch in batches:
-            for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                data = content.as_buffer()
-                if data.size % np.dtype(dtype).itemsize:
-                    raise ValueError(f"{name}: {data.size} bytes are no whole number of {dtype} ids")
-                for i, a in enumerate(range(0, data.size, step)):
-                    ids = data.slice(a, min(step, data.size - a)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([i]), pa.array([ids], type=pa.binary())], ["file", "block", "ids"])
+def _name(file: str):
+    return F.element_at(F.split(file, "/"), -1)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, block long, ids binary")
 
+def read_flat(spark: SparkSession, path: str, dtype: str = DTYPE, block_tokens: int = BLOCK_TOKENS, manifest: DataFrame | None = None) -> DataFrame:
+    """Blocks (``file``, ``block``, ``ids``) of the flat files at ``path``, a folder or pattern that both Spark and pyarrow can open.
 
-def flatten(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` (``doc_id``, ``text``) as flat streams in blocks, one stream a partition.
+    With a ``manifest`` only files that it names are read: what a task left
+    behind that was lost half-way is not one of them.
 
-    Null texts are empty. ``closes`` has the ids of the documents whose
-    end-of-document id the block holds, in order: a manifest beside the stream
-    that the scan does not read.
+    Spark lists names and lengths; tasks read ranges, so a file may have any
+    size. A file whose size is not a multiple of the item size is an error; an
+    empty one has no blocks.
+    """
+    item = np.dtype(dtype).itemsize
+    step = block_tokens * item
+
+    def rows(batches):
+        name = source = None
+        for batch in batches:
+            for file, block, size in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "size")), strict=True):
+                if size % item:
+                    raise ValueError(f"{file}: {size} bytes are no whole number of {dtype} ids")
+                if file != name:
+                    system, place = _folder(file)
+                    name, source = file, system.open_input_file(place)
+                ids = source.read_at(min(step, size - block * step), block * step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([ids], type=pa.binary())], ["file", "block", "ids"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).filter("size > 0")
+    if manifest is not None:
+        files = files.join(manifest.select(F.col("file").alias("__name")).distinct(), _name("file") == F.col("__name"), "left_semi")
+    blocks = files.select("file", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / step))).alias("block"))
+    n = max(partitions(spark), (files.agg(F.sum(F.ceil(F.col("size") / step))).first()[0] or 0) // TASK_BLOCKS)
+    return blocks.repartition(n, "file", F.floor(F.col("block") / TASK_BLOCKS)).sortWithinPartitions("file", "block").mapInArrow(rows, "file string, block long, ids binary")
+
+
+def write_flat(docs: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Write ``docs`` (``doc_id``, ``text``) as flat files in ``folder``, one for each partition, and return the manifest beside them.
+
+    Null texts are empty, ids may be null and repeat. The manifest (``file``,
+    ``block``, ``closes``) has the ids of the documents whose end-of-document
+    id each block holds, in order; the scan of the files does not read it. A
+    task that is run again writes a file of another name, and only files in the
+    manifest count.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
         from pyspark import TaskContext
 
-        encode, name, block = encoder(vocabulary), f"part-{TaskContext.get().partitionId():06d}", 0
-        held, size = [], 0
-        closes: list[list] = [[]]
+        context, encode, sink, size = TaskContext.get(), encoder(vocabulary), None, 0
+        name, block, closes = f"{folder}/part-{context.partitionId():06d}-{context.taskAttemptId()}.bin", 0, []
 
-        def row(ids):
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([ids.astype("<u2").tobytes()], type=pa.binary()), pa.array([closes.pop(0)], type=pa.list_(pa.int64()))], ["file", "block", "ids", "closes"])
+        def row(names):
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block]), pa.array([names], type=pa.list_(id_type))], ["file", "block", "closes"])
 
         for batch in batches:
+            id_type = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID))
-                held.append(ids)
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype(DTYPE)
+                if sink is None:
+                    system, place = _folder(name)
+                    sink = system.open_output_stream(place)
+                sink.write(ids.tobytes())
                 size += len(ids)
-                while (size - 1) // block_tokens >= len(closes):
-                    closes.append([])
-                closes[-1].append(doc)
-                if size >= block_tokens:
-                    stream, whole = np.concatenate(held), size // block_tokens
-                    for a in range(whole):
-                        yield row(stream[a * block_tokens : (a + 1) * block_tokens])
-                        block += 1
-                    held, size = [stream[whole * block_tokens :]], size - whole * block_tokens
-                    closes = closes or [[]]
-        if size:
-            yield row(np.concatenate(held))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "file string, block long, ids binary, closes array<long>")
+                while (size - 1) // block_tokens > block:
+                    yield row(closes)
+                    block, closes = block + 1, []
+                closes.append(doc)
+        if sink is not None:
+            sink.close()
+            yield row(closes)
+
+    system, place = _folder(folder)
+    system.create_dir(place)
+    return stored(docs.select("doc_id", "text").mapInArrow(rows, f"file string, block long, closes array<{kind}>"), "manifest")
 
 
 def separators(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
@@ -135,11 +166,24 @@ def documents_of(found: DataFrame) -> DataFrame:
     ).filter("closed OR n_tokens > 0")
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of ``documents``, flattened to streams and found again in them."""
-    found = stored(separators(flatten(table(spark, sf_dir, "documents"))), "separators")
-    out = documents_of(found)
+def counted(docs: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``doc_id``, ``file``, ``ordinal``, ``start`` and ``n_tokens`` of ``docs`` (``doc_id``, ``text``), through flat files in ``folder``.
+
+    Null and empty texts have no tokens; repeated rows are counted each, and an
+    empty table gives no rows.
+    """
+    manifest = write_flat(docs, folder, block_tokens).withColumn("file", _name("file"))
+    if manifest.isEmpty():
+        out = documents_of(separators(docs.sparkSession.createDataFrame([], "file string, block long, ids binary"))).withColumn("closes", F.array().cast(manifest.schema["closes"].dataType))
+    else:
+        found = stored(separators(read_flat(docs.sparkSession, folder, block_tokens=block_tokens, manifest=manifest)), "separators")
+        out = documents_of(found.withColumn("file", _name("file")).join(manifest, ["file", "block"]))
     return out.select(F.element_at("closes", F.col("place") + 1).alias("doc_id"), "file", "ordinal", "start", "n_tokens")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of ``documents``, written as flat files in the shared folder and found again in them."""
+    return counted(table(spark, sf_dir, "documents"), f"{scratch_root(spark).rstrip('/')}/tickloom-flat-{uuid.uuid4().hex}")
+
+
 ORACLE: dict[str, str] = {}
