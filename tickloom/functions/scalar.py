@@ -33,3 +33,12 @@ def day_seed(*parts: Column) -> Column:
 
 def nan_to_null(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
+
+
+def zip_strict(**arrays: Column) -> Column:
+    """Array of structs from arrays by position; arrays of different sizes are an error."""
+    first, *others = arrays.values()
+    same = F.lit(True)
+    for x in others:
+        same = same & (F.size(x) == F.size(first))
+    return F.when(same, F.arrays_zip(*(x.alias(k) for k, x in arrays.items()))).otherwise(F.raise_error(F.lit("arrays of different sizes")))

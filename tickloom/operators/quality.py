@@ -94,3 +94,29 @@ def trading_days(spark, first: str, last: str, holidays: list[str]) -> DataFrame
     """Weekdays of a range that are no holidays."""
     days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("date"))
     return days.filter((F.dayofweek("date").between(2, 6)) & ~F.col("date").cast("string").isin(*holidays))
+
+
+class BadDays(ValueError):
+    """Days that must not be worked on."""
+
+
+def enforce(counts: DataFrame, most_shown: int = 20) -> None:
+    """Raise :class:`BadDays` if :func:`verdicts` refuses any day of ``counts`` (:func:`flag_counts`)."""
+    bad = verdicts(counts).filter("verdict <> 'ok'").select(*DAY, "verdict").orderBy(*DAY)
+    shown = bad.limit(most_shown).collect()
+    if shown:
+        raise BadDays("; ".join(f"{r[0]} {r[1]}: {r[2]}" for r in shown) + ("; and more" if len(shown) == most_shown else ""))
+
+
+def check_definitions(definitions: DataFrame, expected: float, column: str = "tick_size") -> DataFrame:
+    """Distinct tick sizes, to nine places, with ``ok`` where they are the expected one; a null is not."""
+    sizes = definitions.select(F.round(F.col(column).cast("double"), 9).alias(column)).distinct()
+    return sizes.withColumn("ok", F.col(column).eqNullSafe(F.round(F.lit(float(expected)), 9)))
+
+
+def verify_tick_size(definitions: DataFrame, expected: float, column: str = "tick_size") -> None:
+    """Raise if the definitions have another tick size than ``expected``, or none."""
+    found = check_definitions(definitions, expected, column)
+    n, good = found.agg(F.count(F.lit(1)), F.count_if("ok")).first()
+    if n != 1 or good != 1:
+        raise ValueError(f"tick sizes {sorted(str(r[0]) for r in found.limit(20).collect())} are not {expected}")
