@@ -93,21 +93,14 @@ class Index:
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, counts: Counts | None = None) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) of one shard.
+    """Pieces (document, start, length, sequence, offset) of one shard, whose documents are shorter than ``window``.
 
-    Documents are cut freely: whole windows of a long one first, then its rest
-    is a seed or a neighbour. Every sequence is full but what is left at last,
+    Documents are cut freely. Every sequence is full but what is left at last,
     which is dealt to sequences whose lengths are powers of two.
     """
     pieces, sequence = [], 0
-    sizes = [len(d) for d in docs]
     at = [0] * len(docs)
-    for d, size in enumerate(sizes):
-        for _ in range(size // window):
-            pieces.append((d, at[d], window, sequence, 0))
-            at[d] += window
-            sequence += 1
-    rest = np.array(sizes) - np.array(at)
+    rest = np.array([len(d) for d in docs])
     unused = rest > 0
     if not unused.any():
         return pieces
@@ -169,8 +162,11 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, counts: Counts | No
     return pieces
 
 
-def tokenised(docs: DataFrame, end_id: int = END_ID, vocabulary: str = VOCABULARY, added: str | None = ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``row`` (a number of the row), ``ids`` (little-endian uint32, with ``end_id`` behind) and ``size`` of every row."""
+def tokenised(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str = VOCABULARY, added: str | None = ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``row`` (a number of the row), ``whole`` (ids that fill windows by themselves), ``ids`` (those behind) and ``size`` of every row.
+
+    Ids are little-endian uint32, with ``end_id`` behind the last.
+    """
 
     def rows(batches):
         encode = encoder(vocabulary, added)
@@ -181,12 +177,13 @@ def tokenised(docs: DataFrame, end_id: int = END_ID, vocabulary: str = VOCABULAR
                 size += len(found[-1])
                 if size >= BATCH_TOKENS or i == batch.num_rows - 1:
                     part = batch.slice(first, i + 1 - first)
-                    sizes = pa.array([len(x) for x in found], type=pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in found], type=pa.binary()), sizes], ["id", "row", "ids", "size"])
+                    full = [len(x) - len(x) % window for x in found]
+                    ids = (pa.array([x[:n].tobytes() for x, n in zip(found, full, strict=True)], type=pa.binary()), pa.array([x[n:].tobytes() for x, n in zip(found, full, strict=True)], type=pa.binary()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *ids, pa.array([len(x) for x in found], type=pa.int64())], ["id", "row", "whole", "ids", "size"])
                     found, first, size = [], i + 1, 0
 
     numbered = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return numbered.mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, row long, ids binary, size long")
+    return numbered.mapInArrow(rows, f"id {docs.schema[id_col].dataType.simpleString()}, row long, whole binary, ids binary, size long")
 
 
 def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -194,7 +191,7 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def count_terms(tokens: DataFrame) -> Counts:
-    """Counts of a whole tokenised corpus; what reaches the driver is one number a term of the vocabulary."""
+    """Counts over the ``ids`` of all documents; what reaches the driver is one number a term of the vocabulary."""
 
     def rows(batches):
         df = np.zeros(1 << 16, dtype=np.int64)
@@ -210,7 +207,7 @@ def count_terms(tokens: DataFrame) -> Counts:
     found = tokens.select("ids").mapInArrow(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(1 + max(found.column("term").to_pylist(), default=0), dtype=np.int64)
     df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    n, size = tokens.agg(F.count(F.lit(1)), F.sum("size")).first()
+    n, size = tokens.filter(F.octet_length("ids") > 0).agg(F.count(F.lit(1)), F.sum(F.octet_length("ids") / 4)).first()
     return Counts(n, df, (size or 0) / max(1, n))
 
 
@@ -241,54 +238,74 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
 
     A document is the ids of its whole text, where tokens that ``added`` lists
     are found, and then ``end_id``; null and empty texts are that id alone.
-    Rows that repeat an id, and null ids, are packed like others; equal scores
-    are filled in the order of the shard. An empty table gives no pieces; other
-    columns are ignored.
+    What fills whole windows is cut off first and moves no more; the index is
+    over what is left of each document. Rows that repeat an id, and null ids,
+    are packed like others; equal scores are filled in the order of the shard.
+    An empty table gives no pieces; other columns are ignored.
 
     Returns ``id_col``, ``start``, ``length``, ``ids`` (little-endian uint32),
-    ``doc_tokens``, ``sequence_id`` (partition number times 2^32 and a running
-    number) and ``offset``.
+    ``doc_tokens``, ``sequence_id`` (of partition and running number; odd for
+    windows of one document) and ``offset``.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = SCHEMA.format(kind).replace("doc_id", f"`{id_col}`", 1)
     names = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    tokens = stored(tokenised(docs, end_id, vocabulary, added, id_col, text_col), "tokens")
+    tokens = stored(tokenised(docs, window, end_id, vocabulary, added, id_col, text_col), "tokens")
     counts = count_terms(tokens)
     n_parts = max(partitions(docs.sparkSession), int(counts.n * counts.mean) // PARTITION_TOKENS + 1)
     order = [*(f"t{i}" for i in range(PLACED_BY)), "row"]
     # The row's number is the last key, so documents of one term, or copies of one text, go to as many partitions as they need.
-    ordered = placed(tokens, counts).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ordered = placed(tokens.select("id", "row", "ids", "size").filter(F.octet_length("ids") > 0), counts).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def shard(own, texts, base):
+    def whole(batches):
+        from pyspark import TaskContext
+
+        sequence = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for own, ids, size in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                data = ids.as_buffer()
+                n, step = data.size // (4 * window), 4 * window
+                for a in range(0, n, 1024):
+                    part = np.arange(a, min(n, a + 1024))
+                    pieces = pa.array([data.slice(i * step, step).to_pybytes() for i in part.tolist()], type=pa.binary())
+                    columns = [pa.array([own.as_py()] * len(part), type=batch.schema.field(0).type), pa.array(part * window), pa.array(np.full(len(part), window)), pieces, pa.array([size.as_py()] * len(part), type=pa.int64()), pa.array(2 * (sequence + part) + 1), pa.array(0 * part)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                sequence += n
+
+    def shard(own, texts, sizes, base):
         pieces = pack_shard(texts, window, sent.value)
         doc, start, length, sequence, offset = (np.array(c, dtype=np.int64) for c in zip(*pieces, strict=True))
-        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        behind = sizes - np.array([len(t) for t in texts], dtype=np.int64)
         for a in range(0, len(doc), 1024):
             part = slice(a, a + 1024)
-            ids = pa.array([texts[d][s : s + n].tobytes() for d, s, n in zip(doc[part].tolist(), start[part].tolist(), length[part].tolist(), strict=True)], type=pa.binary())
-            columns = [own.take(pa.array(doc[part])), pa.array(start[part]), pa.array(length[part]), ids, pa.array(sizes[doc[part]]), pa.array(base + sequence[part]), pa.array(offset[part])]
+            d = doc[part]
+            ids = pa.array([texts[i][s : s + n].tobytes() for i, s, n in zip(d.tolist(), start[part].tolist(), length[part].tolist(), strict=True)], type=pa.binary())
+            columns = [own.take(pa.array(d)), pa.array(behind[d] + start[part]), pa.array(length[part]), ids, pa.array(sizes[d]), pa.array(2 * (base + sequence[part])), pa.array(offset[part])]
             yield pa.RecordBatch.from_arrays(columns, names)
         return int(sequence.max()) + 1
 
     def rows(batches):
         from pyspark import TaskContext
 
-        base, own, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        base, own, texts, sizes, size = TaskContext.get().partitionId() << 32, [], [], [], 0
         for batch in batches:
             first = 0
-            for i, ids in enumerate(_ids(batch)):
+            for i, (ids, n) in enumerate(zip(_ids(batch), batch.column("size").to_pylist(), strict=True)):
                 texts.append(ids)
+                sizes.append(n)
                 size += len(ids)
                 if size >= SHARD_TOKENS or len(texts) >= SHARD_DOCS:
                     own.append(batch.column(0).slice(first, i + 1 - first))
-                    base += yield from shard(pa.concat_arrays(own), texts, base)
-                    own, texts, size, first = [], [], 0, i + 1
+                    base += yield from shard(pa.concat_arrays(own), texts, np.array(sizes), base)
+                    own, texts, sizes, size, first = [], [], [], 0, i + 1
             if first < batch.num_rows:
                 own.append(batch.column(0).slice(first))
         if texts:
-            yield from shard(pa.concat_arrays(own), texts, base)
+            yield from shard(pa.concat_arrays(own), texts, np.array(sizes), base)
 
-    return ordered.select("id", "ids").mapInArrow(rows, SCHEMA.format(kind).replace("doc_id", f"`{id_col}`", 1))
+    cut = tokens.select("id", "whole", "size").filter(F.octet_length("whole") > 0).mapInArrow(whole, schema)
+    return cut.unionByName(ordered.select("id", "ids", "size").mapInArrow(rows, schema))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
