@@ -1,92 +1,141 @@
 """Replay of order-book events as a stream, with features that equal the batch ones.
 
 Each book-day is a key with its own state: the previous touch, the last order
-flows and the trades of the window. Input files are read in order; a trigger
-takes as many as it is told, which paces the replay.
+flows and the trades of the window. A trigger takes one slice of time, and the
+slices follow each other at once or at a pace.
 """
 
 from __future__ import annotations
 
+import logging
+import time
+import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tickloom.schema import BID, DAY, MS, TRADE
+from tickloom.sources.scratch import scratch_root
 
-FEATURES = "instrument_id int, date date, sequence long, ts_event long, imbalance double, microprice double, ofi double, tfi double"
+LOG = logging.getLogger(__name__)
+FEATURES = "instrument_id int, date date, sequence long, ts_event long, imbalance double, microprice double, ofi double, tfi double, latency_us double"
 _STATE = "bid long, ask long, qb long, qa long, flows array<long>, trades array<struct<ts:long,signed:long>>, imbalance double, microprice double"
 
 
-class Features:
-    """Update of one key's state by one row: order flow over the last ``events`` rows, trade imbalance over ``window_ns``."""
+def _previous(x: np.ndarray, first) -> np.ndarray:
+    return np.r_[np.nan if first is None else first, x[:-1]]
 
-    def __init__(self, state: tuple | None, events: int, window_ns: int):
-        self.events, self.window = events, window_ns
-        self.bid, self.ask, self.qb, self.qa, flows, trades, self.imbalance, self.microprice = state or (None, None, None, None, [], [], None, None)
-        self.flows, self.trades = list(flows), [(t["ts"], t["signed"]) if isinstance(t, dict) else tuple(t) for t in trades]
 
-    def push(self, ts, action, side, size, bid, ask, qb, qa):
-        flow, both = 0, bid is not None and ask is not None
-        if both and self.bid is not None and self.ask is not None:
-            flow = qb * (bid >= self.bid) - self.qb * (bid <= self.bid) - qa * (ask <= self.ask) + self.qa * (ask >= self.ask)
-        self.bid, self.ask, self.qb, self.qa = bid, ask, qb, qa
-        self.flows = [*self.flows, flow][-self.events :]
-        if action == TRADE:
-            self.trades.append((ts, size if side == BID else -size))
-        self.trades = [t for t in self.trades if t[0] > ts - self.window]
-        if both:
-            self.imbalance = (qb - qa) / (qb + qa) if qb + qa > 0 else 0.0
-            self.microprice = (bid * qa + ask * qb) / (qb + qa) - 0.5 * (bid + ask) if qb + qa > 0 else 0.0
-        traded = sum(abs(s) for _, s in self.trades)
-        return self.imbalance, self.microprice, float(sum(self.flows)), sum(s for _, s in self.trades) / traded if traded else 0.0
+def _held(x: np.ndarray, valid: np.ndarray, before) -> np.ndarray:
+    """``x`` where ``valid``, else the last valid one, at first the one held before."""
+    last = np.maximum.accumulate(np.where(valid, np.arange(len(x)), -1))
+    return np.where(last >= 0, x[np.maximum(last, 0)], np.nan if before is None else before)
 
-    def state(self) -> tuple:
-        return (self.bid, self.ask, self.qb, self.qa, self.flows, self.trades, self.imbalance, self.microprice)
 
+def advance(rows: pd.DataFrame, state: tuple, events: int, window_ns: int) -> tuple[dict[str, np.ndarray], tuple]:
+    """Features of a batch of one key's rows, in order, and the state behind them.
 
-def _none(x):
-    return None if pd.isna(x) else int(x)
+    Everything is array operations over the batch and what the state carries:
+    the last touch, the last order flows and the trades of the window.
+    """
+    bid0, ask0, qb0, qa0, flows0, trades0, imbalance0, microprice0 = state
+    bid, ask, qb, qa = (rows[c].to_numpy(dtype=float, na_value=np.nan) for c in ("bid_px", "ask_px", "qb", "qa"))
+    ts, size = rows["ts_event"].to_numpy(dtype=np.int64), rows["size"].to_numpy(dtype=np.int64)
+    both = ~np.isnan(bid) & ~np.isnan(ask)
+    pb, pa, pqb, pqa = _previous(bid, bid0), _previous(ask, ask0), _previous(qb, qb0), _previous(qa, qa0)
+    flow = np.where(bid >= pb, qb, 0) - np.where(bid <= pb, pqb, 0) - np.where(ask <= pa, qa, 0) + np.where(ask >= pa, pqa, 0)
+    flow = np.where(both & ~np.isnan(pb) & ~np.isnan(pa), flow, 0).astype(np.int64)
+    sums = np.r_[0, np.cumsum(np.r_[np.array(flows0 or [], dtype=np.int64), flow])]
+    stop = np.arange(len(rows)) + len(flows0 or []) + 1
+    ofi = sums[stop] - sums[np.maximum(0, stop - events)]
+    trade = np.flatnonzero(rows["action"].to_numpy() == TRADE)
+    signed = np.where(rows["side"].to_numpy()[trade] == BID, size[trade], -size[trade])
+    old = np.array([(t["ts"], t["signed"]) if isinstance(t, dict) else tuple(t) for t in trades0 or []], dtype=np.int64).reshape(-1, 2)
+    times, amounts = np.r_[old[:, 0], ts[trade]], np.r_[old[:, 1], signed]
+    clock = np.maximum.accumulate(ts)
+    until = len(old) + np.searchsorted(trade, np.arange(len(rows)), side="right")
+    since = np.minimum(np.searchsorted(np.maximum.accumulate(times), clock - window_ns, side="right"), until)
+    net, gross = np.r_[0, np.cumsum(amounts)], np.r_[0, np.cumsum(np.abs(amounts))]
+    traded = gross[until] - gross[since]
+    total = np.where(qb + qa > 0, qb + qa, 1)
+    out = {
+        "imbalance": _held(np.where(qb + qa > 0, (qb - qa) / total, 0), both, imbalance0),
+        "microprice": _held(np.where(qb + qa > 0, (bid * qa + ask * qb) / total - 0.5 * (bid + ask), 0), both, microprice0),
+        "ofi": ofi.astype(float),
+        "tfi": np.where(traded > 0, (net[until] - net[since]) / np.maximum(traded, 1), 0.0),
+    }
+    whole = lambda x: None if np.isnan(x) else int(x)
+    number = lambda x: None if np.isnan(x) else float(x)
+    left = list(zip(times[since[-1] :].tolist(), amounts[since[-1] :].tolist(), strict=True))
+    flows = [*(flows0 or []), *flow.tolist()][-events:]
+    return out, (*map(whole, (bid[-1], ask[-1], qb[-1], qa[-1])), flows, left, number(out["imbalance"][-1]), number(out["microprice"][-1]))
 
 
 def stream_features(book: DataFrame, events: int = 50, window_ms: int = 1000) -> DataFrame:
-    """Imbalance and microprice (the last valid ones are held), order flow and trade imbalance of a streaming book."""
+    """Imbalance and microprice (the last valid ones are held), order flow and trade imbalance of a streaming book.
+
+    A key's rows of one trigger are worked on together; ``latency_us`` is the
+    time that took, shared out evenly over them.
+    """
 
     def update(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        feats = Features(state.get if state.exists else None, events, window_ms * MS)
+        began = time.perf_counter()
         rows = pd.concat(list(frames)).sort_values("sequence")
-        out = []
-        for r in rows.itertuples(index=False):
-            values = feats.push(r.ts_event, r.action, r.side, r.size, _none(r.bid_px), _none(r.ask_px), _none(r.qb), _none(r.qa))
-            out.append((*key, r.sequence, r.ts_event, *values))
-        state.update(feats.state())
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in FEATURES.split(", ")])
+        held = state.get if state.exists else (None, None, None, None, [], [], None, None)
+        found, after = advance(rows, held, events, window_ms * MS)
+        state.update(after)
+        out = pd.DataFrame({c: rows[c].to_numpy() for c in ("sequence", "ts_event")} | found)
+        for name, value in zip(DAY, key, strict=True):
+            out.insert(0, name, value)
+        out["latency_us"] = (time.perf_counter() - began) * 1e6 / len(rows)
+        yield out[[c.split()[0] for c in FEATURES.split(", ")]]
 
     return book.groupBy(*DAY).applyInPandasWithState(update, FEATURES, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def replayed(spark: SparkSession, table: DataFrame, plan, name: str, files: int = 4) -> DataFrame:
-    """Write ``table`` in time order to the shared scratch folder, stream it through ``plan`` and return what the sink has.
+def sliced(table: DataFrame, path: str, slices: int) -> list[int | None]:
+    """Write ``table`` in ``slices`` of time to folders of ``path`` and return their bounds.
+
+    A slice is as many files as Spark makes of it, days of an instrument kept
+    together, so slices of any size are written and read by many tasks.
+    """
+    cuts = [None, *table.approxQuantile("ts_event", [i / slices for i in range(1, slices)], 0.01), None] if slices > 1 else [None, None]
+    for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        bounded(table, start, end).hint("rebalance", *DAY).write.parquet(f"{path}/slice={k:06d}")
+    return cuts
+
+
+def replayed(table: DataFrame, plan, name: str, slices: int = 4, speed: float | None = None) -> DataFrame:
+    """Write ``table`` in slices of time to the shared scratch folder, stream them through ``plan`` in order and return what the sink has.
 
-    ``files`` files, written one after the other since the source reads them by
-    age, make as many triggers. The sink is Parquet with a checkpoint, so a
-    replay that is interrupted goes on where it stopped.
+    One trigger takes one slice: the next is moved into the watched folder when
+    the one before is through, and with a ``speed`` not before it is due. The
+    sink is Parquet with a checkpoint, so a replay that is interrupted goes on
+    where it stopped. How far a paced replay is behind its schedule goes to the
+    log, slice by slice.
     """
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tickloom-")
-    path = f"{root.rstrip('/')}/replay-{name}-{uuid.uuid4().hex}"
-    cuts = [None, *table.approxQuantile("ts_event", [i / files for i in range(1, files)], 0.01), None]
-    for start, end in zip(cuts, cuts[1:], strict=False):
-        bounded(table, start, end).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    source = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    query = plan(source).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
+    if speed is not None:
+        pace(0, speed)
+    spark = table.sparkSession
+    path = f"{scratch_root(spark).rstrip('/')}/replay-{name}-{uuid.uuid4().hex}"
+    sliced(table, f"{path}/cut", slices)
+    first, began = (table.agg(F.min("ts_event")).first()[0] or 0) if speed is not None else 0, time.time()
+    for k in range(slices):
+        part = spark.read.schema(table.schema).parquet(f"{path}/cut/slice={k:06d}")
+        if speed is not None:
+            due = began + pace((part.agg(F.min("ts_event")).first()[0] or first) - first, speed)
+            time.sleep(max(0.0, due - time.time()))
+            LOG.info("slice %d of %d: %.3f s behind", k + 1, slices, time.time() - due)
+        part.write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(table.schema).parquet(f"{path}/in")
+        query = plan(source).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
     return spark.read.parquet(f"{path}/out")
 
 
