@@ -15,7 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as h
 
@@ -25,12 +25,16 @@ from tickloom.llm.common import stored, table
 WINDOW, COVERAGE = 5, 0.8
 #: Least share of a window's words that are words, not placeholders, in fifths: a template of slots alone says nothing.
 LEXICAL = 2
+#: Items that share a window from which it is joined among the items that a document may hold.
+OFTEN = 64
 #: Keeps hashes of windows of words apart from those of templates.
 _VERBATIM = 1 << 8
 FILTER_BYTES = 16 << 20
 UNITS = frozenset(
-    "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs pound pounds oz ounce ounces t ton tons ml l liter liters litre litres"
-    " s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent degrees dollars euros cents usd eur"
+    "meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres"
+    " gram grams kilogram kilograms milligram milligrams gallon gallons pint pints quart quarts cup cups degree cent dollar euro euros watt watts volt volts"
+    " mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs pound pounds oz ounce ounces t ton tons ml l liter liters litre litres"
+    " s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent degrees dollars cents usd eur"
     " mph kmh kph hz khz mhz w kw v a c f k".split()
 )
 _NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*%?")
@@ -235,6 +239,35 @@ def _agree(batches):
             )
 
 
+def rare_windows(items: DataFrame, need: DataFrame, coverage: float) -> DataFrame:
+    """``item``, ``h``, ``size`` of windows of which a document that holds the item must have one.
+
+    If a share of ``coverage`` of an item's places is found, so is one of any
+    larger share than is left. The places whose windows the fewest items have
+    are taken, among all places and among those with words enough.
+    """
+    places = items.groupBy("item", "item_pos").agg(F.sum("items").alias("shared"), F.max("lexical").alias("lexical")).join(need, "item")
+    rank = lambda *by: F.row_number().over(Window.partitionBy("item", *by).orderBy("shared", "item_pos"))
+    enough = lambda n: F.col(n) - F.ceil(F.col(n) * coverage - 1e-9) + 1
+    places = places.withColumns({"k_all": rank(), "k_lexical": rank("lexical")})
+    places = places.filter((F.col("k_all") <= enough("n_all")) | (F.col("lexical") & (F.col("k_lexical") <= enough("n_lexical"))))
+    return places.select("item", "item_pos").join(items.select("item", "item_pos", "h", "size"), ["item", "item_pos"]).select("item", "h", "size").distinct()
+
+
+def _hits(found: DataFrame, items: DataFrame, need: DataFrame, coverage: float) -> DataFrame:
+    """Windows of documents with those of the items that the document may hold.
+
+    A window that many items share is joined by the item, among the few that
+    its document may hold, not with all items that have it.
+    """
+    pairs = stored(found.select("id", "h", "size").distinct().join(rare_windows(items, need, coverage), ["h", "size"]).select("id", "item").distinct(), "pairs")
+    often = F.col("items") > OFTEN
+    seldom = found.join(items.filter(~often), ["h", "size"]).join(pairs, ["id", "item"], "left_semi")
+    shared = found.join(items.filter(often).select("h", "size").distinct(), ["h", "size"], "left_semi")
+    shared = shared.join(pairs, "id").join(items.filter(often), ["item", "h", "size"])
+    return seldom.unionByName(shared)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds.
 
@@ -247,14 +280,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     other columns are ignored.
     """
     items = template_windows(benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).filter("id IS NOT NULL"))
-    items = stored(items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"), "lexical"), "items")
+    items = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"), "lexical")
+    items = stored(items.join(items.groupBy("h", "size").agg(F.count_distinct("item").alias("items")), ["h", "size"]), "items")
     lexical = F.when(F.col("lexical"), F.col("item_pos"))
     need = items.groupBy("item").agg(F.count_distinct(lexical).alias("n_lexical"), F.count_distinct("item_pos").alias("n_all"))
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most WINDOW values
     bits = bloom.build(items, "h", bloom.block_count(items.count(), FILTER_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     words = vocabulary_of(benchmark.select(F.col(item_text).alias("text")))
-    hits = template_windows(rows, sizes or [WINDOW], bits, words).drop("lexical").join(items, ["h", "size"])
+    found = stored(template_windows(rows, sizes or [WINDOW], bits, words).drop("lexical"), "windows")
+    hits = _hits(found, items, need, coverage)
     hits = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     one = F.struct(F.col("item_pos").alias("at"), "item_slots", "slots", "lexical")
     along = hits.groupBy("id", "item", "diagonal").agg(F.collect_set(one).alias("hits")).select("id", "item", "hits")
