@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import stats
 from tickloom.schema import DEFAULT, Settings
+from tickloom.sources.scratch import stored
 
 LOGISTIC = ("imbalance", "microprice", "ofi_ev50")
 
@@ -38,6 +39,16 @@ def leaks(made: DataFrame) -> DataFrame:
     return ends.select("fold", F.coalesce((F.col("train_max") < F.col("calibrate_min")) & (F.col("calibrate_max") < F.col("test_min")), F.lit(False)).alias("in_order"))
 
 
+def fold_numbers(made: DataFrame) -> list[int]:
+    """Numbers of the folds: one for each block of test days."""
+    return [r[0] for r in made.select("fold").distinct().orderBy("fold").collect()]
+
+
+def days_of(made: DataFrame, fold: int, *roles: str) -> DataFrame:
+    """Days of some roles of one fold, with the role if there are several; broadcast, as they are calendar days."""
+    return F.broadcast(made.filter((F.col("fold") == fold) & F.col("role").isin(*roles)).select("date", *(["role"] if len(roles) > 1 else [])))
+
+
 def sample_days(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     """``n`` rows of each date, those with the least hash of key and seed."""
     w = Window.partitionBy("date").orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)
@@ -57,12 +68,12 @@ def logistic(names=LOGISTIC, label: str = "y", reg: float = 1e-4) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol=label, regParam=reg, elasticNetParam=0.0)])
 
 
-def boosted(names, label: str = "y", rounds: int = 10) -> Pipeline:
+def boosted(names, label: str = "y", rounds: int = DEFAULT.boost_rounds) -> Pipeline:
     """Boosted trees: shallow and level-wise, so not equal to leaf-wise ones to the digit."""
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="x"), GBTClassifier(featuresCol="x", labelCol=label, maxDepth=5, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8, minInstancesPerNode=20, seed=7)])
 
 
-def boosted_cost(names, label: str = "label", rounds: int = 10) -> Pipeline:
+def boosted_cost(names, label: str = "label", rounds: int = DEFAULT.cost_rounds) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(names), outputCol="x"), GBTRegressor(featuresCol="x", labelCol=label, maxDepth=5, stepSize=0.05, maxIter=rounds, subsamplingRate=0.8, minInstancesPerNode=20, seed=7)])
 
 
@@ -90,17 +101,15 @@ def platt(fit_on: DataFrame, rows: DataFrame, p: str, out: str, label: str = "y"
 
 
 def walk_forward(rows: DataFrame, made: DataFrame, names, cfg: Settings = DEFAULT) -> DataFrame:
-    """Out-of-sample predictions of the three models, calibrated on the day before each block; one fit a fold, on the driver's loop."""
+    """Out-of-sample predictions of the three models, calibrated on the day before each block; one fit a fold, whose predictions are written before the next."""
     parts = []
-    whole = rows.na.drop(subset=[*names, "y"])
-    for (fold,) in made.select("fold").distinct().orderBy("fold").collect():  # a few folds
-        pick = {r: F.broadcast(made.filter((F.col("fold") == fold) & (F.col("role") == r)).select("date")) for r in ("train", "calibrate", "test")}
-        train, cal, test = (whole.join(pick[r], "date") for r in ("train", "calibrate", "test"))
-        train = train.persist()
-        fitted = {"logistic": (logistic().fit(train), LOGISTIC), "trees": (boosted(names).fit(train), names)}
+    whole = stored(rows.na.drop(subset=[*names, "y"]), "learnt")
+    for fold in fold_numbers(made):
+        train, cal, test = (whole.join(days_of(made, fold, r), "date") for r in ("train", "calibrate", "test"))
+        fitted = {"logistic": (logistic().fit(train), LOGISTIC), "trees": (boosted(names, rounds=cfg.boost_rounds).fit(train), names)}
         for name, (model, used) in fitted.items():
             cal, test = (probability(model, x, used, f"raw_{name}") for x in (cal, test))
         for name in fitted:
             test = calibrated(cal, test, f"raw_{name}", f"p_{name}")
-        parts.append(lookup(train, test, cfg).withColumn("fold", F.lit(fold)))
+        parts.append(stored(lookup(train, test, cfg).withColumn("fold", F.lit(fold)), "predicted"))
     return reduce(DataFrame.unionByName, parts)

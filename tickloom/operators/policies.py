@@ -77,6 +77,16 @@ def abandon(checkpoints: DataFrame, when: Column, cfg: Settings = DEFAULT, strat
     )
 
 
+def tune(checkpoints: DataFrame, p: Column, cfg: Settings = DEFAULT) -> DataFrame:
+    """``theta`` of each cell: giving up at the first checkpoint where ``p`` is above it costs least on average; the smallest among equals."""
+    rows = checkpoints.withColumn("__p", p)
+    up = [F.min_by("cp_cross", F.when(F.col("__p") > t, F.col("j"))).alias(f"x{i}") for i, t in enumerate(cfg.thresholds)]
+    first = rows.groupBy(*ORDER, *CELL).agg(*up, *(F.first(c).alias(c) for c in ("order_side", "arrival_mid", "passive_px")))
+    each = F.array(*(F.struct(F.lit(t).alias("theta"), cost(F.coalesce(f"x{i}", "passive_px")).alias("cost")) for i, t in enumerate(cfg.thresholds)))
+    costs = first.select(*CELL, F.inline(each)).groupBy(*CELL, "theta").agg(F.round(F.avg("cost"), 9).alias("c"))
+    return costs.groupBy(*CELL).agg(F.min_by("theta", F.struct("c", "theta")).alias("theta"))
+
+
 def oracle(checkpoints: DataFrame) -> DataFrame:
     """Upper bound with future information: the cheapest of crossing at any checkpoint and waiting."""
     best = checkpoints.groupBy(*ORDER, *CELL).agg(F.min(cost(F.col("cp_cross"))).alias("__best"))

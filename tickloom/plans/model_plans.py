@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.operators import book, features, models, policies, simulator, stats, targets
 from tickloom.plans import sim_plans
 from tickloom.plans.cost_plans import R, buckets_sql, rounded
 from tickloom.plans.registry import Catalog
-from tickloom.schema import DAY, DEFAULT
+from tickloom.schema import DAY, DEFAULT, QUEUE_MODELS
 from tickloom.sources.fixtures import MINI_PRED_SQL, l2_events, l2_sql, mini_pred
 from tickloom.sources.scratch import stored
 
@@ -112,7 +115,8 @@ def signal_decay(spark, sf):
 # --------------------------------------------------------- fitted models
 
 NAMES = ("imbalance", "microprice", "spread", "bid_queue", "ask_queue", "depth_imb_3", "ofi_ev10", "ofi_ev50", "tfi_ms1000", "since_mid_change_ms")
-FEW = DEFAULT.override(test_block_days=12)
+#: Fewer folds and rounds than ``DEFAULT`` has: the fixtures are a month, and every fit runs in the correctness check.
+FEW = DEFAULT.override(test_block_days=12, boost_rounds=10, cost_rounds=10)
 
 
 def modelled(spark, sf):
@@ -134,7 +138,7 @@ def baseline_b(spark, sf):
 @catalog.add("gbt_direction")
 def gbt_direction(spark, sf):
     train, _, test = _split(spark, sf)
-    return models.probability(models.boosted(NAMES).fit(train), test, NAMES, "p_trees").select(*DAY, "sequence", "y", "p_trees")
+    return models.probability(models.boosted(NAMES, rounds=FEW.boost_rounds).fit(train), test, NAMES, "p_trees").select(*DAY, "sequence", "y", "p_trees")
 
 
 @catalog.add("calibrate")
@@ -169,16 +173,9 @@ SELECT queue_model, latency_ms, deadline_s, arg_min(theta, (c, theta)) AS theta
 def tune_theta(spark, sf):
     """Threshold with the least mean cost of each cell, the smallest among equals; the signal is a hash of the row."""
     cps = sim_plans.checkpoints(spark, sf).withColumn("p", (F.col("cp_seq") * 37 + F.col("j") * 11) % 100 / F.lit(100.0))
-    keys = [*ORDER, *CELL, "queue_model"]
-    up = [F.min_by("cp_cross", F.when(F.col("p") > t, F.col("j"))).alias(f"x{i}") for i, t in enumerate(DEFAULT.thresholds)]
-    first = cps.groupBy(*keys).agg(*up, *(F.first(c).alias(c) for c in ("order_side", "arrival_mid", "passive_px")))
-    each = F.array(*(F.struct(F.lit(t).alias("theta"), policies.cost(F.coalesce(f"x{i}", "passive_px")).alias("cost")) for i, t in enumerate(DEFAULT.thresholds)))
-    costs = first.select("queue_model", *CELL, F.inline(each)).groupBy("queue_model", *CELL, "theta").agg(F.round(F.avg("cost"), 9).alias("c"))
-    return costs.groupBy("queue_model", *CELL).agg(F.min_by("theta", F.struct("c", "theta")).alias("theta"))
+    return policies.tune(cps, F.col("p"))
 
 
-#: Models learn from the first twenty days of the month; strategies are judged on the others.
-TEST = "day(date) > 20"
 COST_NAMES = ("imbalance", "microprice", "spread", "depth_imb_3", "ofi_ev10", "tfi_ms1000")
 COST_ALL = (*COST_NAMES, "own_side_queue", "opp_queue", "ahead", "ahead_frac", "tleft_s", "at_touch", "latency_ms")
 CPF_SQL = f"""{sim_plans.CP_SQL} SELECT c3.instrument_id, c3.date, decision_id, latency_ms, deadline_s, queue_model, CAST(j AS BIGINT) AS j, CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END AS own_side_queue, CASE WHEN s = 1 THEN b.ad[1] ELSE b.bd[1] END AS opp_queue, round(c3.ahead / greatest(CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END, 1), 9) AS ahead_frac,
@@ -201,64 +198,89 @@ def _tables(spark, sf):
     return frame, stored(market, "market"), stored(simulator.checkpoint_rows(orders, frame, SIM), "checkpoints")
 
 
-def _by_direction(cps, market):
-    """Checkpoints of the test days with the probability of an adverse move, 0.5 where a feature is missing."""
-    model = models.logistic().fit(market.filter("day(date) <= 20").na.drop(subset=[*models.LOGISTIC, "y"]))
-    rows = models.probability(model, market, models.LOGISTIC, "p_up").select(*DAY, F.col("sequence").alias("cp_seq"), "p_up")
-    cps = cps.filter(TEST).join(rows, [*DAY, "cp_seq"], "left")
-    return cps.withColumn("p_adverse", F.coalesce(F.when(F.col("order_side") > 0, F.col("p_up")).otherwise(1 - F.col("p_up")), F.lit(0.5)))
+def _roles(market):
+    """Folds of the days: strategies are judged on every day that is some fold's test day."""
+    return stored(models.folds(market, FEW), "folds")
+
+
+def _test_days(made):
+    return F.broadcast(made.filter("role = 'test'").select("date"))
+
+
+def _by_direction(cps, market, made):
+    """Checkpoints of the test days with the probability of an adverse move and the threshold of their cell.
+
+    Fold by fold: the model learns on the days before, probabilities and
+    thresholds come from the calibration day. A missing feature gives 0.5.
+    """
+    parts = []
+    for fold in models.fold_numbers(made):
+        train = market.join(models.days_of(made, fold, "train"), "date").na.drop(subset=[*models.LOGISTIC, "y"])
+        rows = models.probability(models.logistic().fit(train), market.join(models.days_of(made, fold, "calibrate", "test"), "date"), models.LOGISTIC, "raw")
+        rows = models.calibrated(rows.filter("role = 'calibrate'").na.drop(subset=["y"]), rows, "raw", "p_up").select(*DAY, F.col("sequence").alias("cp_seq"), "p_up")
+        own = cps.join(models.days_of(made, fold, "calibrate", "test"), "date").join(rows, [*DAY, "cp_seq"], "left")
+        own = stored(own.withColumn("p_adverse", F.coalesce(F.when(F.col("order_side") > 0, F.col("p_up")).otherwise(1 - F.col("p_up")), F.lit(0.5))), "direction")
+        theta = policies.tune(own.filter("role = 'calibrate'"), F.col("p_adverse"), SIM)
+        parts.append(own.filter("role = 'test'").join(theta, [*policies.CELL], "left").withColumn("theta", F.coalesce("theta", F.lit(max(SIM.thresholds)))).drop("role"))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _by_cost(cps, market):
-    """Checkpoints of the test days with the predicted cost of waiting, null where a feature is missing."""
+def _by_cost(cps, market, made):
+    """Checkpoints of the test days with the predicted cost of waiting, by a model for each fold and queue model; null where a feature is missing."""
     two_sided = market.filter("mid IS NOT NULL")
     rows = policies.with_cost_to_go(policies.checkpoint_features(cps, two_sided, list(COST_NAMES))).withColumn("label", F.col("label").cast("double"))
     rows = stored(rows.na.drop(subset=[*COST_ALL]).select(*ORDER, *CELL, "queue_model", "j", "label", *(n for n in COST_ALL if n not in CELL)), "cost-rows")
-    model = models.boosted_cost(COST_ALL).fit(rows.filter("day(date) <= 20 AND label IS NOT NULL"))
-    keys = [*ORDER, *CELL, "queue_model", "j"]
-    return cps.filter(TEST).join(model.transform(rows.filter(TEST)).select(*keys, "prediction"), keys, "left")
+    keys, parts = [*ORDER, *CELL, "queue_model", "j"], []
+    for fold in models.fold_numbers(made):
+        for queue_model in QUEUE_MODELS:
+            own = rows.filter(F.col("queue_model") == queue_model)
+            train = own.join(models.days_of(made, fold, "train"), "date").filter("label IS NOT NULL")
+            model = models.boosted_cost(COST_ALL, rounds=FEW.cost_rounds).fit(train)
+            parts.append(stored(model.transform(own.join(models.days_of(made, fold, "test"), "date")).select(*keys, "prediction"), "predicted-cost"))
+    return cps.join(_test_days(made), "date").join(reduce(DataFrame.unionByName, parts), keys, "left")
 
 
-def _give_up_by_cost(cps, market):
-    return policies.abandon(_by_cost(cps, market), F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost")
+def _give_up_by_cost(cps, market, made):
+    return policies.abandon(_by_cost(cps, market, made), F.col("prediction") > SIM.cost_margin_ticks, SIM, "model_cost")
 
 
 @catalog.add("cost_model")
 def cost_model(spark, sf):
     """Cost of waiting against its prediction at the checkpoints of the test days."""
     _, market, cps = _tables(spark, sf)
-    rows = policies.with_cost_to_go(_by_cost(cps, market)).filter("label IS NOT NULL AND prediction IS NOT NULL")
+    rows = policies.with_cost_to_go(_by_cost(cps, market, _roles(market))).filter("label IS NOT NULL AND prediction IS NOT NULL")
     return rows.select(*ORDER, *CELL, "queue_model", "j", "label", "prediction")
 
 
-def _give_up_by_direction(cps, market):
-    return policies.abandon(_by_direction(cps, market), F.col("p_adverse") > 0.6, SIM, "model_direction")
+def _give_up_by_direction(cps, market, made):
+    return policies.abandon(_by_direction(cps, market, made), F.col("p_adverse") > F.col("theta"), SIM, "model_direction")
 
 
 @catalog.add("strat_direction")
 def strat_direction(spark, sf):
     """Orders of the test days given up where the price is likely to move away."""
     _, market, cps = _tables(spark, sf)
-    return _give_up_by_direction(cps, market).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
+    return _give_up_by_direction(cps, market, _roles(market)).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
 
 @catalog.add("strat_cost")
 def strat_cost(spark, sf):
     """Orders of the test days given up where the predicted cost of waiting is positive; none is lost for a missing feature."""
     _, market, cps = _tables(spark, sf)
-    return _give_up_by_cost(cps, market).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
+    return _give_up_by_cost(cps, market, _roles(market)).select(*ORDER, *CELL, "queue_model", "cost_ticks", "order_type")
 
 
 @catalog.add("simulate")
 def simulate(spark, sf):
     """The trade log of all six strategies on the same orders of the test days, with fees."""
     frame, market, cps = _tables(spark, sf)
-    test = cps.filter(TEST)
+    made = _roles(market)
+    test = cps.join(_test_days(made), "date")
     orders = policies.orders_of(test)
-    fresh = simulator.simulate_new_level(sim_plans.made(spark, sf).filter(TEST), frame.filter(TEST), SIM)
+    fresh = simulator.simulate_new_level(sim_plans.made(spark, sf).join(_test_days(made), "date"), frame.join(_test_days(made), "date"), SIM)
     parts = [
-        policies.always_cross(orders, SIM), policies.always_post(orders, SIM), _give_up_by_direction(cps, market),
-        _give_up_by_cost(cps, market), policies.new_level(fresh), policies.oracle(test),
+        policies.always_cross(orders, SIM), policies.always_post(orders, SIM), _give_up_by_direction(cps, market, made),
+        _give_up_by_cost(cps, market, made), policies.new_level(fresh), policies.oracle(test),
     ]
     # Each strategy is written by itself: six plans of their own size instead of one of all.
     return policies.with_fees(policies.union_log([stored(p.select(*policies.LOG), "log") for p in parts]), SIM)

@@ -58,6 +58,8 @@ class Settings:
     tick_value_usd: float = 15.625
     fee_usd: float = 2.5
     fees_usd: tuple[float, ...] = (1.0, 2.5, 4.0)
+    boost_rounds: int = 300
+    cost_rounds: int = 200
     min_train_days: int = 5
     test_block_days: int = 3
 
