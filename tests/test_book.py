@@ -138,3 +138,29 @@ def test_settings_reject_unknown_names():
         assert "depth" in str(e)
     else:
         raise AssertionError
+
+
+def test_series_are_summed_where_they_lie(spark):
+    """Lagged products and AUC over many partitions equal plain sums; short series and parts shorter than the lags too."""
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    rows = [(k, i, float(x)) for k, n in ((1, 300), (2, 2), (3, 7)) for i, x in enumerate(draw.normal(size=n))]
+    df = spark.createDataFrame(rows, "k int, o int, diff double")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {r.k: r.hac_t for r in stats.hac_t(df, ("k",), ("o",), 50).collect()}
+        scores = spark.createDataFrame([(int(g), float(y), float(p)) for g, y, p in zip(draw.integers(0, 3, 500), draw.integers(0, 2, 500), draw.integers(0, 60, 500) / 60, strict=True)], "g int, y double, p double")
+        aucs = {r.g: r.auc for r in stats.auc(scores, ("g",)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for k in (1, 3):
+        x = np.array([v for a, _, v in rows if a == k])
+        e = x - x.mean()
+        g = sum((1 if lag == 0 else 2 * (1 - lag / 51)) * (e[lag:] @ e[: len(e) - lag]) for lag in range(min(51, len(e))))
+        assert got[k] is None if g <= 0 else abs(got[k] - x.mean() / np.sqrt(g / len(x) ** 2)) < 1e-5
+    assert got[2] is None
+    plain = scores.toPandas()
+    for g, own in plain.groupby("g"):
+        up, down = own[own.y == 1].p.to_numpy(), own[own.y == 0].p.to_numpy()
+        assert abs(aucs[g] - ((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2)) < 1e-9

@@ -22,12 +22,15 @@ def with_session(rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def with_release_flag(rows: DataFrame, releases: DataFrame, width_ns: int) -> DataFrame:
     """``in_release_window``: the time lies in [release - width, release + width) of any release.
 
-    A calendar has a few rows a month; its times travel as one array, so rows
-    are neither moved nor multiplied.
+    Times meet by stretches of twice the width, of which a release lies in two
+    at most, so a row sees the releases near it only and rows are not multiplied.
     """
-    times = releases.agg(F.array_sort(F.collect_list("ts_ns")).alias("__releases"))  # one row
+    stretch = lambda t: F.round((t - F.pmod(t, F.lit(2 * width_ns))) / (2 * width_ns)).cast("long")
+    near = releases.filter("ts_ns IS NOT NULL").select("ts_ns", F.explode(F.sequence(stretch(F.col("ts_ns") - width_ns), stretch(F.col("ts_ns") + width_ns))).alias("__stretch"))
+    near = near.groupBy("__stretch").agg(F.collect_set("ts_ns").alias("__releases"))
     hit = F.exists("__releases", lambda r: (F.col("ts_event") >= r - width_ns) & (F.col("ts_event") < r + width_ns))
-    return rows.crossJoin(F.broadcast(times)).withColumn("in_release_window", F.coalesce(hit, F.lit(False))).drop("__releases")
+    rows = rows.withColumn("__stretch", stretch(F.col("ts_event"))).join(near, "__stretch", "left")
+    return rows.withColumn("in_release_window", F.coalesce(hit, F.lit(False))).drop("__releases", "__stretch")
 
 
 def deduplicated(events: DataFrame) -> DataFrame:

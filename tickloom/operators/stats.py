@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import ordered
 from tickloom.schema import DEFAULT, STRATEGIES, Settings
 
 CELL = ("queue_model", "latency_ms", "deadline_s")
@@ -58,16 +60,14 @@ def bootstrap(diff: DataFrame, keys: tuple[str, ...], reps: int) -> DataFrame:
 
 
 def hac_t(series: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], lags: int) -> DataFrame:
-    """t of the mean of ``diff`` with Bartlett weights over ``lags``; null under three rows or without variance."""
-    group = Window.partitionBy(*keys)
-    rows = series.withColumn("e", F.col("diff") - F.avg("diff").over(group))
-    ordered = group.orderBy(*order)
-    # The row's products with its past, already weighted: one window, one sum.
-    past = F.col("e") * F.col("e")
-    for lag in range(1, lags + 1):
-        past = past + 2 * (1 - lag / (lags + 1)) * F.col("e") * F.coalesce(F.lag("e", lag).over(ordered), F.lit(0.0))
-    rows = rows.withColumn("g", past)
-    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.sum("g").alias("g"), F.min("diff").alias("lo"), F.max("diff").alias("hi"))
+    """t of the mean of ``diff`` with Bartlett weights over ``lags``; null under three rows or without variance.
+
+    A series may be of any length: its parts are summed where they lie.
+    """
+    found = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.min("diff").alias("lo"), F.max("diff").alias("hi"))
+    weights = np.array([1.0] + [2 * (1 - k / (lags + 1)) for k in range(1, lags + 1)])
+    rows = series.select(*keys, *order, "diff").join(found.select(*keys, "mean"), [*keys]).withColumn("e", F.col("diff") - F.col("mean"))
+    found = found.join(ordered.lagged_products(rows, keys, order, "e", weights), [*keys])
     flat = (F.col("n") < 3) | (F.col("lo") == F.col("hi"))
     return found.select(*keys, F.when(~flat & (F.col("g") > 0), F.round(F.col("mean") / F.sqrt(F.col("g") / F.col("n") / F.col("n")), 6)).alias("hac_t"))
 
@@ -121,12 +121,11 @@ def headline(rows: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def auc(rows: DataFrame, keys: tuple[str, ...], y: str = "y", p: str = "p") -> DataFrame:
     """Tie-aware AUC of each group: equal scores share a rank. Null with one class only.
 
-    Scores are counted first, so the ordered window sees distinct scores only.
+    Scores are counted first; ranges of scores then say how many wins they hold
+    and how many losses lie below them.
     """
     tally = rows.groupBy(*keys, p).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    tally = tally.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2))
-    total = tally.groupBy(*keys).agg(F.sum("wins").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    total = ordered.wins_below(tally, keys, p)
     return total.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("w") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
