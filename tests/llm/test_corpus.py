@@ -206,6 +206,24 @@ def test_links_in_long_runs():
     assert len({frozenset(g) for g in groups.values()}) == 3
 
 
+@pytest.mark.parametrize("longest", [None, 3, 5])
+def test_runs_do_not_depend_on_batches(longest):
+    import pyarrow as pa
+
+    draw = np.random.default_rng(12)
+    keys = np.sort(draw.integers(-5, 6, 60))
+    rows = np.arange(60)
+    for cuts in ([], [60], [1, 2, 3], sorted(draw.integers(0, 60, 12).tolist()), list(range(60))):
+        edges = [0, *cuts, 60]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(rows[a:b])], ["key", "row"]) for a, b in zip(edges, edges[1:], strict=False)]
+        found = list(pivots.whole_runs(batches, longest))
+        assert np.concatenate([c[1] for c, _ in found]).tolist() == rows.tolist()
+        seen = [set(c[0].tolist()) for c, long in found if not long]
+        assert sum(map(len, seen)) == len(set().union(*seen))  # a whole run comes once
+        for c, long in found:
+            assert not long or (longest is not None and (keys == c[0][0]).sum() > longest and len(set(c[0].tolist())) == 1)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in components.components(links).collect()}

@@ -107,7 +107,10 @@ def _pairs(longest: int | None):
         def out(a, b, key):
             return pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(key, type=pa.int64())], ["a", "b", "key"])
 
-        for keys, fps, nodes in pivots.whole_runs(batches):
+        for (keys, fps, nodes), part_of_long in pivots.whole_runs(batches, longest):
+            if part_of_long:
+                yield out(nodes.tolist(), [None] * len(nodes), keys)
+                continue
             if longest is not None:
                 first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
                 size = np.diff(np.r_[first, len(keys)])

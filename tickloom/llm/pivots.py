@@ -71,20 +71,37 @@ def near_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate(a), np.concatenate(b)
 
 
-def whole_runs(batches):
-    """Lists of columns (arrays) of whole runs, from record batches sorted by their first column; a run that batches cut is put together once."""
-    held: list[list] = []
+def whole_runs(batches, longest: int | None = None):
+    """(columns, part of a long run) from record batches sorted by their first column; columns are arrays of whole runs.
+
+    A run that batches cut is put together once. With ``longest``, one that
+    batches cut and that is longer comes out piece by piece instead, so what is
+    held stays small whatever the length.
+    """
+    held, size, passed = [], 0, None
+    together = lambda parts: [np.concatenate(x) for x in zip(*parts, strict=True)]
     for batch in batches:
-        if not batch.num_rows:
-            continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if passed is not None and batch.num_rows:
+            n = int(np.searchsorted(columns[0], passed, side="right"))
+            if n:
+                yield [c[:n] for c in columns], True
+            if n < len(columns[0]):
+                passed = None
+            columns = [c[n:] for c in columns]
         keys = columns[0]
+        if not len(keys):
+            continue
         if held and held[-1][0][0] == keys[-1]:
             held.append(columns)
-            continue
-        cut = int(np.searchsorted(keys, keys[-1]))
-        if held or cut:
-            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in columns], strict=True)]
-        held = [[c[cut:] for c in columns]]
+            size += len(keys)
+        else:
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if held or cut:
+                yield together([*held, [c[:cut] for c in columns]]), False
+            held, size = [[c[cut:] for c in columns]], len(keys) - cut
+        if longest is not None and size > longest:
+            yield together(held), True
+            held, size, passed = [], 0, keys[-1]
     if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield together(held), False

@@ -63,7 +63,7 @@ def _keys(fp, agree: int):
 
 def _run_links(batches):
     """Links of a partition sorted by key."""
-    for keys, fps in pivots.whole_runs(batches):
+    for (keys, fps), _ in pivots.whole_runs(batches):
         i, j = pivots.near_in_runs(keys, fps.view(np.uint64), RADIUS)
         yield pa.RecordBatch.from_arrays([pa.array(fps[i]), pa.array(fps[j])], ["a", "b"])
 
