@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a fresh temporary
-    folder is set, once, and remembered in the session's configuration.
+    Only where the session names none and runs on one machine, as in tests, a
+    fresh temporary folder is set, once, and remembered in the session's
+    configuration; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="spark-tickloom-")
         spark.conf.set("spark.checkpoint.dir", root)
