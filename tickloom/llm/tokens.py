@@ -11,8 +11,6 @@ import base64
 import json
 from functools import cache
 
-import numpy as np
-
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The tokenizer file of the same vocabulary that lists the added tokens.
 ADDED = "byte_bpe_50k.json"
@@ -37,6 +35,8 @@ def encoder(vocabulary: str = VOCABULARY, added: str | None = None):
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
         raise ValueError(f"{added}: added tokens that depend on their surroundings")
     encoding = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in tokens})
+    ordinary = lambda text: encoding.encode_to_numpy(text, disallowed_special=())
     if not tokens:
-        return lambda text: np.array(encoding.encode_ordinary(text), dtype="<u4")
-    return lambda text: np.array(encoding.encode(text, allowed_special="all"), dtype="<u4")
+        return ordinary
+    names = [t["content"] for t in tokens]
+    return lambda text: encoding.encode_to_numpy(text, allowed_special="all") if any(n in text for n in names) else ordinary(text)
