@@ -25,7 +25,7 @@ from tickloom.llm.tokens import ADDED, VOCABULARY, encoder
 WINDOW = 1024
 END_ID = 0
 #: A shard is closed when it has this many documents or ids.
-SHARD_DOCS, SHARD_TOKENS = 1024, 1_000_000
+SHARD_DOCS, SHARD_TOKENS = 512, 500_000
 #: Ids of a partition on average, and ids that one record batch takes.
 PARTITION_TOKENS, BATCH_TOKENS = 4_000_000, 1_000_000
 #: BM25 parameters; terms that a document is placed by; share of a shard's documents from which a term has a dense row.
@@ -255,7 +255,9 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary
     n_parts = max(partitions(docs.sparkSession), int(counts.n * counts.mean) // PARTITION_TOKENS + 1)
     order = [*(f"t{i}" for i in range(PLACED_BY)), "row"]
     # The row's number is the last key, so documents of one term, or copies of one text, go to as many partitions as they need.
-    ordered = placed(tokens.select("id", "row", "ids", "size").filter(F.octet_length("ids") > 0), counts).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    # Written once: Spark samples the keys for the ranges before it deals the rows out.
+    ready = stored(placed(tokens.select("id", "row", "ids", "size").filter(F.octet_length("ids") > 0), counts), "placed")
+    ordered = ready.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     sent = docs.sparkSession.sparkContext.broadcast(counts)
 
     def whole(batches):
