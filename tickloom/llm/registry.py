@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.llm import decontaminate, exact_dedup, html_text, packing, quality, secrets, simhash, substring_dedup, token_counts, url_filter
+from tickloom.llm import conversations, decontaminate, exact_dedup, html_text, importance, licenses, packing, quality, secrets, simhash, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality": quality.op10_quality,
+    "op11_conversations": conversations.op11_conversations,
+    "op12_importance": importance.op12_importance,
+    "op13_licenses": licenses.op13_licenses,
 }
-ORACLES = {**url_filter.ORACLE, **secrets.ORACLE, **exact_dedup.ORACLE, **html_text.ORACLE, **quality.ORACLE}
+ORACLES = {**url_filter.ORACLE, **secrets.ORACLE, **exact_dedup.ORACLE, **html_text.ORACLE, **quality.ORACLE, **conversations.ORACLE, **importance.ORACLE, **licenses.ORACLE}
