@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, features, joins, quality, simulator, stats, targets
+from tickloom.operators import book, features, joins, ladder, quality, simulator, stats, targets
 from tickloom.schema import ADD, ASK, BID, CANCEL, CLEAR, DEFAULT, EVENTS, MODIFY, TRADE
 
 DAY = datetime.date(2024, 3, 1)
@@ -50,6 +53,59 @@ def plain(rows):
     return out
 
 
+def many_days(spark):
+    """Three days of two instruments with clears, refused rows, gaps in the sequence and a null price."""
+    draw, rows = random.Random(23), []
+    for day, n in ((0, 700), (1, 90), (2, 1)):
+        sequence = 5
+        for i in range(n):
+            action = draw.choice([ADD, ADD, ADD, CANCEL, CANCEL, MODIFY, TRADE, TRADE, CLEAR if i % 150 == 77 else ADD])
+            price = None if i % 211 == 9 else 1000 + draw.randint(-6, 6) + (20_000 if i % 97 == 5 else 0)
+            for instrument in (1, 2) if i % 3 else (1,):
+                rows.append((instrument, DAY + datetime.timedelta(days=day), i * MS, sequence, action, draw.choice([BID, ASK, ASK, 0]), price, draw.choice([0, -1, 1, 3, 8, 20]), -1))
+            sequence += 1 if i % 50 else 40
+    return spark.createDataFrame(rows, EVENTS).repartition(3)
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 64, 100_000])
+def test_slices_of_a_day_give_the_same_book(spark, slice_rows):
+    frame = many_days(spark)
+    plain_rows = sorted(map(repr, book.book_frame(frame).collect()))
+    got = book.book_frame(frame, DEFAULT.override(slice_rows=slice_rows))
+    assert sorted(map(repr, got.collect())) == plain_rows
+    if slice_rows == 7:
+        assert book.sliced(frame, 7).select("instrument_id", "date", "slice").distinct().count() > 100
+        assert book.book_frame(frame.limit(0), DEFAULT.override(slice_rows=7)).count() == 0
+
+
+def test_an_empty_side_costs_no_more_than_a_full_one():
+    """Two thousand levels of which one side has hardly any."""
+
+    def took(bids):
+        draw = np.random.default_rng(1)
+        n = 50_000
+        side = np.where(draw.random(n) < bids, BID, ASK)
+        action = np.where(side == BID, draw.choice([ADD, CANCEL], n), draw.choice([ADD, ADD, CANCEL, MODIFY], n))
+        price = np.where(side == BID, 10_000 - draw.integers(0, 2000, n), 10_001 + draw.integers(0, 2000, n))
+        began = time.process_time()
+        ladder.fold(action, side, price, draw.integers(1, 40, n), np.ones(n, dtype=bool), 10, DEFAULT.price_window, 10_000)
+        return time.process_time() - began
+
+    took(0.5)
+    assert min(took(0.001) for _ in range(3)) < 2 * min(took(0.5) for _ in range(3)) + 0.05
+
+
+def test_cover_takes_the_greatest_stretch():
+    draw = np.random.default_rng(4)
+    for n in (1, 2, 13, 64):
+        start = draw.integers(0, n, 40)
+        stop = start + 1 + np.array([draw.integers(0, n - s) for s in start])
+        value = draw.integers(0, 9, 40)
+        want = [max((v for a, b, v in zip(start, stop, value, strict=True) if a <= i < b), default=-1) for i in range(n)]
+        assert ladder._cover(start, stop, value, n).tolist() == want
+    assert ladder._cover(*(np.zeros(0, dtype=np.int64),) * 3, 3).tolist() == [-1, -1, -1]
+
+
 def test_book_equals_a_plain_model(spark):
     draw = random.Random(11)
     rows = [(0, ADD, BID, 1000, 5)]

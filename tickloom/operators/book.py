@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tickloom.operators import ladder
 from tickloom.schema import ADD, ASK, BAD_SIZE, BID, CLEAR, CROSSED, DAY, DEFAULT, LOCKED, MODIFY, OUT_OF_RANGE, TRADE, Settings
+from tickloom.sources.scratch import stored
 
 #: Columns that the book adds to its events.
 BOOK = {"row": T.LongType(), "bid_px": T.LongType(), "ask_px": T.LongType(), "bid_depth": T.ArrayType(T.LongType()), "ask_depth": T.ArrayType(T.LongType()), "book_flags": T.IntegerType()}
@@ -57,30 +58,112 @@ def level_states(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.lag("level").over(_level()), F.lit(0))).drop("delta", "segment", "total")
 
 
+def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Action, side, price, size and which prices are known."""
+    column = lambda c, empty: table.column(c).combine_chunks().fill_null(empty).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column("action", -1), column("side", 0), column("price", 0), column("size", 0), table.column("price").is_valid().to_numpy(zero_copy_only=False)
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    return table.take(np.argsort(table.column("sequence").to_numpy(), kind="stable"))
+
+
+def _with_book(table: pa.Table, found: dict[str, np.ndarray], levels: int, before: int = 0) -> pa.Table:
+    n = table.num_rows
+    px = [pa.array(found[f"{s}_px"], mask=~found[f"has_{s}"]) for s in ("bid", "ask")]
+    depth = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * levels), pa.array(found[f"{s}_depth"].ravel())) for s in ("bid", "ask")]
+    more = [pa.array(before + np.arange(1, n + 1)), *px, *depth, pa.array(found["book_flags"].astype(np.int32))]
+    return pa.table([*table.columns, *more], [*table.column_names, *BOOK])
+
+
 def book_frame(events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """The events with ``row`` and the book after each: ``bid_px``, ``ask_px`` (null: empty), dense depth arrays and ``book_flags``.
 
     A day of an instrument is one group: the days' number grows with the data,
     a day does not. Its rows meet in one exchange and are folded by array
-    operations (:mod:`ladder`).
+    operations (:mod:`ladder`). Where ``cfg.slice_rows`` is set, longer days are
+    folded in slices of about as many rows: see :func:`sliced_book_frame`.
     """
-    fields = events.schema.fields
+    if cfg.slice_rows:
+        return sliced_book_frame(events, cfg.slice_rows, cfg)
 
     def day(table: pa.Table) -> pa.Table:
-        table = table.take(np.argsort(table.column("sequence").to_numpy(), kind="stable"))
-        column = lambda c, empty: table.column(c).combine_chunks().fill_null(empty).to_numpy(zero_copy_only=False).astype(np.int64)
-        known = table.column("price").is_valid().to_numpy(zero_copy_only=False)
-        found = ladder.fold(column("action", -1), column("side", 0), column("price", 0), column("size", 0), known, cfg.levels, cfg.price_window)
-        n = table.num_rows
-        px = [pa.array(found[f"{s}_px"], mask=~found[f"has_{s}"]) for s in ("bid", "ask")]
-        depth = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * cfg.levels), pa.array(found[f"{s}_depth"].ravel())) for s in ("bid", "ask")]
-        more = [pa.array(np.arange(1, n + 1)), *px, *depth, pa.array(found["book_flags"].astype(np.int32))]
-        return pa.table([*table.columns, *more], [*table.column_names, *BOOK])
-
-    schema = T.StructType([*fields, *(T.StructField(c, t) for c, t in BOOK.items())])
+        table = _in_order(table)
+        own = _columns(table)
+        return _with_book(table, ladder.fold(*own, cfg.levels, cfg.price_window, ladder.first_price(own[2], own[4])), cfg.levels)
+
+    schema = T.StructType([*events.schema.fields, *(T.StructField(c, t) for c, t in BOOK.items())])
     return events.groupBy(*DAY).applyInArrow(day, schema)
 
 
+def sliced(events: DataFrame, slice_rows: int) -> DataFrame:
+    """Events with ``slice``, a stretch of sequence numbers of their day that holds about ``slice_rows`` rows, and the day's first row's ``first_price``."""
+    days = events.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.min_by(F.struct("price"), "sequence")["price"].alias("first_price"))
+    days = days.withColumn("slices", F.ceil(F.col("n") / slice_rows))
+    place = F.floor((F.col("sequence") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1) * F.col("slices"))
+    return events.join(days, [*DAY]).withColumn("slice", F.least(place, F.col("slices") - 1)).drop("n", "lo", "hi", "slices")
+
+
+def slice_effects(cut: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """Effects of each slice on its levels (``book_side``, ``price``, ``gain``, ``least``, ``fixed``), and one row without a side that has its ``n`` and ``cleared``."""
+
+    def one(table: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        first = table.column("first_price")[0].as_py()
+        found = ladder.effects(*_columns(table), cfg.price_window, first)
+        n = len(found.gain)
+        key = [pa.array(table.column(c).take([0]).to_pylist() * (n + 1), type=table.schema.field(c).type) for c in (*DAY, "slice")]
+        more = [pa.array([None, *x.tolist()], type=t) for x, t in ((found.names[:, 0], pa.int64()), (found.names[:, 1], pa.int64()), (found.gain, pa.int64()), (found.least, pa.int64()), (found.fixed, pa.bool_()))]
+        return pa.table([*key, *more, pa.array([table.num_rows] + [None] * n, type=pa.int64()), pa.array([found.cleared] + [None] * n, type=pa.bool_())], [*DAY, "slice", "book_side", "price", "gain", "least", "fixed", "n", "cleared"])
+
+    fields = ", ".join(f"{c} {cut.schema[c].dataType.simpleString()}" for c in (*DAY, "slice"))
+    return cut.groupBy(*DAY, "slice").applyInArrow(one, f"{fields}, book_side long, price long, gain long, least long, fixed boolean, n long, cleared boolean")
+
+
+def opening_levels(effects: DataFrame) -> DataFrame:
+    """What each slice finds: the sizes of the levels that live before it, and the number of rows before it (``book_side`` 0).
+
+    Effects compose: with A the sum of gains since the last fixed size, a level
+    is A plus the greatest of 0 and of all ``least - A`` since then. A prefix
+    over slices is therefore a running sum and a running maximum.
+    """
+    day = Window.partitionBy(*DAY).orderBy("slice")
+    slices = effects.filter("book_side IS NULL").select(
+        *DAY, "slice", F.sum("n").over(day.rowsBetween(Window.unboundedPreceding, -1)).alias("rows_before"), F.sum(F.col("cleared").cast("int")).over(day).alias("epoch"),
+        F.min(F.when(F.col("cleared"), F.col("slice"))).over(day.rowsBetween(1, Window.unboundedFollowing)).alias("next_clear"), F.max("slice").over(Window.partitionBy(*DAY)).alias("last"),
+    )
+    level = Window.partitionBy(*DAY, "book_side", "price", "epoch").orderBy("slice")
+    rows = effects.filter("book_side IS NOT NULL").select(*DAY, "slice", "book_side", "price", "gain", "least", "fixed").join(slices, [*DAY, "slice"])
+    rows = rows.withColumns({"stretch": F.sum(F.col("fixed").cast("int")).over(level), "next": F.lead("slice").over(level)})
+    inside = Window.partitionBy(*DAY, "book_side", "price", "epoch", "stretch").orderBy("slice")
+    rows = rows.withColumn("a", F.sum("gain").over(inside)).withColumn("size", F.col("a") + F.greatest(F.lit(0), F.max(F.col("least") - F.col("a")).over(inside)))
+    until = F.least("next", "next_clear", "last")  # nulls do not count
+    live = rows.filter((F.col("size") > 0) & (until > F.col("slice"))).select(*DAY, F.explode(F.sequence(F.col("slice") + 1, until)).alias("slice"), "book_side", "price", "size")
+    return live.unionByName(slices.select(*DAY, "slice", F.lit(0).cast("long").alias("book_side"), F.lit(None).cast("long").alias("price"), F.coalesce("rows_before", F.lit(0)).alias("size")))
+
+
+def sliced_book_frame(events: DataFrame, slice_rows: int, cfg: Settings = DEFAULT) -> DataFrame:
+    """:func:`book_frame` by slices of a day, so that a day need not fit one worker; the same rows at any ``slice_rows``.
+
+    Slices are folded apart twice: first what they do to any book before them,
+    a row for each level they touch; then, with the sizes that a prefix over
+    those rows gives, the book after every event.
+    """
+    cut = sliced(events, slice_rows)
+    openings = opening_levels(stored(slice_effects(cut, cfg), "slice-effects"))
+
+    def one(table: pa.Table, opening: pa.Table) -> pa.Table:
+        table = _in_order(table)
+        first = table.column("first_price")[0].as_py() if table.num_rows else None
+        side, price, size = (opening.column(c).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for c in ("book_side", "price", "size"))
+        before, own = int(size[side == 0].sum()), side != 0
+        found = ladder.fold(*_columns(table), cfg.levels, cfg.price_window, first, (side[own], price[own], size[own]))
+        return _with_book(table.drop_columns(["slice", "first_price"]), found, cfg.levels, before)
+
+    schema = T.StructType([*events.schema.fields, *(T.StructField(c, t) for c, t in BOOK.items())])
+    return cut.groupBy(*DAY, "slice").cogroup(openings.groupBy(*DAY, "slice")).applyInArrow(one, schema)
+
+
 def wide_depth(book: DataFrame, levels: int = DEFAULT.levels) -> DataFrame:
     """Depth arrays as columns ``bid_sz_i`` and ``ask_sz_i``."""
     return book.select("*", *(F.col("bid_depth")[i].alias(f"bid_sz_{i}") for i in range(levels)), *(F.col("ask_depth")[i].alias(f"ask_sz_{i}") for i in range(levels))).drop("bid_depth", "ask_depth")

@@ -1,10 +1,11 @@
 """One day's book after every event, by array operations over its level updates.
 
 A level is a running sum with a floor at zero that starts anew at absolute
-sizes and clears. Best prices are looked for among the levels that live in a
-stretch of rows, from the best on, until every row has one; depths are carried
-forward and looked up anew only where the best price moves. The cost grows with
-the events and hardly with the number of levels.
+sizes and clears. The best price after a row is the greatest of the levels whose
+stretch of life covers it; depths are carried forward and looked up anew only
+where the best price moves. The cost grows with the events and hardly with the
+number of levels, even where a side is empty. Slices of a day can be folded
+apart: :func:`effects` says what each does to the sizes before it.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ import numpy as np
 
 from tickloom.schema import ADD, ASK, BAD_SIZE, BID, CANCEL, CLEAR, CROSSED, LOCKED, MODIFY, NEGATIVE_SIZE, OUT_OF_RANGE, TRADE
 
-#: Rows that best prices and depths are worked out for together.
+#: Rows that depths are worked out for together.
 STRETCH = 1 << 14
 
 
-def refused(action: np.ndarray, price: np.ndarray, size: np.ndarray, known: np.ndarray, window: int) -> np.ndarray:
-    """0, or the flag of an event that the book does not take; ``known`` tells which prices are not null."""
+def refused(action: np.ndarray, price: np.ndarray, size: np.ndarray, known: np.ndarray, window: int, first: int | None) -> np.ndarray:
+    """0, or the flag of an event that the book does not take; ``known`` tells which prices are not null, ``first`` is the day's first price."""
     out = np.where((size < 0) | ((size == 0) & (action != MODIFY)), BAD_SIZE, 0)
-    if len(price) and known[0]:
-        place = price - price[0] + window // 2
+    if first is not None:
+        place = price - first + window // 2
         out = np.where(known & ((place < 0) | (place >= window)), OUT_OF_RANGE, out)
     return np.where(action == CLEAR, 0, out)
 
@@ -70,6 +71,23 @@ def _floored(delta: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total - np.minimum(least, 0)
 
 
+def _named(side: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels by side, then price, and the number of each row's."""
+    if not len(price):
+        return np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64)
+    low, high = int(price.min()), int(price.max())
+    width = high - low + 1
+    place = (side > 0) * width + (price - low)
+    if 2 * width > 8 * len(price) + (1 << 20):  # far apart: sort them
+        found, level = np.unique(place, return_inverse=True)
+    else:
+        seen = np.zeros(2 * width, dtype=bool)
+        seen[place] = True
+        found = np.flatnonzero(seen)
+        level = (np.cumsum(seen) - 1)[place]
+    return np.c_[np.where(found >= width, BID, ASK), found % width + low], level.astype(np.int64)
+
+
 def updates_of(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarray, taken: np.ndarray) -> Updates:
     """The day's level updates; a trade's side is that of who crosses, so it meets the other side."""
     book_side = np.where(side == BID, BID, ASK)
@@ -77,9 +95,9 @@ def updates_of(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np
     clear = taken & (action == CLEAR)
     epoch = np.cumsum(clear)
     row = np.flatnonzero(taken & ~clear)
-    names, level = np.unique(np.c_[book_side[row], price[row]], axis=0, return_inverse=True) if len(row) else (np.zeros((0, 2), dtype=np.int64), np.zeros(0, dtype=np.int64))
-    order = np.argsort(level.ravel(), kind="stable")
-    row, level = row[order], level.ravel()[order].astype(np.int64)
+    names, level = _named(book_side[row], price[row])
+    order = np.argsort(level, kind="stable")
+    row, level = row[order], level[order]
     act, amount = action[row], size[row]
     first = np.r_[True, (level[1:] != level[:-1]) | (epoch[row[1:]] != epoch[row[:-1]])][: len(row)]
     after = _floored(np.where((act == ADD) | (act == MODIFY), amount, -amount), first | (act == MODIFY))
@@ -87,26 +105,48 @@ def updates_of(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np
     return Updates(row, level, after, before, epoch, names)
 
 
+def _cover(start: np.ndarray, stop: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places the greatest ``value`` of the stretches [start, stop) that it lies in, -1 for none.
+
+    A stretch is the union of two blocks whose length is a power of two; blocks
+    are halved from the longest on and hand what they have to their halves. The
+    cost is n log n, whatever the number of values.
+    """
+    power = np.frexp(np.maximum(stop - start, 1))[1] - 1
+    order = np.argsort(power, kind="stable")
+    start, stop, value, power = start[order], stop[order], value[order], power[order]
+    edges = np.searchsorted(power, np.arange(int(power[-1]) + 2 if len(power) else 1))
+    here = np.full(n, -1, dtype=np.int64)
+    for k in range(len(edges) - 2, -1, -1):
+        if k + 1 < len(edges) - 1:
+            halves = here.copy()  # a block of 2^(k+1) at i is one of 2^k at i and one at i + 2^k
+            np.maximum(halves[1 << k :], here[: n - (1 << k)], out=halves[1 << k :])
+            here = halves
+        own = slice(edges[k], edges[k + 1])
+        np.maximum.at(here, start[own], value[own])
+        np.maximum.at(here, stop[own] - (1 << k), value[own])
+    return here
+
+
 def _best(updates: Updates, side: int) -> np.ndarray:
-    """Number of the best live level of ``side`` after each row, -1 for none."""
+    """Number of the best live level of ``side`` after each row, -1 for none.
+
+    A level lives from an update that leaves it a size until its next update,
+    the next clear or the end; of the levels that live at a row, numbered by
+    price, the greatest is the best bid and the least the best ask.
+    """
     n = len(updates.epoch)
-    out = np.full(n, -1, dtype=np.int64)
-    mine = np.flatnonzero(updates.names[:, 0] == side) if len(updates.names) else np.zeros(0, dtype=np.int64)
-    by_row = np.argsort(updates.row, kind="stable")
-    touched_at, touched = updates.row[by_row], updates.level[by_row]
-    for a in range(0, n, STRETCH):
-        b = min(n, a + STRETCH)
-        new = touched[np.searchsorted(touched_at, a) : np.searchsorted(touched_at, b)]
-        live = mine[updates.at(mine, np.full(len(mine), a)) > 0]
-        some = np.union1d(live, new[updates.names[new, 0] == side]) if len(new) else live
-        left = np.arange(a, b)
-        for level in some[::-side]:  # numbers grow with prices: the best bid is the greatest
-            found = updates.at(np.full(len(left), level), left) > 0
-            out[left[found]] = level
-            left = left[~found]
-            if not len(left):
-                break
-    return out
+    if not len(updates.row):
+        return np.full(n, -1, dtype=np.int64)
+    clears = np.flatnonzero(np.diff(updates.epoch, prepend=0))
+    cleared = np.r_[clears, n][updates.epoch[updates.row]]
+    following = np.r_[updates.row[1:], n]
+    following[np.flatnonzero(updates.level[1:] != updates.level[:-1])] = n
+    stop = np.minimum(following, cleared)
+    live = np.flatnonzero((updates.size > 0) & (updates.names[updates.level, 0] == side) & (stop > updates.row))
+    level, top = updates.level[live], len(updates.names)
+    found = _cover(updates.row[live], stop[live], level if side == BID else top - level, n)
+    return found if side == BID else np.where(found >= 0, top - found, -1)
 
 
 def _depth(updates: Updates, side: int, best: np.ndarray, levels: int) -> np.ndarray:
@@ -146,10 +186,59 @@ def _depth(updates: Updates, side: int, best: np.ndarray, levels: int) -> np.nda
     return out
 
 
-def fold(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarray, known: np.ndarray, levels: int, window: int) -> dict[str, np.ndarray]:
-    """Best prices (``has_bid``, ``has_ask`` tell where there are any), depths and flags after each event, in order."""
-    reject = refused(action, price, size, known, window)
+def first_price(price: np.ndarray, known: np.ndarray) -> int | None:
+    return int(price[0]) if len(price) and known[0] else None
+
+
+@dataclass
+class Effects:
+    """What a slice of a day does to its levels: a size x becomes max(x + gain, least), or ``least`` where it is ``fixed``."""
+
+    names: np.ndarray
+    gain: np.ndarray
+    least: np.ndarray
+    fixed: np.ndarray
+    cleared: bool
+
+
+def effects(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarray, known: np.ndarray, window: int, first: int | None) -> Effects:
+    """Effects of a slice's events, in order, on what its levels hold before it.
+
+    A level's floored sum, from x on, is the greater of x plus all changes and
+    of what is left of the changes since their lowest point. A slice with a
+    clear fixes the levels that it fills afterwards and empties all others.
+    """
+    taken = (refused(action, price, size, known, window, first) == 0) & (known | (action == CLEAR))
+    updates = updates_of(action, side, price, size, taken)
+    cleared = bool(len(updates.epoch) and updates.epoch[-1])
+    own = np.flatnonzero(updates.epoch[updates.row] == updates.epoch[-1]) if len(updates.row) else np.zeros(0, dtype=np.int64)
+    level, act, amount, after = updates.level[own], action[updates.row[own]], size[updates.row[own]], updates.size[own]
+    starts = np.flatnonzero(np.r_[True, level[1:] != level[:-1]][: len(level)])
+    if not len(starts):
+        return Effects(updates.names[:0], *(np.zeros(0, dtype=np.int64) for _ in range(2)), np.zeros(0, dtype=bool), cleared)
+    ends = np.r_[starts[1:], len(level)] - 1
+    total = np.cumsum(np.where((act == ADD) | (act == MODIFY), amount, -amount))
+    total = total - np.repeat(np.r_[0, total[ends[:-1]]], np.diff(np.r_[starts, len(level)]))
+    gain = total[ends]
+    fixed = np.logical_or.reduceat(act == MODIFY, starts) | cleared
+    least = np.where(fixed, after[ends], gain - np.minimum.reduceat(total, starts))
+    return Effects(updates.names[level[starts]], np.where(fixed, 0, gain), least, fixed, cleared)
+
+
+def fold(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarray, known: np.ndarray, levels: int, window: int, first: int | None = None, opening: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Best prices (``has_bid``, ``has_ask`` tell where there are any), depths and flags after each event, in order.
+
+    A slice of a day begins with the sizes in ``opening`` (side, price, size),
+    which are set before its first event; ``first`` is then the day's first price.
+    """
+    reject = refused(action, price, size, known, window, first)
     taken = (reject == 0) & (known | (action == CLEAR))
+    ahead = 0
+    if opening is not None:
+        ahead = len(opening[0])
+        joined = lambda old, new: np.concatenate([np.asarray(new, dtype=old.dtype), old])
+        action, side, price, size = joined(action, np.full(ahead, MODIFY)), joined(side, opening[0]), joined(price, opening[1]), joined(size, opening[2])
+        taken, reject = joined(taken, np.ones(ahead)), joined(reject, np.zeros(ahead))
     updates = updates_of(action, side, price, size, taken)
     out = {}
     for name, own in (("bid", BID), ("ask", ASK)):
@@ -163,4 +252,4 @@ def fold(action: np.ndarray, side: np.ndarray, price: np.ndarray, size: np.ndarr
     under = np.isin(action[updates.row], (CANCEL, TRADE)) & (size[updates.row] > updates.before)
     negative[updates.row[under]] = NEGATIVE_SIZE
     out["book_flags"] = np.where(reject > 0, reject, np.where(action == CLEAR, 0, negative + state))
-    return out
+    return {k: v[ahead:] for k, v in out.items()}

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tickloom.operators import book, features, targets
 from tickloom.plans.registry import Catalog
 from tickloom.plans.sql import DAY, book_sql, flow_sql, states_sql, time_sum
-from tickloom.schema import MS, SECOND
 from tickloom.schema import DAY as KEYS
+from tickloom.schema import DEFAULT, MS, SECOND
 from tickloom.sources.fixtures import l2_events
 
 catalog = Catalog()
@@ -30,15 +30,18 @@ def l2_top(spark, sf):
     return book.book_frame(l2_events(spark, sf)).select(*ROW, "bid_px", "ask_px")
 
 
-def _frame(variant):
+def _frame(variant, cfg=DEFAULT):
     def plan(spark, sf):
-        return book.wide_depth(book.book_frame(l2_events(spark, sf, variant))).select(*ROW, "ts_event", "action", "side", "price", "size", "bid_px", "ask_px", "book_flags", *DEPTH.split(", "))
+        return book.wide_depth(book.book_frame(l2_events(spark, sf, variant), cfg)).select(*ROW, "ts_event", "action", "side", "price", "size", "bid_px", "ask_px", "book_flags", *DEPTH.split(", "))
 
     return plan
 
 
 _BOOK = f"SELECT {DAY}, sequence, ts_event, action, side, price, size, bid_px, ask_px, book_flags, {DEPTH} FROM book"
 catalog.add("l2_book_frame", f"WITH {book_sql('clear')} {_BOOK}")(_frame("clear"))
+#: Slices are a few rows here, for the days of the fixtures are thin; the same rows as in one piece.
+SLICED = DEFAULT.override(slice_rows=12)
+catalog.add("l2_book_sliced", f"WITH {book_sql('clear')} {_BOOK}")(_frame("clear", SLICED))
 catalog.add("l2_depth", f"WITH {book_sql()} SELECT {DAY}, sequence, {DEPTH} FROM book")(lambda spark, sf: _frame("main")(spark, sf).select(*ROW, *DEPTH.split(", ")))
 
 

@@ -30,6 +30,7 @@ class Settings:
 
     levels: int = 10
     price_window: int = 16_384
+    slice_rows: int = 0  # 0: a day is folded in one piece
     windows_ms: tuple[int, ...] = (100, 1000, 5000)
     windows_events: tuple[int, ...] = (10, 50, 200)
     depth_levels: tuple[int, ...] = (3, 5, 10)
