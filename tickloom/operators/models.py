@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import stats
+from tickloom.operators import exact, stats
 from tickloom.schema import DEFAULT, Settings
 from tickloom.sources.scratch import stored
 
@@ -58,8 +58,8 @@ def sample_days(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 def lookup(train: DataFrame, rows: DataFrame, cfg: Settings = DEFAULT, x: str = "imbalance", y: str = "y") -> DataFrame:
     """Smoothed up-share by quantile bin of ``x``: edges without repeats, a bin is the number of edges at or below."""
     shares = [i / cfg.imbalance_bins for i in range(1, cfg.imbalance_bins)]
-    edges = train.agg(F.array_distinct(F.percentile(x, F.array(*map(F.lit, shares)))).alias("__edges"))  # one row
-    placed = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col(x)))).drop("__edges")
+    edges = F.array(*map(F.lit, sorted({e for e in exact.quantiles(train, {x: shares})[x] if e is not None}))).cast("array<double>")
+    placed = lambda df: df.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col(x))))
     table = placed(train).groupBy("bin").agg(((F.sum(y) + cfg.laplace_alpha) / (F.count(F.lit(1)) + 2 * cfg.laplace_alpha)).alias("p_lookup"))
     return placed(rows).join(F.broadcast(table), "bin", "left").withColumn("p_lookup", F.coalesce("p_lookup", F.lit(0.5)))  # one row a bin
 

@@ -2,7 +2,8 @@
 
 Rows are range-partitioned by series and order, each partition is worked on by
 array operations, and what partitions say about each other (a few numbers for
-each series in each) is put together behind them.
+each series in each) is put together behind them. Callers hand in stored
+tables, for rows are read twice: once for the ranges, once for the sums.
 """
 
 from __future__ import annotations
@@ -10,49 +11,71 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _runs(names: list) -> list[tuple[int, int]]:
-    """Half-open ranges of equal neighbours."""
-    first = [0] + [i for i in range(1, len(names)) if names[i] != names[i - 1]]
-    return list(zip(first, [*first[1:], len(names)], strict=True)) if names else []
+def changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before; nulls equal each other."""
+    a, b = column[1:], column[:-1]
+    other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return other | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
 
 
-def _series(batches):
-    """(number of the run in this partition, series, values) of whole runs."""
-    held, name, number = [], None, 0
+def first_rows(columns: list[pa.Array], size: int) -> np.ndarray:
+    """Which rows of a batch begin a run of equal keys."""
+    first = np.zeros(size, dtype=bool)
+    first[:1] = True
+    for column in columns:
+        first[1:] |= changes(column)
+    return first
+
+
+def _series(batches, width: int):
+    """(number of the run in this partition, its key as arrays of one, values) of whole runs; the first ``width`` columns are the key."""
+    held, key, number = [], None, 0
     for batch in batches:
-        names, values = batch.column(0).to_pylist(), np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
-        for a, b in _runs(names):
-            if held and names[a] != name:
-                yield number, name, np.concatenate(held)
+        if not batch.num_rows:
+            continue
+        columns, values = batch.columns[:width], np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[width:]])
+        starts = np.flatnonzero(first_rows(columns, batch.num_rows))
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            own = [c.slice(a, 1) for c in columns]
+            if held and any(x[0].as_py() != y[0].as_py() for x, y in zip(own, key, strict=True)):
+                yield number, key, np.concatenate(held)
                 held, number = [], number + 1
-            name = names[a]
+            key = own
             held.append(values[a:b])
     if held:
-        yield number, name, np.concatenate(held)
+        yield number, key, np.concatenate(held)
 
 
 def _spread(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], values: list[str]) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    named = rows.withColumn("__series", F.to_json(F.struct(*keys)))
-    return named.repartitionByRange(n, "__series", *order).sortWithinPartitions("__series", *order).select("__series", *values)
+    return rows.select(*keys, *order, *values).repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).select(*keys, *values)
+
+
+def _part_number(number: int) -> int:
+    from pyspark import TaskContext
+
+    return (TaskContext.get().partitionId() << 32) + number
+
+
+def _fields(rows: DataFrame, keys: tuple[str, ...]) -> str:
+    return "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
 
 def lagged_products(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, weights: np.ndarray) -> DataFrame:
     """Sum over ``k`` of ``weights[k]`` times the sum of products of ``value`` with the one ``k`` rows before (``g``), for each series."""
-    lags = len(weights) - 1
+    lags, width = len(weights) - 1, len(keys)
+    names = [*keys, "part", "g", "head", "tail"]
 
     def part(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        for number, name, x in _series(batches):
+        for number, key, x in _series(batches, width):
             x = x[:, 0]
             g = float(sum(w * (x[k:] @ x[: len(x) - k]) for k, w in enumerate(weights) if k < len(x)))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([base + number]), pa.array([g]), pa.array([x[:lags]]), pa.array([x[max(0, len(x) - lags) :]])], ["series", "part", "g", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([*key, pa.array([_part_number(number)]), pa.array([g]), pa.array([x[:lags]], type=pa.list_(pa.float64())), pa.array([x[max(0, len(x) - lags) :]], type=pa.list_(pa.float64()))], names)
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part")
@@ -63,28 +86,25 @@ def lagged_products(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ..
                 i = np.arange(max(0, len(before) - k), min(len(before), len(before) - k + len(head)))
                 total += weights[k] * float(before[i] @ head[i + k - len(before)])
             before = np.r_[before, tail][-lags:] if lags else before
-        return pd.DataFrame({"series": [group["series"].iloc[0]], "g": [total]})
+        out = group[[*keys]].iloc[:1].copy()
+        out["g"] = total
+        return out
 
-    parts = _spread(rows, keys, order, [value]).mapInArrow(part, "series string, part long, g double, head array<double>, tail array<double>")
-    found = parts.groupBy("series").applyInPandas(joined, "series string, g double")
-    names = rows.select(*keys).distinct().withColumn("series", F.to_json(F.struct(*keys)))
-    return names.join(found, "series").select(*keys, "g")
+    fields = _fields(rows, keys)
+    parts = _spread(rows, keys, order, [value]).mapInArrow(part, f"{fields}part long, g double, head array<double>, tail array<double>")
+    return parts.groupBy(*keys).applyInPandas(joined, f"{fields}g double")
 
 
 def wins_below(tally: DataFrame, keys: tuple[str, ...], p: str) -> DataFrame:
     """For each series the sum of ``pos`` times the ``neg`` below it and half of its own (``w``); ``p`` is distinct within a series."""
+    width = len(keys)
 
     def part(batches):
-        from pyspark import TaskContext
-
-        base = TaskContext.get().partitionId() << 32
-        for number, name, x in _series(batches):
+        for number, key, x in _series(batches, width):
             pos, neg = x.T
             w = float(pos @ (np.cumsum(neg) - neg / 2))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([base + number]), pa.array([w]), pa.array([float(pos.sum())]), pa.array([float(neg.sum())])], ["series", "part", "w", "pos", "neg"])
+            yield pa.RecordBatch.from_arrays([*key, pa.array([_part_number(number)]), pa.array([w]), pa.array([float(pos.sum())]), pa.array([float(neg.sum())])], [*keys, "part", "w", "pos", "neg"])
 
-    parts = _spread(tally, keys, (p,), ["pos", "neg"]).mapInArrow(part, "series string, part long, w double, pos double, neg double")
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("series").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    found = parts.withColumn("w", F.col("w") + F.col("pos") * below).groupBy("series").agg(F.sum("w").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    names = tally.select(*keys).distinct().withColumn("series", F.to_json(F.struct(*keys)))
-    return names.join(found, "series").select(*keys, "w", "pos", "neg")
+    parts = _spread(tally, keys, (p,), ["pos", "neg"]).mapInArrow(part, f"{_fields(tally, keys)}part long, w double, pos double, neg double")
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return parts.withColumn("w", F.col("w") + F.col("pos") * below).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import ordered
+from tickloom.operators import exact, ordered
 from tickloom.schema import DEFAULT, STRATEGIES, Settings
+from tickloom.sources.scratch import stored
 
 CELL = ("queue_model", "latency_ms", "deadline_s")
 REGIME = ("minutes_since_open", "vol_300s", "own_queue", "spread_ticks")
@@ -62,9 +63,12 @@ def bootstrap(diff: DataFrame, keys: tuple[str, ...], reps: int) -> DataFrame:
 def hac_t(series: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], lags: int) -> DataFrame:
     """t of the mean of ``diff`` with Bartlett weights over ``lags``; null under three rows or without variance.
 
-    A series may be of any length: its parts are summed where they lie.
+    A series may be of any length: its parts are summed where they lie. The
+    series are written once; their keys are kept as columns.
     """
+    series = stored(series.select(*keys, *order, "diff"), "series")
     found = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("diff").alias("mean"), F.min("diff").alias("lo"), F.max("diff").alias("hi"))
+    found = stored(found, "series-means")
     weights = np.array([1.0] + [2 * (1 - k / (lags + 1)) for k in range(1, lags + 1)])
     rows = series.select(*keys, *order, "diff").join(found.select(*keys, "mean"), [*keys]).withColumn("e", F.col("diff") - F.col("mean"))
     found = found.join(ordered.lagged_products(rows, keys, order, "e", weights), [*keys])
@@ -82,17 +86,17 @@ def savings(wide: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 
 def buckets(rows: DataFrame, vol: str, queue: str, spread: str, minutes: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Regime columns ``tod``, ``vol``, ``queue``, ``spread_state``; cuts are quantiles of the whole frame."""
-    cuts = rows.agg(F.percentile(vol, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("v"), F.percentile(queue, F.lit(0.5)).alias("q"))
-    rows = rows.crossJoin(F.broadcast(cuts))  # one row
+    """Regime columns ``tod``, ``vol``, ``queue``, ``spread_state``; cuts are exact quantiles of the whole frame, found where its rows lie."""
+    cuts = exact.quantiles(rows, {vol: [1 / 3, 2 / 3], queue: [0.5]})
+    (low, high), (middle,) = ([F.lit(x).cast("double") for x in cuts[c]] for c in (vol, queue))
     return rows.withColumns(
         {
             "tod": time_of_day(F.col(minutes)),
-            "vol": F.when(F.col(vol) <= F.col("v")[0], "low").when(F.col(vol) <= F.col("v")[1], "mid").otherwise("high"),
-            "queue": F.when(F.col(queue) <= F.col("q"), "small").otherwise("large"),
+            "vol": F.when(F.col(vol) <= low, "low").when(F.col(vol) <= high, "mid").otherwise("high"),
+            "queue": F.when(F.col(queue) <= middle, "small").otherwise("large"),
             "spread_state": F.when(F.col(spread) <= 1, "1 tick").otherwise("wider"),
         }
-    ).drop("v", "q")
+    )
 
 
 def time_of_day(minutes: Column) -> Column:
@@ -102,7 +106,7 @@ def time_of_day(minutes: Column) -> Column:
 def execution_breakdown(log: DataFrame, cfg: Settings = DEFAULT, least: int = 30) -> DataFrame:
     """Mean costs of the headline cell by regime; release rows are a period of their own."""
     cell = headline(log, cfg)
-    wide = buckets(paired(cell), "vol_300s", "own_queue", "spread_ticks", "minutes_since_open")
+    wide = buckets(stored(paired(cell), "paired"), "vol_300s", "own_queue", "spread_ticks", "minutes_since_open")
     dims = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("bucket")) for d in ("tod", "vol", "queue", "spread_state")), F.struct(F.lit("period").alias("dimension"), F.lit("normal").alias("bucket")))
     names = STRATEGIES[:5]
     rows = wide.select(*names, F.inline(dims)).unionByName(paired(cell, release=True).select(*names, F.lit("period").alias("dimension"), F.lit("release").alias("bucket")))
@@ -125,7 +129,7 @@ def auc(rows: DataFrame, keys: tuple[str, ...], y: str = "y", p: str = "p") -> D
     and how many losses lie below them.
     """
     tally = rows.groupBy(*keys, p).agg(F.sum(F.col(y)).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
-    total = ordered.wins_below(tally, keys, p)
+    total = ordered.wins_below(stored(tally, "tally"), keys, p)
     return total.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("w") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 

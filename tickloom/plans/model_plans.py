@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, features, models, policies, simulator, stats, targets
+from tickloom.operators import book, exact, features, models, policies, simulator, stats, targets
 from tickloom.plans import sim_plans
 from tickloom.plans.cost_plans import R, buckets_sql, rounded
 from tickloom.plans.registry import Catalog
@@ -60,8 +60,8 @@ def reliability(spark, sf):
     """Mean prediction and observed share by quantile bin of the prediction."""
     rows = mini_pred(spark, sf)
     n = DEFAULT.reliability_bins
-    edges = rows.agg(F.array_distinct(F.percentile("p", F.array(*(F.lit(i / n) for i in range(1, n))))).alias("e"))  # one row
-    rows = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("e", lambda z: z <= F.col("p"))).cast("long"))
+    edges = F.array(*map(F.lit, sorted(set(exact.quantiles(rows, {"p": [i / n for i in range(1, n)]})["p"]))))
+    rows = rows.withColumn("bin", F.size(F.filter(edges, lambda z: z <= F.col("p"))).cast("long"))
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 8).alias("mean_p"), F.round(F.avg("y"), 8).alias("share_up"))
 
 

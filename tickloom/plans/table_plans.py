@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalar
-from tickloom.operators import book, features, joins, quality, stats, targets
+from tickloom.operators import book, exact, features, joins, positions, quality, stats, targets
 from tickloom.plans.registry import Catalog
 from tickloom.plans.sql import DAY, book_sql, flow_sql
 from tickloom.schema import DAY as KEYS
 from tickloom.schema import SECOND
-from tickloom.sources.fixtures import MINI_VOLUME_SQL, RELEASES_SQL, l2_events, l2_sql, mini_volume, read, releases
+from tickloom.sources.fixtures import MINI_VOLUME_SQL, RELEASES_SQL, l2_events, l2_sql, micros, mini_volume, read, releases
 
 catalog = Catalog()
 ROW = (*KEYS, "sequence")
@@ -214,3 +214,47 @@ catalog.add("imbalance_bins", f"WITH {flow_sql('main')} SELECT CAST(floor((CASE
     lambda s, d: features.with_mid(book.book_frame(l2_events(s, d))).filter("mid IS NOT NULL").groupBy(F.floor((features.ratio(F.col("qb") - F.col("qa"), F.col("qb") + F.col("qa")) + 1) * 5).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
 )
 catalog.add("inject_faults", f"WITH {l2_sql()}, {_FAULTY} SELECT {DAY}, ts_event, sequence, size, arrival FROM raw2")(lambda s, d: faulty(s, d).select(*KEYS, "ts_event", "sequence", "size", "arrival"))
+
+
+# ------------------------------------------------ exact and positional
+
+_NET = "l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) * 1125899906842624"
+
+
+@catalog.add("exact_sums", f"SELECT l_suppkey, n AS n_net, ((s // 1099511627776)::DOUBLE * 1099511627776::DOUBLE + (s % 1099511627776)::DOUBLE) / 1125899906842624::DOUBLE AS net FROM (SELECT l_suppkey, count(*) AS n, sum(CAST({_NET} AS HUGEINT)) AS s FROM lineitem GROUP BY l_suppkey)")
+def exact_sums(spark, sf):
+    """Sums of products of doubles that are the same to the last bit in any order; SQL adds them up as integers of 2^-50."""
+    net = F.col("l_extendedprice").cast("double") * (1 - F.col("l_discount").cast("double"))
+    return exact.sums(read(spark, sf, "lineitem").select("l_suppkey", net.alias("net")), ("l_suppkey",), ("net",))
+
+
+_SHARES = (0.01, 0.25, 1 / 3, 0.5, 0.9, 0.999)
+_COLUMNS = ("l_extendedprice", "l_quantity", "l_discount")
+
+
+@catalog.add("exact_quantiles", " UNION ALL ".join(f"SELECT '{c}' AS name, {p!r}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {p!r}::DOUBLE), 9) AS value FROM lineitem" for c in _COLUMNS for p in _SHARES))
+def exact_quantiles(spark, sf):
+    """Quantiles by counting leading bits; no task sorts a column, however few its rows are."""
+    found = exact.quantiles(read(spark, sf, "lineitem"), {c: list(_SHARES) for c in _COLUMNS}, few=0)
+    return spark.createDataFrame([(c, p, v) for c in _COLUMNS for p, v in zip(_SHARES, found[c], strict=True)], "name string, share double, value double").withColumn("value", F.round("value", 9))
+
+
+@catalog.add("row_slices", "SELECT position // 20000 AS slice, count(*) AS n, min(position) AS first_position, sum(l_orderkey * (position % 20000 + 1)) AS digest FROM (SELECT l_orderkey, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS position FROM lineitem) GROUP BY ALL")
+def row_slices(spark, sf):
+    """Slices of 20,000 rows in order, each read from its own folders; the digest depends on every row's place."""
+    rows = read(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    slices = positions.Slices(rows, "l_shipdate", "l_orderkey", "l_linenumber")
+    place = F.col("position")
+    return slices.table().groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first_position"), F.sum(F.col("l_orderkey") * (place % 20000 + 1)).alias("digest"))
+
+
+@catalog.add(
+    "asof_long_key",
+    f"""WITH {l2_sql()}, a AS (SELECT event_id, 2000 * event_id + epoch_us(ts) AS at FROM events)
+SELECT a.event_id, l.ts_event, l.instrument_id, l.sequence FROM a ASOF LEFT JOIN (SELECT *, row_number() OVER (ORDER BY ts_event, instrument_id, date, sequence) AS o FROM l2 QUALIFY row_number() OVER (PARTITION BY ts_event ORDER BY instrument_id DESC, date DESC, sequence DESC) = 1) l ON l.ts_event <= a.at""",
+)
+def asof_long_key(spark, sf):
+    """All instruments and days as one key: the last event of any before each point, in many tasks."""
+    table = l2_events(spark, sf).withColumn("all", F.lit(1)).withColumn("o", F.struct("instrument_id", "date", "sequence"))
+    points = read(spark, sf, "events").select(F.lit(1).alias("all"), "event_id", (F.lit(2000).cast("long") * F.col("event_id") + micros("ts")).alias("at"))
+    return joins.as_of_long(points, table, ("all",), "at", "ts_event", "o", ["ts_event", "instrument_id", "sequence"]).drop("all", "at")
