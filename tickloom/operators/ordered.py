@@ -9,11 +9,15 @@ tables, for rows are read twice: once for the ranges, once for the sums.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows about parts that are sent at once.
+TOGETHER = 1024
 
 
 def changes(column: pa.Array) -> np.ndarray:
@@ -66,45 +70,94 @@ def _fields(rows: DataFrame, keys: tuple[str, ...]) -> str:
     return "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
 
+def _together(rows, schema: pa.Schema):
+    """Rows (key as arrays of one, further values) in batches of ``TOGETHER``."""
+
+    def batch(held):
+        keys = [pa.concat_arrays([key[i] for key, _ in held]) for i in range(len(held[0][0]))]
+        width = len(keys)
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array([rest[i] for _, rest in held], type=schema.field(width + i).type) for i in range(len(held[0][1])))], schema.names)
+
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == TOGETHER:
+            yield batch(held)
+            held = []
+    if held:
+        yield batch(held)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    """Of a schema in Spark's words; on the driver only."""
+    return to_arrow_schema(T.StructType.fromDDL(schema))
+
+
 def lagged_products(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], value: str, weights: np.ndarray) -> DataFrame:
     """Sum over ``k`` of ``weights[k]`` times the sum of products of ``value`` with the one ``k`` rows before (``g``), for each series."""
     lags, width = len(weights) - 1, len(keys)
-    names = [*keys, "part", "g", "head", "tail"]
+    fields = _fields(rows, keys)
+    of_parts, of_series = f"{fields}part long, g double, head array<double>, tail array<double>", f"{fields}g double"
+    part_arrow, series_arrow = _arrow(of_parts), _arrow(of_series)
 
     def part(batches):
-        for number, key, x in _series(batches, width):
-            x = x[:, 0]
-            g = float(sum(w * (x[k:] @ x[: len(x) - k]) for k, w in enumerate(weights) if k < len(x)))
-            yield pa.RecordBatch.from_arrays([*key, pa.array([_part_number(number)]), pa.array([g]), pa.array([x[:lags]], type=pa.list_(pa.float64())), pa.array([x[max(0, len(x) - lags) :]], type=pa.list_(pa.float64()))], names)
-
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part")
-        total, before = float(group["g"].sum()), np.zeros(0)
-        for head, tail in zip(group["head"], group["tail"], strict=True):
-            head, tail = np.asarray(head, dtype=float), np.asarray(tail, dtype=float)
-            for k in range(1, lags + 1):  # rows behind this part that are k before one of its first
-                i = np.arange(max(0, len(before) - k), min(len(before), len(before) - k + len(head)))
-                total += weights[k] * float(before[i] @ head[i + k - len(before)])
-            before = np.r_[before, tail][-lags:] if lags else before
-        out = group[[*keys]].iloc[:1].copy()
-        out["g"] = total
-        return out
-
-    fields = _fields(rows, keys)
-    parts = _spread(rows, keys, order, [value]).mapInArrow(part, f"{fields}part long, g double, head array<double>, tail array<double>")
-    return parts.groupBy(*keys).applyInPandas(joined, f"{fields}g double")
+        def rows_of():
+            for number, key, x in _series(batches, width):
+                x = x[:, 0]
+                g = float(sum(w * (x[k:] @ x[: len(x) - k]) for k, w in enumerate(weights) if k < len(x)))
+                yield key, (_part_number(number), g, x[:lags], x[max(0, len(x) - lags) :])
+
+        return _together(rows_of(), part_arrow)
+
+    def across(before: np.ndarray, head: np.ndarray) -> float:
+        """Products of a part's first values with the last ones before it."""
+        total = 0.0
+        for k in range(1, lags + 1):
+            i = np.arange(max(0, len(before) - k), min(len(before), len(before) - k + len(head)))
+            total += weights[k] * float(before[i] @ head[i + k - len(before)])
+        return total
+
+    def stitch(batches):
+        def rows_of():
+            key = total = before = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                first = first_rows(batch.columns[:width], batch.num_rows)
+                for i, (g, head, tail) in enumerate(zip(*(c.to_pylist() for c in batch.columns[width + 1 :]), strict=True)):
+                    own = [c.slice(i, 1) for c in batch.columns[:width]]
+                    if key is None or (first[i] and any(a[0].as_py() != b[0].as_py() for a, b in zip(own, key, strict=True))):
+                        if key is not None:
+                            yield key, (total,)
+                        key, total, before = own, 0.0, np.zeros(0)
+                    head, tail = np.array(head), np.array(tail)
+                    total += g + (across(before, head) if len(before) else 0.0)
+                    before = np.r_[before, tail][-lags:] if lags else before
+            if key is not None:
+                yield key, (total,)
+
+        return _together(rows_of(), series_arrow)
+
+    parts = _spread(rows, keys, order, [value]).mapInArrow(part, of_parts)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    together = parts.repartition(n, *keys) if keys else parts.coalesce(1)  # a row for each part of a series
+    return together.sortWithinPartitions(*keys, "part").mapInArrow(stitch, of_series)
 
 
 def wins_below(tally: DataFrame, keys: tuple[str, ...], p: str) -> DataFrame:
     """For each series the sum of ``pos`` times the ``neg`` below it and half of its own (``w``); ``p`` is distinct within a series."""
     width = len(keys)
+    schema = f"{_fields(tally, keys)}part long, w double, pos double, neg double"
+    arrow = _arrow(schema)
 
     def part(batches):
-        for number, key, x in _series(batches, width):
-            pos, neg = x.T
-            w = float(pos @ (np.cumsum(neg) - neg / 2))
-            yield pa.RecordBatch.from_arrays([*key, pa.array([_part_number(number)]), pa.array([w]), pa.array([float(pos.sum())]), pa.array([float(neg.sum())])], [*keys, "part", "w", "pos", "neg"])
+        def rows_of():
+            for number, key, x in _series(batches, width):
+                pos, neg = x.T
+                yield key, (_part_number(number), float(pos @ (np.cumsum(neg) - neg / 2)), float(pos.sum()), float(neg.sum()))
+
+        return _together(rows_of(), arrow)
 
-    parts = _spread(tally, keys, (p,), ["pos", "neg"]).mapInArrow(part, f"{_fields(tally, keys)}part long, w double, pos double, neg double")
+    parts = _spread(tally, keys, (p,), ["pos", "neg"]).mapInArrow(part, schema)
     below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return parts.withColumn("w", F.col("w") + F.col("pos") * below).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
