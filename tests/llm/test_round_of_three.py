@@ -285,3 +285,76 @@ def test_common_grams_of_copies_vote_once(spark):
     grams = licenses.text_grams(docs_frame(spark, [(i, "a under the mit license b") for i in range(500)]).selectExpr("1L k1", "2L k2", "text body"))
     found = licenses.spans(grams, licenses.template_grams(spark, licenses.BASE)).collect()
     assert [(r.template, [(v.diagonal, v.places) for v in r.votes]) for r in found] == [(0, [(1, [0, 1])])]
+
+
+# Pages
+
+
+@pytest.mark.parametrize("unit", ["<a", '<a "', "<", "<!", "</", "<script ", "<a =\"<a\" ", "<!--", "<a href='", "</script ", "<title", "<p class=\"", "&#", "<a <", "= ", "<div hidden "])
+def test_unclosed_markup_takes_linear_time(unit):
+    import time
+
+    from tickloom.llm import html_text
+
+    began = time.process_time()
+    html_text.main_text(unit * (1_000_000 // len(unit)), {"w": 1.0})
+    assert time.process_time() - began < 3
+
+
+def article(body, before="", after=""):
+    return f"<html><head><title>t</title></head><body><nav><a href=/x>menu</a></nav>{before}<article>{body}</article>{after}<footer>end</footer></body></html>"
+
+
+def test_class_words_are_learnt_not_listed(spark, monkeypatch):
+    """Adverts go by what labelled pages say, also with made-up class names and without the list."""
+    from tickloom.llm import html_text
+
+    monkeypatch.setattr(html_text, "DOUBTFUL", frozenset())
+    names = ["ad", "zorp"]
+    pages = [(i, article(f"<h1>head {i}</h1><p>one two three four five six seven eight nine ten {i}</p>", f'<div class="{names[i % 2]}">buy this now and more {i}</div>', f'<div id="{names[i % 2]}">last offer</div>')) for i in range(40)]
+    pages += [(100 + i, article(f'<div class="story">the words of a story {i}</div>')) for i in range(5)]
+    frame = spark.createDataFrame(pages, "page_id long, html string")
+    weights = html_text.learn_weights(frame)
+    assert weights["c.ad"] < 0 and weights["c.zorp"] < 0 < weights["c.story"]
+    got = {r.page_id: r.text for r in html_text.extract(frame, weights).collect()}
+    assert all(got[i] == f"head {i}\none two three four five six seven eight nine ten {i}" for i in range(40))
+    real = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    learnt, held_out = (real.filter(f"page_id % 2 = {i}") for i in (0, 1))
+    weights = html_text.learn_weights(learnt)
+    found = html_text.extract(held_out, weights).collect()
+    ads = dict(real.selectExpr("page_id", "regexp_extract(html, '<div class=.ad.>([^<]*)<', 1)").collect())
+    assert sum(bool(r.text) and ads[r.page_id].split()[0:4] != r.text.split()[0:4] and ads[r.page_id] not in r.text for r in found) >= 0.98 * len(found)
+
+
+def test_text_under_doubtful_names_stays():
+    from tickloom.llm import html_text
+
+    words = "a page whose text stands in one block of an odd name"
+    weights = html_text.weights_from([])
+    for name in ("social history", "share price", "ad hoc analysis", "notice of motion", "related-work", "comment on law"):
+        assert html_text.main_text(f'<html><body><nav>menu</nav><div class="{name}"><p>{words}</p></div></body></html>', weights) == words
+        assert html_text.main_text(article(f'<p>{words}</p><div class="{name}"><p>{words} {words} {words} {words} {words}</p></div>'), weights).count(words) == 6
+        assert html_text.main_text(article(f'<p>{words} {words}</p><div class="{name}">small</div>'), weights) == f"{words} {words}"
+    assert html_text.main_text(f'<div title="The hidden valley"><p>{words}</p></div>', weights) == words
+    assert html_text.main_text(f'<div data-hidden-x=1><p>{words}</p></div><div hidden>no</div><div style="color:red; display : none">no</div>', weights) == words
+    assert html_text.main_text(f"<p title=it's>{words}</p><p>it's more text</p>", weights) == f"{words}\nit's more text"
+
+
+def test_markup_that_no_generator_makes():
+    """Hand-made pages: quotes in attributes, unclosed elements, nesting, references, tables, comments of readers."""
+    from tickloom.llm import html_text
+
+    weights = html_text.weights_from([])
+    long = "word " * 12
+    for page, text in (
+        (f'<p data-x="a > b">{long}</p>', long.strip()),
+        (f"<P>{long}<BR/>tail<Div>block of words</dIV>after all this", f"{long.strip()} tail\nblock of words\nafter all this"),
+        (f"<div>{long}<div><div>inner words of a block</div></div></div>", f"{long.strip()}\ninner words of a block"),
+        (f"{long}&lt;b&gt; &amp;amp; &#x41;&#66;&nbsp;x", f"{long.strip()} <b> &amp; AB x"),
+        (f"<table><tr><td>{long}<td>two of them here<tr><td>three of them here now</table>", f"{long.strip()}\ntwo of them here\nthree of them here now"),
+        (f"<main><p>{long}</p><section class=comments><p>First!</p></section></main>", long.strip()),
+        (f"<script>if (a < b) {{ '</p>' }}</script ><p>{long}</p><style>p{{}}", long.strip()),
+        (f"<p>{long}</p><!-- a -- > b <p>no</p> -->", long.strip()),
+        (f"<p>{long}</p><svg><text>no</text></svg><noscript>no</noscript>", long.strip()),
+    ):
+        assert html_text.main_text(page, weights) == text
