@@ -27,7 +27,7 @@ def built(spark, tmp_path_factory):
     rows = rows.withColumn("ts_event", (opens + F.col("sequence") * 100_000_000).cast("long"))
     repeated = rows.unionByName(rows.filter("sequence % 9 = 0"))
     tables.write_days(repeated, f"{root}/events")
-    (root / "settings.json").write_text(json.dumps({"min_train_days": 4, "test_block_days": 3}))
+    (root / "settings.json").write_text(json.dumps({"min_train_days": 4, "test_block_days": 3, "decisions_per_day": 4, "deadlines_s": [1], "latencies_ms": [0, 10], "headline": ["proportional", 10, 1], "boost_rounds": 10, "bootstrap_reps": 20}))
     options = ["--config", str(root / "settings.json"), "--set", "session=[\"08:30\", \"15:00\"]"]
     assert commands.main([*options, "all", "--events", f"{root}/events", "--out", f"{root}/out"], spark) == 0
     assert commands.main([*options, "replay", "--out", f"{root}/out", "--slices", "2"], spark) == 0
@@ -42,10 +42,23 @@ def test_all_leaves_tables_and_a_report(spark, built):
     found = tables.read_result(spark, f"{root}/out/tables", "direction_metrics")
     assert {r.model for r in found.collect()} == set(commands.MODELS) and found.filter("auc BETWEEN 0 AND 1").count() > 0
     text = (root / "out" / "REPORT.md").read_text()
-    assert "## descriptive" in text and "## direction_metrics" in text and "## stability" in text
+    assert "## cost_table" in text and "## savings" in text and "## descriptive" in text and "## direction_metrics" in text and "## stability" in text
     assert (root / "out" / "QUALITY.md").read_text().count("\n") > 10
 
 
+def test_executed_orders_have_costs(spark, built):
+    root, _ = built
+    log = tables.read_days(spark, f"{root}/out/trade_log")
+    cells = log.groupBy(*DAY, "decision_id", "queue_model", "latency_ms", "deadline_s").agg(F.countDistinct("strategy").alias("n"))
+    assert not cells.isEmpty() and cells.filter("n <> 4").isEmpty()
+    assert log.filter("decision_ts IS NULL OR in_release_window OR minutes_since_open < 0 OR (filled_passive AND adverse_5s IS NULL) OR time_to_fill_ms < 0").isEmpty()
+    costs = {(r.queue_model, r.latency_ms, r.strategy): r for r in tables.read_result(spark, f"{root}/out/tables", "cost_table").collect()}
+    assert len(costs) == 4 * 2 * 4
+    assert all(costs[m, lat, "oracle"].mean_cost_ticks <= costs[m, lat, s].mean_cost_ticks + 1e-9 for m, lat, s in costs if s != "new_level")
+    saved = tables.read_result(spark, f"{root}/out/tables", "savings")
+    assert saved.count() == 4 * 2 * 5 and saved.filter("ci95_lo > saving_ticks + 1e-9 OR ci95_hi < saving_ticks - 1e-9").isEmpty()
+
+
 def test_replay_gives_the_batch_features(spark, built):
     root, _ = built
     batch = tables.read_days(spark, f"{root}/out/features").filter("mid IS NOT NULL").select(*DAY, "sequence", "imbalance", "microprice", "ofi_ev50", "tfi_ms1000")

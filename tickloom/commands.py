@@ -1,4 +1,4 @@
-"""Commands: build features, train, diagnose, report, replay, or all of them.
+"""Commands: build features, train, execute orders, diagnose, report, replay, or all of them.
 
 Every command takes tables from a folder and leaves tables there, so each can
 be run again by itself. Settings come from a JSON file and ``--set name=value``.
@@ -13,14 +13,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, features, models, quality, stats, targets
+from tickloom.operators import book, features, models, policies, quality, simulator, stats, targets
 from tickloom.schema import DAY, DEFAULT, Settings
 from tickloom.sources import tables
+from tickloom.sources.scratch import stored
 from tickloom.streaming import metrics, replay
 
 #: What the direction models learn from.
 LEARNT = ("imbalance", "microprice", "spread", "bid_queue", "ask_queue", "depth_imb_3", "ofi_ev10", "ofi_ev50", "tfi_ms1000", "since_mid_change_ms")
 MODELS = ("lookup", "logistic", "trees")
+#: Comparisons of the strategies that need no model, and what a calendar of releases must have.
+EXECUTED = tuple((s, b) for s in ("always_post", "new_level", "oracle") for b in ("always_cross", "always_post") if s != b)
+RELEASES = "ts_ns long"
 
 
 def settings(config: str | None, changes: list[str]) -> Settings:
@@ -76,6 +80,34 @@ def _by_model(predictions: DataFrame) -> DataFrame:
     return predictions.select(*DAY, "sequence", "ts_event", "fold", "y", F.inline(each))
 
 
+def execute(spark: SparkSession, events: str, out: str, cfg: Settings = DEFAULT, releases: str | None = None) -> DataFrame:
+    """Orders of the strategies that need no model, as a trade log, with its cost table, savings and breakdown by regime.
+
+    ``releases`` names a CSV file of release times (``ts_ns``); decisions near
+    one count in their own period only.
+    """
+    frame = stored(book.book_frame(quality.deduplicated(tables.as_events(tables.read_days(spark, events))), cfg), "book")
+    names = [*DAY, "ts_event", "sequence", "mid", "minutes_since_open", "vol_300s"]
+    market = stored(features.with_features(quality.with_session(frame, cfg), cfg).select(*names), "market")
+    opens, closes = (quality.local_ns(F.col("date"), clock, cfg.timezone) for clock in cfg.session)
+    made = simulator.decisions(frame.select(*DAY).distinct(), cfg, opens, closes)
+    points = stored(simulator.checkpoint_rows(stored(simulator.simulate(made, frame, cfg), "orders"), frame, cfg), "checkpoints")
+    orders = policies.orders_of(points)
+    fresh = policies.new_level(simulator.simulate_new_level(made, frame, cfg))
+    log = policies.union_log([policies.always_cross(orders, cfg), policies.always_post(orders, cfg), fresh, policies.oracle(points)])
+    calendar = spark.createDataFrame([], RELEASES) if releases is None else tables.read_csv(spark, releases, RELEASES)
+    tables.write_days(policies.complete(log, market, calendar, cfg), f"{out}/trade_log")
+    log = tables.read_days(spark, f"{out}/trade_log")
+    made = {
+        "cost_table": stats.cost_table(log).orderBy(*stats.CELL, "strategy"),
+        "savings": stats.savings(stored(stats.paired(log), "paired"), cfg, EXECUTED).orderBy(*stats.CELL, "strategy", "vs"),
+        "execution_breakdown": stats.execution_breakdown(log, cfg).orderBy("dimension", "bucket"),
+    }
+    for name, df in made.items():
+        tables.write_result(df, f"{out}/tables", name)
+    return log
+
+
 def diagnose(spark: SparkSession, out: str, cfg: Settings = DEFAULT) -> list[str]:
     """Result tables on the market, and on the predictions where there are any."""
     rows = tables.read_days(spark, f"{out}/features")
@@ -128,11 +160,14 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("--config", help="JSON file of settings")
     parser.add_argument("--set", action="append", default=[], metavar="NAME=VALUE", help="one setting; may be repeated")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("build-features", "train", "diagnose", "report", "replay", "all"):
+    for name in ("build-features", "train", "execute", "diagnose", "report", "replay", "all"):
         sub = commands.add_parser(name)
         sub.add_argument("--out", required=True, help="folder of the results")
-        if name in ("build-features", "all"):
+        if name in ("build-features", "execute", "all"):
             sub.add_argument("--events", required=True, help="Parquet table of events")
+        if name in ("execute", "all"):
+            sub.add_argument("--releases", help="CSV file of release times (ts_ns)")
+        if name in ("build-features", "all"):
             sub.add_argument("--keep-bad-days", action="store_true")
         if name == "replay":
             sub.add_argument("--start", type=int)
@@ -146,6 +181,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         build_features(spark, given.events, given.out, cfg, given.keep_bad_days)
     if given.command in ("train", "all"):
         train(spark, given.out, cfg)
+    if given.command in ("execute", "all"):
+        execute(spark, given.events, given.out, cfg, given.releases)
     if given.command in ("diagnose", "all"):
         diagnose(spark, given.out, cfg)
     if given.command in ("report", "all"):

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import joins
+from tickloom.operators import joins, quality
 from tickloom.operators.features import DIRECTIONAL
-from tickloom.schema import BID, DAY, DEFAULT, MS, QUEUE_MODELS, SECOND, Settings
+from tickloom.schema import BID, DAY, DEFAULT, MINUTE, MS, QUEUE_MODELS, SECOND, Settings
 
 ORDER = (*DAY, "decision_id")
 CELL = ("latency_ms", "deadline_s", "queue_model")
@@ -115,7 +115,7 @@ def adverse(fills: DataFrame, book: DataFrame) -> DataFrame:
     for name, shift in (("m0", 0), ("m1", 1), ("m5", 5)):
         rows = joins.as_of(rows.withColumn("at", F.col("fill_ts") + shift * SECOND), book.select(*DAY, "ts_event", "sequence", F.col("mid").alias(name)), DAY, "at", "ts_event", "sequence", [name]).drop("at")
     side = F.col("order_side")
-    return rows.withColumns({"adverse_1s": (side * (F.col("m0") - F.col("m1"))).cast("double"), "adverse_5s": (side * (F.col("m0") - F.col("m5"))).cast("double")}).drop("m0", "m1", "m5")
+    return rows.withColumns({"adverse_1s": (side * (F.col("m0") - F.col("m1"))).cast("double") + F.lit(0.0), "adverse_5s": (side * (F.col("m0") - F.col("m5"))).cast("double") + F.lit(0.0)}).drop("m0", "m1", "m5")
 
 
 def with_fees(log: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -123,6 +123,30 @@ def with_fees(log: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return log.withColumns({"fee_usd": F.lit(cfg.fee_usd), "cost_usd": F.col("cost_ticks") * cfg.tick_value_usd + cfg.fee_usd})
 
 
+def decision_state(decisions: DataFrame, market: DataFrame, releases: DataFrame, width_ns: int, names: tuple[str, ...] = ("minutes_since_open", "vol_300s")) -> DataFrame:
+    """``decisions`` (with ``t0``) with the market's ``names`` at that time and whether it lies in a release window."""
+    rows = joins.as_of(decisions, market.select(*DAY, "ts_event", "sequence", *names), DAY, "t0", "ts_event", "sequence", list(names))
+    flagged = quality.with_release_flag(rows.withColumn("ts_event", F.col("t0")), releases, width_ns)
+    return flagged.drop("ts_event")
+
+
+def complete(log: DataFrame, market: DataFrame, releases: DataFrame, cfg: Settings = DEFAULT, width_ns: int | None = None) -> DataFrame:
+    """A trade log with all that cost tables ask for.
+
+    ``log`` has the columns of ``LOG``, ``market`` the book's ``mid`` and the
+    features after each event. Added are the decision's time, its minutes since
+    the open, volatility and release flag, the time to the order's end, the
+    mid's moves against a passive fill, and the cost in dollars.
+    """
+    width = cfg.release_minutes * MINUTE if width_ns is None else width_ns
+    at = decision_state(log.select(*ORDER, "t0").distinct(), market, releases, width).drop("t0")
+    key = [*ORDER, *CELL, "strategy"]
+    moves = adverse(log.filter("filled_passive").select(*key, "order_side", "fill_ts"), market).select(*key, "adverse_1s", "adverse_5s")
+    rows = log.join(at, [*ORDER]).join(moves, key, "left")
+    rows = rows.withColumns({"decision_ts": F.col("t0"), "time_to_fill_ms": (F.col("exec_ts") - F.col("t0")) / 1e6, "own_queue": F.col("own_queue").cast("double")})
+    return with_fees(rows, cfg)
+
+
 def union_log(parts: list[DataFrame]) -> DataFrame:
     """One trade log of several strategies."""
     return reduce(DataFrame.unionByName, (p.select(*LOG) for p in parts))

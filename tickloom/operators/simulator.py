@@ -36,12 +36,11 @@ def with_past(book: DataFrame) -> DataFrame:
     return book.withColumns({f"prev_{c}": F.lag(c).over(w) for c in STATE})
 
 
-def displayed(side: Column, price: Column, prefix: str = "") -> Column:
-    """Size shown at the order's price: -2 if the level is better than the best, -1 beyond the tracked depth."""
-    best = F.when(side == BID, F.col(f"{prefix}bid_px")).otherwise(F.col(f"{prefix}ask_px"))
-    depth = F.when(side == BID, F.col(f"{prefix}bid_depth")).otherwise(F.col(f"{prefix}ask_depth"))
-    off = F.when(side == BID, best - price).otherwise(price - best)
-    return F.when(best.isNull() | (off < 0), F.lit(-2).cast("long")).when(off >= F.size(depth), F.lit(-1).cast("long")).otherwise(F.try_element_at(depth, (off + 1).cast("int")))
+def shown(side: Column, price: Column, prefix: str = "") -> tuple[Column, Column]:
+    """Whether the order's level is gone (nothing rests as good as its price), and the size there, null where the book does not reach that far."""
+    best, depth = (F.when(side == BID, F.col(f"{prefix}bid_{c}")).otherwise(F.col(f"{prefix}ask_{c}")) for c in ("px", "depth"))
+    behind = (best - price) * side
+    return F.coalesce(behind < 0, F.lit(True)), F.when(behind >= 0, F.get(depth, behind.cast("int")))
 
 
 def states_at(points: DataFrame, book: DataFrame, columns: list[str]) -> DataFrame:
@@ -80,14 +79,14 @@ def paths(orders: DataFrame, book: DataFrame, start: Column, cfg: Settings, chec
     s, p = F.col("order_side"), F.col("entry_px")
     own = F.when(F.col("side") == BID, 1).otherwise(-1) == s
     hits = (F.col("action") == TRADE) & (F.col("side") == -s)
-    before, ours = displayed(s, p, "prev_"), F.col("price") == p
+    (gone, now), (_, before), ours = shown(s, p), shown(s, p, "prev_"), F.col("price") == p
     kind = F.when(hits & (F.col("price") * s < p * s), "through").when(hits & ours, "trade").when((F.col("action") == CANCEL) & ours & own, "cancel")
     kind = F.coalesce(kind.when((F.col("action") == MODIFY) & ours & own & (before > 0) & (F.col("size") < before), "cut"), F.lit("none"))
     size = F.when(kind == "cut", before - F.col("size")).otherwise(F.col("size")).cast("double")
     touched = F.coalesce(F.when(s == BID, F.col("ask_px") <= p).otherwise(F.col("bid_px") >= p), F.lit(False))
     step = F.struct(
-        F.col("ts_event").alias("ts"), F.lit(0).alias("mark"), "sequence", kind.alias("kind"), size.alias("size"), before.cast("double").alias("before"),
-        F.when(kind == "cut", -1).otherwise(F.col("queue_pos")).cast("double").alias("pos"), touched.alias("touched"), displayed(s, p).cast("double").alias("now"),
+        F.col("ts_event").alias("ts"), F.lit(0).alias("mark"), "sequence", kind.alias("kind"), size.alias("size"), before.cast("double").alias("before"), gone.alias("gone"),
+        F.when(kind == "cut", -1).otherwise(F.col("queue_pos")).cast("double").alias("pos"), touched.alias("touched"), now.cast("double").alias("now"),
     )
     gathered = rows.groupBy(*ORDER, *CELL).agg(F.collect_list(step).alias("path"))
     out = orders.join(gathered, [*ORDER, *CELL], "left").withColumn("path", F.coalesce("path", F.array().cast(gathered.schema["path"].dataType)))
@@ -95,7 +94,7 @@ def paths(orders: DataFrame, book: DataFrame, start: Column, cfg: Settings, chec
         last = F.greatest(F.lit(0), F.ceil(F.col("deadline_s").cast("long") * SECOND / F.lit(float(cfg.checkpoint_ms * MS))).cast("int") - 1)
         number = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         none = F.lit(0.0)
-        marks = F.transform(number, lambda j: F.struct((F.col("t0") + j.cast("long") * (cfg.checkpoint_ms * MS)).alias("ts"), F.lit(1).alias("mark"), j.cast("long").alias("sequence"), F.lit("mark").alias("kind"), none.alias("size"), none.alias("before"), none.alias("pos"), F.lit(False).alias("touched"), none.alias("now")))
+        marks = F.transform(number, lambda j: F.struct((F.col("t0") + j.cast("long") * (cfg.checkpoint_ms * MS)).alias("ts"), F.lit(1).alias("mark"), j.cast("long").alias("sequence"), F.lit("mark").alias("kind"), none.alias("size"), none.alias("before"), F.lit(False).alias("gone"), none.alias("pos"), F.lit(False).alias("touched"), none.alias("now")))
         out = out.withColumn("path", F.concat("path", marks))
     return out.withColumn("path", F.array_sort("path"))
 
@@ -134,7 +133,7 @@ def folded(orders: DataFrame) -> DataFrame:
             old, was = acc["ahead"][i], acc["done"][i]
             fills = F.coalesce((x["kind"] == "through") | ((x["kind"] == "trade") & (x["size"] > old)) | x["touched"], F.lit(False))
             left = F.when(x["kind"] == "trade", old - x["size"]).when(x["kind"].isin("cancel", "cut"), _cancelled(model, old, x)).otherwise(old)
-            left = F.when(x["now"] == -2, 0.0).when((x["now"] >= 0) & (left > x["now"]), x["now"]).otherwise(left)
+            left = F.when(x["gone"], 0.0).when(left > x["now"], x["now"]).otherwise(left)  # null: not shown, so no bound
             event = x["mark"] == 0
             new = event & fills & ~was
             ahead.append(F.when(event & ~was & ~fills, left).otherwise(old))
@@ -186,8 +185,8 @@ def orders_at_new_level(made: DataFrame, book: DataFrame, cfg: Settings = DEFAUL
     )
     landed = states_at(fresh.filter(F.col("at") <= F.col("__to")), book.withColumn("entry_seq", F.col("sequence")), ["entry_seq", *STATE])
     opposite = F.when(buy, F.col("ask_px") <= F.col("entry_px")).otherwise(F.col("bid_px") >= F.col("entry_px"))
-    size = displayed(F.col("order_side"), F.col("entry_px"))
-    landed = landed.filter(~F.coalesce(opposite, F.lit(False))).withColumn("ahead0", F.greatest(size, F.lit(0)).cast("double"))
+    _, size = shown(F.col("order_side"), F.col("entry_px"))
+    landed = landed.filter(~F.coalesce(opposite, F.lit(False))).withColumn("ahead0", F.coalesce(size, F.lit(0)).cast("double"))
     first = landed.groupBy(*ORDER, *CELL).agg(F.min_by(F.struct("entry_seq", "entry_px", "ahead0", "at"), "fresh_seq").alias("e"))
     return arrival.join(first, [*ORDER, *CELL], "left").select(*arrival.columns, "e.*").withColumnRenamed("at", "landed_ts")
 

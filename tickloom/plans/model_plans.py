@@ -121,7 +121,7 @@ FEW = DEFAULT.override(test_block_days=12, boost_rounds=10, cost_rounds=10)
 
 def modelled(spark, sf):
     rows = targets.with_targets(features.with_features(sim_plans.books(spark, sf)))
-    return rows.select(*DAY, "sequence", "ts_event", *NAMES, F.col("next_dir").alias("y")).persist()
+    return stored(rows.select(*DAY, "sequence", "ts_event", *NAMES, F.col("next_dir").alias("y")), "modelled")
 
 
 def _split(spark, sf):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, features, joins, policies, simulator
+from tickloom.operators import book, features, joins, policies, quality, simulator, stats
+from tickloom.plans.book_plans import OPEN_SQL
 from tickloom.plans.registry import Catalog
-from tickloom.plans.sql import DAY, LEVELS, book_sql
+from tickloom.plans.sql import DAY, LEVELS, book_sql, flow_sql, time_sum
 from tickloom.schema import DAY as KEYS
-from tickloom.schema import DEFAULT, QUEUE_MODELS
-from tickloom.sources.fixtures import l2_events, l2_sql
+from tickloom.schema import DEFAULT, QUEUE_MODELS, SECOND
+from tickloom.sources.fixtures import RELEASES_SQL, l2_events, l2_sql, releases
+from tickloom.sources.scratch import stored
 
 catalog = Catalog()
 #: Deadlines fit the compressed days of the fixtures.
@@ -29,13 +31,13 @@ def made(spark, sf):
 
 
 def books(spark, sf):
-    """The book, kept: one plan reads it many times."""
-    return book.book_frame(l2_events(spark, sf)).persist()
+    """The book, written once: one plan reads it many times."""
+    return stored(book.book_frame(l2_events(spark, sf)), "book")
 
 
 def sim(spark, sf):
-    """Simulated orders, kept: all strategies share them."""
-    return simulator.simulate(made(spark, sf), books(spark, sf), SIM).persist()
+    """Simulated orders, written once: all strategies share them."""
+    return stored(simulator.simulate(made(spark, sf), books(spark, sf), SIM), "orders")
 
 
 DEC_SQL = f"""dd AS (SELECT DISTINCT {DAY}, epoch_us(CAST(date AS TIMESTAMP)) AS d0 FROM l2), dh AS (SELECT {DAY}, CAST(i AS INTEGER) AS decision_id, d0 + 1000000000 AS lo, d0 + 86400000000 - 5000000000 AS hi, md5(instrument_id || '|' || date || '|' || i) AS h FROM dd, range(10) t(i)),
@@ -180,7 +182,7 @@ c3 AS (SELECT c2.*, CASE WHEN j = 0 THEN CAST(own_queue AS DOUBLE) ELSE (SELECT
 
 
 def checkpoints(spark, sf):
-    return simulator.checkpoint_rows(sim(spark, sf), books(spark, sf), SIM).persist()
+    return stored(simulator.checkpoint_rows(sim(spark, sf), books(spark, sf), SIM), "checkpoints")
 
 
 @catalog.add("checkpoints", f"{CP_SQL} SELECT {KC}, queue_model, CAST(j AS BIGINT) AS j, cp_seq, ahead, tleft_s, cp_cross, at_touch FROM c3")
@@ -235,4 +237,84 @@ def trade_log(spark, sf):
     return policies.union_log(parts).select(*ORDER, *CELL, "queue_model", "strategy", "order_type", "filled_passive", "exec_ts", "cost_ticks")
 
 
+# ------------------------------------- from simulated orders to cost tables
+
+#: Half a release window in the compressed time of the fixtures.
+RELEASE_WIDTH = 300_000_000
+_NEW_TAIL, _CP_TAIL, _FLOW_TAIL = NEW_SQL[len(ORDERS_SQL) :], CP_SQL[len(SIM_SQL) :], flow_sql()[len(book_sql()) :]
+_END = "t0 + deadline_s * 1000000000::BIGINT + latency_ms * 1000000"
+_BASE = f"{KC}, queue_model, t0, s, CAST(own_queue AS DOUBLE) AS own_queue, CAST(spread AS DOUBLE) AS spread_ticks"
+_NEAR = lambda shift: f"(SELECT *, fill_ts + {shift} AS ats FROM pf)"
+FULL_SQL = f"""{SIM_SQL}{_NEW_TAIL}, {_walk_fixed('n3', 'o.landed', 'n')}{_CP_TAIL}{_FLOW_TAIL}, {RELEASES_SQL},
+mc AS (SELECT {KC}, queue_model, min(s * (cp_cross - mid) + 0.0::DOUBLE) AS c FROM c3 GROUP BY ALL),
+lg AS (SELECT {_BASE}, 'always_cross' AS strategy, 'market' AS order_type, false AS filled_passive, t0 + latency_ms * 1000000 AS exec_ts, CAST(s * (cross_px - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks, CAST(NULL AS BIGINT) AS fill_ts FROM sim
+  UNION ALL SELECT {_BASE}, 'always_post', CASE WHEN filled THEN 'limit' ELSE 'limit_then_market' END, filled, CASE WHEN filled THEN fill_ts ELSE {_END} END, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE, fill_ts FROM sim
+  UNION ALL SELECT {_BASE}, 'new_level', CASE WHEN filled THEN 'limit' WHEN px IS NOT NULL THEN 'limit_then_market' ELSE 'market' END, filled, CASE WHEN filled THEN fill_ts ELSE {_END} END, CAST(s * (passive_px - mid) AS DOUBLE) + 0.0::DOUBLE, fill_ts FROM nsim
+  UNION ALL SELECT {_BASE}, 'oracle', 'oracle_upper_bound', false, t0, CAST(least(c, s * (passive_px - mid) + 0.0::DOUBLE) AS DOUBLE), NULL FROM sim JOIN mc USING ({KC}, queue_model)),
+vf AS (SELECT {DAY}, ts_event, sequence, CASE WHEN mid IS NOT NULL THEN CAST({time_sum('chg', 300 * SECOND)} / CAST(300 AS DOUBLE) AS DOUBLE) END AS vol_300s, (ts_event - {OPEN_SQL}) / CAST(60000000000 AS DOUBLE) AS minutes_since_open FROM f),
+vl AS (SELECT * FROM vf QUALIFY row_number() OVER (PARTITION BY {DAY}, ts_event ORDER BY sequence DESC) = 1),
+av AS (SELECT d.instrument_id, d.date, d.decision_id, vl.vol_300s, vl.minutes_since_open, EXISTS (SELECT 1 FROM releases r WHERE d.t0 >= r.ts_ns - {RELEASE_WIDTH} AND d.t0 < r.ts_ns + {RELEASE_WIDTH}) AS in_release_window FROM dec d ASOF LEFT JOIN vl ON vl.instrument_id = d.instrument_id AND vl.date = d.date AND vl.ts_event <= d.t0),
+pf AS (SELECT {KC}, queue_model, strategy, s, fill_ts FROM lg WHERE filled_passive),
+p0 AS ({asof_sql(_NEAR(0), '0.5 * (q.bid_px + q.ask_px) AS m0')}), p1 AS ({asof_sql(_NEAR(1000000000), '0.5 * (q.bid_px + q.ask_px) AS m1')}), p5 AS ({asof_sql(_NEAR(5000000000), '0.5 * (q.bid_px + q.ask_px) AS m5')}),
+mv AS (SELECT {KC}, queue_model, strategy, CAST(p0.s * (m0 - m1) AS DOUBLE) + 0.0::DOUBLE AS adverse_1s, CAST(p0.s * (m0 - m5) AS DOUBLE) + 0.0::DOUBLE AS adverse_5s FROM p0 JOIN p1 USING ({KC}, queue_model, strategy) JOIN p5 USING ({KC}, queue_model, strategy)),
+fl AS (SELECT lg.*, t0 AS decision_ts, (exec_ts - t0) / 1000000.0::DOUBLE AS time_to_fill_ms, cost_ticks * 15.625 + 2.5 AS cost_usd, adverse_1s, adverse_5s, vol_300s, minutes_since_open, in_release_window FROM lg JOIN av USING ({K}) LEFT JOIN mv USING ({KC}, queue_model, strategy))"""
+_FULL = ("decision_ts", "own_queue", "spread_ticks", "strategy", "order_type", "filled_passive", "exec_ts", "time_to_fill_ms", "cost_ticks", "cost_usd", "adverse_1s", "adverse_5s", "vol_300s", "minutes_since_open", "in_release_window")
+
+
+def full_log(spark, sf):
+    """Every strategy that needs no model on the same decisions, as cost tables want it; written once."""
+    frame = books(spark, sf)
+    market = features.with_features(frame.withColumn("open_ns", quality.local_ns(F.col("date"), SIM.session[0])))
+    rows = checkpoints(spark, sf)
+    orders = policies.orders_of(rows)
+    fresh = policies.new_level(simulator.simulate_new_level(made(spark, sf), frame, SIM))
+    log = policies.union_log([policies.always_cross(orders, SIM), policies.always_post(orders, SIM), fresh, policies.oracle(rows)])
+    return stored(policies.complete(log, market, releases(spark), SIM, RELEASE_WIDTH), "trade-log")
+
+
+catalog.add("trade_log_full", f"{FULL_SQL} SELECT {KC}, queue_model, {', '.join(_FULL)} FROM fl")(lambda s, d: full_log(s, d).select(*ORDER, *CELL, "queue_model", *_FULL))
+_R8 = lambda x: f"round({x}, 8)"
+_FILLED = "CASE WHEN filled_passive THEN 1.0 ELSE 0.0 END"
+
+
+@catalog.add(
+    "sim_cost_table",
+    f"""{FULL_SQL} SELECT queue_model, latency_ms, deadline_s, strategy, count(*) AS n, {_R8('avg(cost_ticks)')} AS mean_cost_ticks, {_R8('stddev_samp(cost_ticks)')} AS sd_cost_ticks, quantile_cont(cost_ticks, 0.1) AS p10_cost_ticks, median(cost_ticks) AS median_cost_ticks,
+quantile_cont(cost_ticks, 0.9) AS p90_cost_ticks, {_R8('avg(cost_usd)')} AS mean_cost_usd, {_R8(f'avg({_FILLED})')} AS passive_fill_rate, {_R8('avg(CASE WHEN filled_passive THEN time_to_fill_ms END)')} AS mean_ms_to_passive_fill,
+{_R8('avg(time_to_fill_ms)')} AS mean_ms_to_done, {_R8('avg(adverse_1s)')} AS adverse_1s_ticks, {_R8('avg(adverse_5s)')} AS adverse_5s_ticks FROM fl WHERE NOT in_release_window GROUP BY ALL""",
+)
+def sim_cost_table(spark, sf):
+    table = stats.cost_table(full_log(spark, sf))
+    return table.withColumns({c: F.round(c, 8) for c in ("mean_cost_ticks", "sd_cost_ticks", "mean_cost_usd", "passive_fill_rate", "mean_ms_to_passive_fill", "mean_ms_to_done", "adverse_1s_ticks", "adverse_5s_ticks")})
+
+
+_SIM_PAIRS = tuple((a, b) for a in ("always_post", "new_level", "oracle") for b in ("always_cross", "always_post") if a != b)
+_SIM_DIFF = " UNION ALL ".join(f"SELECT date, queue_model, latency_ms, deadline_s, '{a}' AS strategy, '{b}' AS vs, {b} - {a} AS diff FROM fw" for a, b in _SIM_PAIRS)
+_SIM_WIDE = ", ".join(f"max(cost_ticks) FILTER (strategy = '{x}') AS {x}" for x in ("always_cross", "always_post", "new_level", "oracle"))
+
+
+@catalog.add("sim_savings", f"{FULL_SQL}, fw AS (SELECT {KC}, queue_model, {_SIM_WIDE} FROM fl WHERE NOT in_release_window GROUP BY ALL), fd AS ({_SIM_DIFF}) SELECT queue_model, latency_ms, deadline_s, strategy, vs, count(diff) AS n, count(DISTINCT date) AS test_days, {_R8('avg(diff)')} AS saving_ticks FROM fd WHERE diff IS NOT NULL GROUP BY ALL")
+def sim_savings(spark, sf):
+    """Savings of the simulated strategies over crossing and posting, decision by decision."""
+    diff = stats.differences(stats.paired(full_log(spark, sf)), _SIM_PAIRS).filter("diff IS NOT NULL")
+    return diff.groupBy(*stats.CELL, "strategy", "vs").agg(F.count("diff").alias("n"), F.count_distinct("date").alias("test_days"), F.round(F.avg("diff"), 8).alias("saving_ticks"))
+
+
+_SIM_NAMES = ("always_cross", "always_post", "new_level")
+
+
+@catalog.add(
+    "sim_execution_breakdown",
+    f"""{FULL_SQL}, ex AS (SELECT * FROM fl WHERE queue_model = 'proportional' AND latency_ms = 10 AND deadline_s = 2), fw AS (SELECT {K}, vol_300s, own_queue, spread_ticks, in_release_window, {_SIM_WIDE} FROM ex GROUP BY ALL),
+cut AS (SELECT quantile_cont(vol_300s, 1/3.0::DOUBLE) AS c1, quantile_cont(vol_300s, 2/3.0::DOUBLE) AS c2, median(own_queue) AS c3 FROM fw WHERE NOT in_release_window),
+bk AS (SELECT 'vol' AS dimension, CASE WHEN vol_300s <= c1 THEN 'low' WHEN vol_300s <= c2 THEN 'mid' ELSE 'high' END AS bucket, fw.* FROM fw, cut WHERE NOT in_release_window
+  UNION ALL SELECT 'queue', CASE WHEN own_queue <= c3 THEN 'small' ELSE 'large' END, fw.* FROM fw, cut WHERE NOT in_release_window UNION ALL SELECT 'spread_state', CASE WHEN spread_ticks <= 1 THEN '1 tick' ELSE 'wider' END, fw.* FROM fw WHERE NOT in_release_window
+  UNION ALL SELECT 'period', CASE WHEN in_release_window THEN 'release' ELSE 'normal' END, fw.* FROM fw)
+SELECT dimension, bucket, count(*) AS n, {', '.join(f'round(avg({x}), 8) AS {x}' for x in _SIM_NAMES)} FROM bk GROUP BY ALL HAVING count(*) >= 30""",
+)
+def sim_execution_breakdown(spark, sf):
+    rows = stats.execution_breakdown(full_log(spark, sf), SIM).filter("dimension <> 'tod'")
+    return rows.select("dimension", "bucket", "n", *(F.round(x, 8).alias(x) for x in _SIM_NAMES))
+
+
 assert QUEUE_MODELS == ("pessimistic", "proportional", "optimistic", "exact")
