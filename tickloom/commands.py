@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, features, models, policies, quality, simulator, stats, targets
+from tickloom.operators import book, features, models, policies, quality, simulator, stats, store, targets
 from tickloom.schema import DAY, DEFAULT, Settings
 from tickloom.sources import tables
 from tickloom.sources.scratch import stored
@@ -62,12 +62,12 @@ def build_features(spark: SparkSession, events: str, out: str, cfg: Settings = D
 
 
 def train(spark: SparkSession, out: str, cfg: Settings = DEFAULT) -> DataFrame:
-    """Out-of-sample predictions of the direction models, fold by fold, and their metrics."""
+    """Out-of-sample predictions of the direction models, fold by fold, and their metrics; the models are kept as a new version."""
     rows = tables.read_days(spark, f"{out}/features", [*DAY, "sequence", "ts_event", *LEARNT, "next_dir"]).withColumnRenamed("next_dir", "y")
     made = models.folds(rows, cfg)
     if made.isEmpty():
         raise ValueError(f"fewer days than {cfg.min_train_days + 2}: nothing to test on")
-    tables.write_days(models.walk_forward(rows, made, LEARNT, cfg), f"{out}/predictions")
+    tables.write_days(models.walk_forward(rows, made, LEARNT, cfg, store.ModelStore(spark, f"{out}/models")), f"{out}/predictions")
     long = _by_model(tables.read_days(spark, f"{out}/predictions"))
     p, y, keys = F.col("p"), F.col("y"), ("model", "fold")
     found = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(stats.log_loss(y, p)).alias("log_loss"), F.avg((p - y) * (p - y)).alias("brier"), F.avg(((p > 0.5) == (y > 0.5)).cast("int")).alias("accuracy"))

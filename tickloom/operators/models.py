@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +56,35 @@ def sample_days(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
     return rows.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
 
 
-def lookup(train: DataFrame, rows: DataFrame, cfg: Settings = DEFAULT, x: str = "imbalance", y: str = "y") -> DataFrame:
-    """Smoothed up-share by quantile bin of ``x``: edges without repeats, a bin is the number of edges at or below."""
+@dataclass
+class Lookup:
+    """Smoothed up-share by quantile bin of one column: edges without repeats, a bin is the number of edges at or below."""
+
+    x: str
+    edges: list[float]
+    shares: dict[int, float]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        placed = self.placed(rows)
+        share = F.element_at(F.create_map(*(F.lit(v) for kv in self.shares.items() for v in kv)), F.col("bin")) if self.shares else F.lit(None).cast("double")
+        return placed.withColumn("p_lookup", F.coalesce(share, F.lit(0.5)))
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        edges = F.array(*map(F.lit, self.edges)).cast("array<double>")
+        return rows.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col(self.x))))
+
+
+def fit_lookup(train: DataFrame, cfg: Settings = DEFAULT, x: str = "imbalance", y: str = "y") -> Lookup:
     shares = [i / cfg.imbalance_bins for i in range(1, cfg.imbalance_bins)]
-    edges = F.array(*map(F.lit, sorted({e for e in exact.quantiles(train, {x: shares})[x] if e is not None}))).cast("array<double>")
-    placed = lambda df: df.withColumn("bin", F.size(F.filter(edges, lambda e: e <= F.col(x))))
-    table = placed(train).groupBy("bin").agg(((F.sum(y) + cfg.laplace_alpha) / (F.count(F.lit(1)) + 2 * cfg.laplace_alpha)).alias("p_lookup"))
-    return placed(rows).join(F.broadcast(table), "bin", "left").withColumn("p_lookup", F.coalesce("p_lookup", F.lit(0.5)))  # one row a bin
+    out = Lookup(x, sorted({e for e in exact.quantiles(train, {x: shares})[x] if e is not None}), {})
+    table = out.placed(train).groupBy("bin").agg(((F.sum(y) + cfg.laplace_alpha) / (F.count(F.lit(1)) + 2 * cfg.laplace_alpha)).alias("p"))
+    out.shares = {r.bin: r.p for r in table.collect()}  # one row a bin
+    return out
+
+
+def lookup(train: DataFrame, rows: DataFrame, cfg: Settings = DEFAULT, x: str = "imbalance", y: str = "y") -> DataFrame:
+    """``p_lookup`` of ``rows`` from the shares in ``train``, 0.5 in bins that it lacks."""
+    return fit_lookup(train, cfg, x, y).apply(rows)
 
 
 def logistic(names=LOGISTIC, label: str = "y", reg: float = 1e-4) -> Pipeline:
@@ -85,11 +108,20 @@ def probability(model, rows: DataFrame, names, out: str) -> DataFrame:
     return scored.withColumns({n: F.col(f"__{n}") for n in names}).select(*rows.columns, out)
 
 
+def fit_calibrator(fit_on: DataFrame, p: str, label: str = "y"):
+    """Isotonic regression of the label on ``p``."""
+    return IsotonicRegression(featuresCol="__p", labelCol=label, predictionCol="__out").fit(VectorAssembler(inputCols=[p], outputCol="__p").transform(fit_on))
+
+
+def apply_calibrator(model, rows: DataFrame, p: str, out: str) -> DataFrame:
+    """``out``: what the regression says, clipped to [1e-4, 1 - 1e-4]."""
+    scored = model.transform(VectorAssembler(inputCols=[p], outputCol="__p").transform(rows))
+    return scored.withColumn(out, stats.clipped(F.col("__out"), 1e-4)).drop("__p", "__out")
+
+
 def calibrated(fit_on: DataFrame, rows: DataFrame, p: str, out: str, label: str = "y") -> DataFrame:
     """Isotonic calibration, clipped to [1e-4, 1 - 1e-4]."""
-    as_vector = VectorAssembler(inputCols=[p], outputCol="__p")
-    model = IsotonicRegression(featuresCol="__p", labelCol=label, predictionCol=out).fit(as_vector.transform(fit_on))
-    return model.transform(as_vector.transform(rows)).withColumn(out, stats.clipped(F.col(out), 1e-4)).drop("__p")
+    return apply_calibrator(fit_calibrator(fit_on, p, label), rows, p, out)
 
 
 def platt(fit_on: DataFrame, rows: DataFrame, p: str, out: str, label: str = "y") -> DataFrame:
@@ -100,16 +132,52 @@ def platt(fit_on: DataFrame, rows: DataFrame, p: str, out: str, label: str = "y"
     return scored.select(*rows.columns, out)
 
 
-def walk_forward(rows: DataFrame, made: DataFrame, names, cfg: Settings = DEFAULT) -> DataFrame:
-    """Out-of-sample predictions of the three models, calibrated on the day before each block; one fit a fold, whose predictions are written before the next."""
-    parts = []
+@dataclass
+class FoldModels:
+    """What one fold has learnt: fitted models by name with their features, calibrators, and the lookup table."""
+
+    fold: int
+    features: dict[str, tuple[str, ...]]
+    fitted: dict[str, PipelineModel]
+    calibrators: dict[str, IsotonicRegressionModel]
+    lookup: Lookup
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """Raw and calibrated probabilities of each model (``raw_``, ``p_``), those of the lookup, and ``fold``."""
+        for name, model in self.fitted.items():
+            rows = probability(model, rows, self.features[name], f"raw_{name}")
+        for name, model in self.calibrators.items():
+            rows = apply_calibrator(model, rows, f"raw_{name}", f"p_{name}")
+        return self.lookup.apply(rows).withColumn("fold", F.lit(self.fold))
+
+
+def fit_fold(train: DataFrame, cal: DataFrame, names, fold: int, cfg: Settings = DEFAULT) -> FoldModels:
+    """The direction models of a fold: fitted on ``train``, calibrated on ``cal``."""
+    features = {"logistic": LOGISTIC, "trees": tuple(names)}
+    fitted = {"logistic": logistic().fit(train), "trees": boosted(names, rounds=cfg.boost_rounds).fit(train)}
+    for name, model in fitted.items():
+        cal = probability(model, cal, features[name], f"raw_{name}")
+    cal = stored(cal, "calibrate")
+    return FoldModels(fold, features, fitted, {name: fit_calibrator(cal, f"raw_{name}") for name in fitted}, fit_lookup(train, cfg))
+
+
+def fit_folds(rows: DataFrame, made: DataFrame, names, cfg: Settings = DEFAULT):
+    """The folds' models and their test rows, one fold after the other; rows without all features or without a label are left out."""
     whole = stored(rows.na.drop(subset=[*names, "y"]), "learnt")
     for fold in fold_numbers(made):
         train, cal, test = (whole.join(days_of(made, fold, r), "date") for r in ("train", "calibrate", "test"))
-        fitted = {"logistic": (logistic().fit(train), LOGISTIC), "trees": (boosted(names, rounds=cfg.boost_rounds).fit(train), names)}
-        for name, (model, used) in fitted.items():
-            cal, test = (probability(model, x, used, f"raw_{name}") for x in (cal, test))
-        for name in fitted:
-            test = calibrated(cal, test, f"raw_{name}", f"p_{name}")
-        parts.append(stored(lookup(train, test, cfg).withColumn("fold", F.lit(fold)), "predicted"))
+        yield fit_fold(train, cal, names, fold, cfg), test
+
+
+def walk_forward(rows: DataFrame, made: DataFrame, names, cfg: Settings = DEFAULT, store=None) -> DataFrame:
+    """Out-of-sample predictions of the three models, calibrated on the day before each block; one fit a fold, whose predictions are written before the next.
+
+    A ``store`` (:class:`tickloom.operators.store.ModelStore`) keeps all folds as one new version.
+    """
+    parts, kept = [], []
+    for model, test in fit_folds(rows, made, names, cfg):
+        parts.append(stored(model.predict(test), "predicted"))
+        kept.append(model)
+    if store is not None:
+        store.save(kept)
     return reduce(DataFrame.unionByName, parts)

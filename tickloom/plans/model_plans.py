@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, exact, features, models, policies, simulator, stats, targets
+from tickloom.operators import book, exact, features, models, policies, simulator, stats, store, targets
 from tickloom.plans import sim_plans
 from tickloom.plans.cost_plans import R, buckets_sql, rounded
 from tickloom.plans.registry import Catalog
 from tickloom.schema import DAY, DEFAULT, QUEUE_MODELS
 from tickloom.sources.fixtures import MINI_PRED_SQL, l2_events, l2_sql, mini_pred
-from tickloom.sources.scratch import stored
+from tickloom.sources.scratch import scratch_root, stored
 
 catalog = Catalog()
 ORDER = [*simulator.ORDER]
@@ -176,6 +177,36 @@ def tune_theta(spark, sf):
     return policies.tune(cps, F.col("p"))
 
 
+_GIVEN = f"""{sim_plans.CP_SQL}, pr AS (SELECT instrument_id, date, sequence, ((sequence * 37 + instrument_id * 11) % 100) / 100.0::DOUBLE AS p FROM book),
+cq AS (SELECT c3.*, CASE WHEN c3.s = 1 THEN p ELSE 1 - p END AS pa FROM c3 JOIN pr ON pr.instrument_id = c3.instrument_id AND pr.date = c3.date AND pr.sequence = c3.cp_seq), th AS (SELECT unnest([0.50::DOUBLE, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80]) AS theta),
+ca AS (SELECT {sim_plans.KC}, queue_model, theta, any_value(s) AS s, any_value(mid) AS mid, any_value(passive_px) AS passive_px, arg_min(cp_cross, j) FILTER (pa > theta) AS x FROM cq, th WHERE day(date) <= 20 GROUP BY {sim_plans.KC}, queue_model, theta),
+ct AS (SELECT queue_model, latency_ms, deadline_s, arg_min(theta, (c, theta)) AS theta FROM (SELECT queue_model, latency_ms, deadline_s, theta, round(avg(s * (coalesce(x, passive_px) - mid)), 9) AS c FROM ca GROUP BY ALL) GROUP BY ALL),
+gu AS (SELECT {sim_plans.KC}, queue_model, any_value(theta) AS theta, min(j) FILTER (pa > theta) AS j, arg_min(cp_cross, j) FILTER (pa > theta) AS x, any_value(s) AS s, any_value(mid) AS mid, any_value(passive_px) AS passive_px, any_value(filled) AS filled
+  FROM cq JOIN ct USING (queue_model, latency_ms, deadline_s) WHERE day(date) > 20 GROUP BY {sim_plans.KC}, queue_model)
+SELECT {sim_plans.KC}, queue_model, theta, CAST(j AS BIGINT) AS abandon_j, CAST(s * (CASE WHEN j IS NOT NULL THEN x ELSE passive_px END - mid) AS DOUBLE) + 0.0::DOUBLE AS cost_ticks, j IS NULL AND filled AS filled_passive FROM gu"""
+
+
+@catalog.add("strat_direction_given", _GIVEN)
+def strat_direction_given(spark, sf):
+    """The direction strategy on stored predictions: thresholds are tuned on the first days' orders and used on the later ones."""
+    given = stored(l2_events(spark, sf).select(*DAY, F.col("sequence").alias("cp_seq"), ((F.col("sequence") * 37 + F.col("instrument_id") * 11) % 100 / F.lit(100.0)).alias("p")), "predictions")
+    rows = sim_plans.checkpoints(spark, sf).join(given, [*DAY, "cp_seq"]).withColumn("against", F.when(F.col("order_side") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    thetas = stored(policies.tune(rows.filter("day(date) <= 20"), F.col("against"), SIM), "thetas")
+    later = rows.filter("day(date) > 20").join(F.broadcast(thetas), ["queue_model", *CELL])  # one row a cell
+    log = policies.abandon(later, F.col("against") > F.col("theta"), SIM, "model_direction").join(F.broadcast(thetas), ["queue_model", *CELL])
+    return log.select(*ORDER, *CELL, "queue_model", "theta", F.col("abandon_j").cast("long").alias("abandon_j"), "cost_ticks", "filled_passive")
+
+
+@catalog.add("model_store")
+def model_store(spark, sf):
+    """Out-of-sample predictions from models that were kept and read again."""
+    rows = modelled(spark, sf)
+    made = models.folds(rows, FEW)
+    kept = store.ModelStore(spark, f"{scratch_root(spark).rstrip('/')}/tickloom-models-{uuid.uuid4().hex}")
+    models.walk_forward(rows, made, NAMES, FEW, kept)
+    return kept.load().score(rows.na.drop(subset=[*NAMES, "y"]), made).select(*DAY, "sequence", "fold", "y", "p_lookup", "p_logistic", "p_trees")
+
+
 COST_NAMES = ("imbalance", "microprice", "spread", "depth_imb_3", "ofi_ev10", "tfi_ms1000")
 COST_ALL = (*COST_NAMES, "own_side_queue", "opp_queue", "ahead", "ahead_frac", "tleft_s", "at_touch", "latency_ms")
 CPF_SQL = f"""{sim_plans.CP_SQL} SELECT c3.instrument_id, c3.date, decision_id, latency_ms, deadline_s, queue_model, CAST(j AS BIGINT) AS j, CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END AS own_side_queue, CASE WHEN s = 1 THEN b.ad[1] ELSE b.bd[1] END AS opp_queue, round(c3.ahead / greatest(CASE WHEN s = 1 THEN b.bd[1] ELSE b.ad[1] END, 1), 9) AS ahead_frac,
