@@ -14,8 +14,13 @@ from tickloom.llm.common import stored
 
 
 def _star(pairs: DataFrame, keep) -> DataFrame:
-    """Links of the neighbours in ``pairs`` (``u``, ``v``) to the least of them and ``u``."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """Links of the neighbours in ``pairs`` (``u``, ``v``) to the least of them and ``u``.
+
+    The minima are written first: a join with a table that was just grouped by
+    its key puts a node with very many links into one task, a join with a
+    written table is divided.
+    """
+    least = stored(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return keep(pairs.join(least, "u"))
 
 

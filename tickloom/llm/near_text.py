@@ -190,7 +190,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     roots = components(stored(verified(pairs, nodes, rows.select("sha", "text")), "similar"))
     linked = nodes.select("node", "best", "n").join(roots, "node", "left").filter("root IS NOT NULL OR n > 1")
     linked = stored(linked.select("node", "best", F.coalesce("root", "node").alias("root")), "linked")
-    best = linked.groupBy("root").agg(F.min("best").alias("stays"))
+    best = stored(linked.groupBy("root").agg(F.min("best").alias("stays")), "stays")  # written, so that a large group is divided
     judged = prints.select("id", "sha", "node").join(linked.select("node", "root").join(best, "root"), "node")
     kept = F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("sha") == F.col("stays.sha"))
     named = judged.groupBy("id", "sha").agg(F.first(kept).alias("kept"), (F.count(F.lit(1)) > 1).alias("many"))

@@ -92,6 +92,16 @@ class Index:
         return self.common[seed] + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
+def _first(score: np.ndarray, count: int) -> list[int]:
+    """Places of the ``count`` greatest scores, equal ones in their order, also those of which only some fit."""
+    if not count:
+        return []
+    last = np.partition(score, len(score) - count)[len(score) - count]
+    better = np.flatnonzero(score > last)
+    better = better[np.argsort(-score[better], kind="stable")]
+    return [*better.tolist(), *np.flatnonzero(score == last)[: count - len(better)].tolist()]
+
+
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, counts: Counts | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard, whose documents are shorter than ``window``.
 
@@ -121,9 +131,7 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, counts: Counts | No
         while filled < window:
             if ranked is None:
                 score = np.where(unused, index.scores(query), -1.0)
-                count = min(32, int(unused.sum()))
-                ranked = np.argpartition(-score, count - 1)[:count].tolist() if count else []
-                ranked.sort(key=lambda d, s=score: (-s[d], d))
+                ranked = _first(score, min(32, int(unused.sum())))
             if not ranked:
                 if not unused.any():
                     break

@@ -90,8 +90,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = stored(with_fingerprint(docs, id_col, text_col), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(links(nodes))
-    nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    nodes = stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # written, so that a large component is divided
     labels = nodes.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
