@@ -12,7 +12,7 @@ from tickloom.plans.table_plans import CLOSE, OPEN, SESSION_SQL, session_rows
 from tickloom.schema import DAY as KEYS
 from tickloom.schema import MS, SECOND
 from tickloom.sources.fixtures import MINI_LOG_SQL, l2_events, l2_sql, micros, mini_log, read
-from tickloom.streaming import metrics, replay
+from tickloom.streaming import alerts, metrics, replay
 
 catalog = Catalog()
 ROW = (*KEYS, "sequence")
@@ -24,6 +24,23 @@ def streamed(spark, sf):
     return replay.replayed(rows, replay.stream_features, "features")
 
 
+_LIVE = [("events_total", "count(*)"), ("trades_total", "count(*) FILTER (action = 3)"), *((f"data_quality_errors_total.{n}", f"count(*) FILTER (book_flags & {bit} > 0)") for n, bit in metrics.CHECKS.items()), ("market_timestamp_ns", "max(ts_event)")]
+
+
+@catalog.add("live_counters", f"WITH {book_sql('crossed')} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, CAST({x} AS DOUBLE) AS value FROM book" for n, x in _LIVE))
+def live_counters(spark, sf):
+    """Counters that a running query reports trigger by trigger, at its end."""
+    rows = book.book_frame(l2_events(spark, sf, "crossed")).select(*ROW, "ts_event", "action", "book_flags")
+    live = alerts.LiveCounters("replay")
+    spark.streams.addListener(live)
+    try:
+        replay.replayed(rows, lambda stream: alerts.observed(stream, "replay").select(*ROW), "counters")
+        live.ended.wait(60)
+    finally:
+        spark.streams.removeListener(live)
+    return live.metrics(spark).filter(F.col("metric").isin(*(n for n, _ in _LIVE)))
+
+
 _HOLD = lambda x: f"last_value(CASE WHEN mid IS NOT NULL THEN {x} END IGNORE NULLS) OVER (PARTITION BY {DAY} ORDER BY sequence)"
 _B, _S = time_sum("buy", 1000 * MS), time_sum("sell", 1000 * MS)
 

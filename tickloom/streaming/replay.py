@@ -8,6 +8,7 @@ slices follow each other at once or at a pace.
 from __future__ import annotations
 
 import logging
+import re
 import time
 import uuid
 from collections.abc import Iterator
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tickloom.operators import positions
 from tickloom.schema import BID, DAY, MS, TRADE
 from tickloom.sources.scratch import scratch_root
+from tickloom.streaming import source
 
 LOG = logging.getLogger(__name__)
 FEATURES = "instrument_id int, date date, sequence long, ts_event long, imbalance double, microprice double, ofi double, tfi double, latency_us double"
@@ -97,46 +100,42 @@ def stream_features(book: DataFrame, events: int = 50, window_ms: int = 1000) ->
     return book.groupBy(*DAY).applyInPandasWithState(update, FEATURES, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def sliced(table: DataFrame, path: str, slices: int) -> list[int | None]:
-    """Write ``table`` in ``slices`` of time to folders of ``path`` and return their bounds.
-
-    A slice is as many files as Spark makes of it, days of an instrument kept
-    together, so slices of any size are written and read by many tasks.
-    """
-    cuts = [None, *table.approxQuantile("ts_event", [i / slices for i in range(1, slices)], 0.01), None] if slices > 1 else [None, None]
-    for k, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        bounded(table, start, end).hint("rebalance", *DAY).write.parquet(f"{path}/slice={k:06d}")
-    return cuts
-
-
 def replayed(table: DataFrame, plan, name: str, slices: int = 4, speed: float | None = None) -> DataFrame:
-    """Write ``table`` in slices of time to the shared scratch folder, stream them through ``plan`` in order and return what the sink has.
+    """Stream ``table`` through ``plan`` in the order of time and return what the sink has.
 
-    One trigger takes one slice: the next is moved into the watched folder when
-    the one before is through, and with a ``speed`` not before it is due. The
-    sink is Parquet with a checkpoint, so a replay that is interrupted goes on
-    where it stopped. How far a paced replay is behind its schedule goes to the
-    log, slice by slice.
+    The table is numbered and written once; a trigger takes one of ``slices``
+    equal stretches of it, or with a ``speed`` what is due by then. The sink is
+    Parquet with a checkpoint, so a replay that is interrupted goes on where it
+    stopped. What a trigger of a paced replay takes goes to the log.
     """
     if speed is not None:
         pace(0, speed)
     spark = table.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/replay-{name}-{uuid.uuid4().hex}"
-    sliced(table, f"{path}/cut", slices)
-    first, began = (table.agg(F.min("ts_event")).first()[0] or 0) if speed is not None else 0, time.time()
-    for k in range(slices):
-        part = spark.read.schema(table.schema).parquet(f"{path}/cut/slice={k:06d}")
-        if speed is not None:
-            due = began + pace((part.agg(F.min("ts_event")).first()[0] or first) - first, speed)
-            time.sleep(max(0.0, due - time.time()))
-            LOG.info("slice %d of %d: %.3f s behind", k + 1, slices, time.time() - due)
-        part.write.mode("append").parquet(f"{path}/in")
-        source = spark.readStream.schema(table.schema).parquet(f"{path}/in")
-        query = plan(source).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
-        query.awaitTermination()
-        if query.exception() is not None:
-            raise query.exception()
-    return spark.read.parquet(f"{path}/out")
+    root = f"{scratch_root(spark).rstrip('/')}/replay-{name}-{uuid.uuid4().hex}"
+    rows = positions.Slices(table, "ts_event", *DAY, "sequence")
+    first = rows.table().agg(F.min("ts_event")).first()[0] or 0 if speed is not None else 0
+    stream = source.read_slices(spark, rows, f"{root}/progress", max(1, -(-rows.count // slices)), speed, first)
+    out = plan(stream.drop("position"))
+    query = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").start()
+    try:
+        drained(query, rows.count)
+    finally:
+        query.stop()
+    return spark.read.schema(out.schema).parquet(f"{root}/out") if rows.count else spark.createDataFrame([], out.schema)
+
+
+def drained(query, total: int) -> None:
+    """Wait until a query on a numbered source has taken all its rows; what ends the query before is raised."""
+    at, batch = 0, -1
+    while at < total:
+        query.processAllAvailable()
+        said = query.lastProgress
+        if said and said["batchId"] != batch and said["sources"][0]["endOffset"]:
+            end, batch = said["sources"][0]["endOffset"], said["batchId"]
+            at = max(at, int(re.search(r"\d+", str(end)).group()))  # the offset is one number
+            LOG.info("%d of %d rows", at, total)
+        elif at < total:
+            time.sleep(0.05)
 
 
 def pace(offset_ns: int, speed: float) -> float:
