@@ -27,7 +27,7 @@ def built(spark, tmp_path_factory):
     rows = rows.withColumn("ts_event", (opens + F.col("sequence") * 100_000_000).cast("long"))
     repeated = rows.unionByName(rows.filter("sequence % 9 = 0"))
     tables.write_days(repeated, f"{root}/events")
-    (root / "settings.json").write_text(json.dumps({"min_train_days": 4, "test_block_days": 3, "decisions_per_day": 4, "deadlines_s": [1], "latencies_ms": [0, 10], "headline": ["proportional", 10, 1], "boost_rounds": 10, "bootstrap_reps": 20}))
+    (root / "settings.json").write_text(json.dumps({"min_train_days": 4, "test_block_days": 3, "decisions_per_day": 4, "deadlines_s": [1], "latencies_ms": [0, 10], "headline": ["proportional", 10, 1], "boost_rounds": 4, "boost_least_rows": 10, "bootstrap_reps": 20}))
     options = ["--config", str(root / "settings.json"), "--set", "session=[\"08:30\", \"15:00\"]"]
     assert commands.main([*options, "all", "--events", f"{root}/events", "--out", f"{root}/out"], spark) == 0
     assert commands.main([*options, "replay", "--out", f"{root}/out", "--slices", "2"], spark) == 0

@@ -12,7 +12,7 @@ from tickloom.operators.store import ModelStore
 from tickloom.schema import DEFAULT
 
 NAMES = ("imbalance", "microprice", "ofi_ev50", "spread")
-CFG = DEFAULT.override(min_train_days=2, test_block_days=2, boost_rounds=3)
+CFG = DEFAULT.override(min_train_days=2, test_block_days=2, boost_rounds=3, boost_least_rows=10)
 
 
 @pytest.fixture(scope="module")

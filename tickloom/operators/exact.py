@@ -39,42 +39,49 @@ def _value(bits: int) -> float:
     return float(np.array([plain], dtype=np.uint64).view(np.float64)[0])
 
 
-def _counts(rows: DataFrame, wanted: dict[tuple[int, int], list[int]], depth: int) -> DataFrame:
-    """``column``, ``prefix``, ``digit`` and ``n``: how many values of a column go on with a digit behind ``depth`` leading bits."""
-    asked = list(wanted)
-    schema = "column int, prefix decimal(20,0), digit int, n long"
+def _counts(rows: DataFrame, wanted: list[tuple[int, int]], depth: int) -> DataFrame:
+    """``asked`` (place in ``wanted``, of column and prefix), ``digit`` and ``n``: how many values of a column go on with a digit behind ``depth`` leading bits."""
+    mask, shift = np.uint64((1 << DIGIT) - 1), np.uint64(64 - depth - DIGIT)
+    columns = {c: np.array(sorted(p for own, p in wanted if own == c), dtype=np.uint64) for c, _ in wanted}
+    number = {x: i for i, x in enumerate(wanted)}
+    place = {c: np.array([number[c, int(p)] for p in prefixes], dtype=np.int64) for c, prefixes in columns.items()}
 
     def count(batches):
-        total = np.zeros((len(asked), 1 << DIGIT), dtype=np.int64)
         for batch in batches:
-            keys = [sortable(c.drop_null().to_numpy()) for c in batch.columns]
-            for i, (column, prefix) in enumerate(asked):
-                own = keys[column] if not depth else keys[column][keys[column] >> np.uint64(64 - depth) == np.uint64(prefix)]
-                total[i] += np.bincount((own >> np.uint64(64 - depth - DIGIT)).astype(np.int64) & ((1 << DIGIT) - 1), minlength=1 << DIGIT)
-        i, digit = np.nonzero(total)
-        decimals = pa.array([asked[k][1] for k in i], type=pa.decimal128(20, 0))
-        yield pa.RecordBatch.from_arrays([pa.array([asked[k][0] for k in i], type=pa.int32()), decimals, pa.array(digit, type=pa.int32()), pa.array(total[i, digit])], ["column", "prefix", "digit", "n"])
+            codes = []
+            for c, prefixes in columns.items():
+                keys = sortable(batch.column(c).drop_null().to_numpy())
+                at = np.zeros(len(keys), dtype=np.int64)
+                if depth:
+                    own = keys >> np.uint64(64 - depth)
+                    at = np.minimum(np.searchsorted(prefixes, own), len(prefixes) - 1)
+                    keys, at = keys[prefixes[at] == own], at[prefixes[at] == own]
+                codes.append((place[c][at] << DIGIT) | ((keys >> shift) & mask).astype(np.int64))
+            found, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found >> DIGIT), pa.array(found & int(mask)), pa.array(n)], ["asked", "digit", "n"])
 
-    return rows.mapInArrow(count, schema).groupBy("column", "prefix", "digit").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(count, "asked long, digit long, n long").groupBy("asked", "digit").agg(F.sum("n").alias("n"))
 
 
 def order_statistics(rows: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
-    """The values at ``ranks`` (from 0) among the non-null doubles of each column of ``rows``; ranks beyond the end are an error."""
+    """The values at ``ranks`` (from 0) among the non-null doubles of each column of ``rows``; ranks beyond the end are an error.
+
+    What goes to and from the driver is a few numbers a rank.
+    """
     names = list(ranks)
     rows = rows.select(*names)
     wanted = {(i, 0): {r: r for r in ranks[c]} for i, c in enumerate(names)}  # what is left of each rank within its prefix
     for depth in range(0, 64, DIGIT):
-        before = F.sum("n").over(Window.partitionBy("column", "prefix").orderBy("digit")) - F.col("n")  # at most 2^16 rows a prefix
-        found = _counts(rows, wanted, depth).withColumn("before", before)
-        asked = [(c, p, r) for (c, p), left in wanted.items() for r in set(left.values())]
-        holds = F.lit(False)
-        for c, p, r in asked:
-            holds = holds | ((F.col("column") == c) & (F.col("prefix") == F.lit(p).cast("decimal(20,0)")) & (F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n")))
-        hits = found.filter(holds).collect()  # one row a rank at most
+        asked = list(wanted)
+        before = F.sum("n").over(Window.partitionBy("asked").orderBy("digit")) - F.col("n")  # at most 2^16 rows a prefix
+        found = _counts(rows, asked, depth).withColumn("before", before)
+        rests = rows.sparkSession.createDataFrame([(i, r) for i, own in enumerate(asked) for r in sorted(set(wanted[own].values()))], "asked long, rest long")
+        holds = (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("n"))
+        hits = {(h.asked, h.rest): h for h in found.join(F.broadcast(rests), "asked").filter(holds).collect()}
         following = {}
-        for (c, p), left in wanted.items():
-            for rank, rest in left.items():
-                hit = next(h for h in hits if h.column == c and int(h.prefix) == p and h.before <= rest < h.before + h.n)
+        for i, (c, p) in enumerate(asked):
+            for rank, rest in wanted[c, p].items():
+                hit = hits[i, rest]
                 following.setdefault((c, p << DIGIT | hit.digit), {})[rank] = rest - hit.before
         wanted = following
     return {name: {rank: _value(p) for (c, p), left in wanted.items() if c == i for rank in left} for i, name in enumerate(names)}

@@ -13,8 +13,9 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegr
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import exact, stats
-from tickloom.schema import DEFAULT, Settings
+from tickloom.operators import exact, leafwise, stats
+from tickloom.operators.leafwise import Leafwise
+from tickloom.schema import DAY, DEFAULT, Settings
 from tickloom.sources.scratch import stored
 
 LOGISTIC = ("imbalance", "microprice", "ofi_ev50")
@@ -132,20 +133,30 @@ def platt(fit_on: DataFrame, rows: DataFrame, p: str, out: str, label: str = "y"
     return scored.select(*rows.columns, out)
 
 
+def growth(cfg: Settings = DEFAULT) -> leafwise.Growth:
+    """How the direction model's trees grow."""
+    return leafwise.Growth(rounds=cfg.boost_rounds, leaves=cfg.boost_leaves, rate=cfg.boost_rate, l2=cfg.boost_l2, least_rows=cfg.boost_least_rows)
+
+
+def raw(model: PipelineModel | Leafwise, rows: DataFrame, names, out: str) -> DataFrame:
+    """A fitted model's probability of up, 0.5 where a feature is missing."""
+    return model.predict(rows, out) if isinstance(model, Leafwise) else probability(model, rows, names, out)
+
+
 @dataclass
 class FoldModels:
     """What one fold has learnt: fitted models by name with their features, calibrators, and the lookup table."""
 
     fold: int
     features: dict[str, tuple[str, ...]]
-    fitted: dict[str, PipelineModel]
+    fitted: dict[str, PipelineModel | Leafwise]
     calibrators: dict[str, IsotonicRegressionModel]
     lookup: Lookup
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Raw and calibrated probabilities of each model (``raw_``, ``p_``), those of the lookup, and ``fold``."""
         for name, model in self.fitted.items():
-            rows = probability(model, rows, self.features[name], f"raw_{name}")
+            rows = raw(model, rows, self.features[name], f"raw_{name}")
         for name, model in self.calibrators.items():
             rows = apply_calibrator(model, rows, f"raw_{name}", f"p_{name}")
         return self.lookup.apply(rows).withColumn("fold", F.lit(self.fold))
@@ -154,9 +165,10 @@ class FoldModels:
 def fit_fold(train: DataFrame, cal: DataFrame, names, fold: int, cfg: Settings = DEFAULT) -> FoldModels:
     """The direction models of a fold: fitted on ``train``, calibrated on ``cal``."""
     features = {"logistic": LOGISTIC, "trees": tuple(names)}
-    fitted = {"logistic": logistic().fit(train), "trees": boosted(names, rounds=cfg.boost_rounds).fit(train)}
+    keys = tuple(c for c in (*DAY, "sequence") if c in train.columns)
+    fitted = {"logistic": logistic().fit(train), "trees": leafwise.fit(train, tuple(names), keys, how=growth(cfg))}
     for name, model in fitted.items():
-        cal = probability(model, cal, features[name], f"raw_{name}")
+        cal = raw(model, cal, features[name], f"raw_{name}")
     cal = stored(cal, "calibrate")
     return FoldModels(fold, features, fitted, {name: fit_calibrator(cal, f"raw_{name}") for name in fitted}, fit_lookup(train, cfg))
 

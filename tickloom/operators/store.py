@@ -14,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.leafwise import Leafwise
 from tickloom.operators.models import FoldModels, Lookup
 
 
@@ -78,10 +79,13 @@ class ModelStore:
         root, said = f"{self.path}/version={version}", []
         for x in folds:
             for name, model in x.fitted.items():
-                model.save(f"{root}/fold={x.fold}/{name}")
+                if isinstance(model, Leafwise):
+                    self._create(f"version={version}/fold={x.fold}/{name}.json", model.to_json())
+                else:
+                    model.save(f"{root}/fold={x.fold}/{name}")
             for name, model in x.calibrators.items():
                 model.save(f"{root}/fold={x.fold}/{name}-calibrator")
-            said.append({"fold": x.fold, "features": x.features, "calibrators": sorted(x.calibrators), "lookup": {"x": x.lookup.x, "edges": x.lookup.edges, "shares": sorted(x.lookup.shares.items())}})
+            said.append({"fold": x.fold, "features": x.features, "leafwise": [n for n, m in x.fitted.items() if isinstance(m, Leafwise)], "calibrators": sorted(x.calibrators), "lookup": {"x": x.lookup.x, "edges": x.lookup.edges, "shares": sorted(x.lookup.shares.items())}})
         if thetas is not None:
             thetas.write.parquet(f"{root}/thetas")
         self._create(f"version={version}/MANIFEST.json", json.dumps({"folds": said, "thetas": thetas is not None}))
@@ -94,11 +98,12 @@ class ModelStore:
         if version not in known:
             raise KeyError(f"no version {version} in {self.path}")
         root = f"{self.path}/version={version}"
-        said = json.loads("".join(r[0] for r in self.spark.read.text(f"{root}/MANIFEST.json").collect()))
+        text = lambda path: self.spark.read.text(path, wholetext=True).first()[0]
+        said = json.loads(text(f"{root}/MANIFEST.json"))
         folds = []
         for x in said["folds"]:
             where = f"{root}/fold={x['fold']}"
-            fitted = {name: PipelineModel.load(f"{where}/{name}") for name in x["features"]}
+            fitted = {name: Leafwise.from_json(text(f"{where}/{name}.json")) if name in x["leafwise"] else PipelineModel.load(f"{where}/{name}") for name in x["features"]}
             calibrators = {name: IsotonicRegressionModel.load(f"{where}/{name}-calibrator") for name in x["calibrators"]}
             table = Lookup(x["lookup"]["x"], x["lookup"]["edges"], {int(b): p for b, p in x["lookup"]["shares"]})
             folds.append(FoldModels(x["fold"], {k: tuple(v) for k, v in x["features"].items()}, fitted, calibrators, table))

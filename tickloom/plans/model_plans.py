@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators import book, exact, features, models, policies, simulator, stats, store, targets
+from tickloom.operators import book, exact, features, leafwise, models, policies, simulator, stats, store, targets
 from tickloom.plans import sim_plans
 from tickloom.plans.cost_plans import R, buckets_sql, rounded
 from tickloom.plans.registry import Catalog
@@ -117,7 +117,7 @@ def signal_decay(spark, sf):
 
 NAMES = ("imbalance", "microprice", "spread", "bid_queue", "ask_queue", "depth_imb_3", "ofi_ev10", "ofi_ev50", "tfi_ms1000", "since_mid_change_ms")
 #: Fewer folds and rounds than ``DEFAULT`` has: the fixtures are a month, and every fit runs in the correctness check.
-FEW = DEFAULT.override(test_block_days=12, boost_rounds=10, cost_rounds=10)
+FEW = DEFAULT.override(test_block_days=12, boost_rounds=10, cost_rounds=10, boost_least_rows=20)
 
 
 def modelled(spark, sf):
@@ -142,6 +142,14 @@ def gbt_direction(spark, sf):
     return models.probability(models.boosted(NAMES, rounds=FEW.boost_rounds).fit(train), test, NAMES, "p_trees").select(*DAY, "sequence", "y", "p_trees")
 
 
+@catalog.add("leafwise_direction")
+def leafwise_direction(spark, sf):
+    """Trees that grow leaf by leaf; the days of the fixtures are thin, so leaves hold fewer rows."""
+    train, _, test = _split(spark, sf)
+    how = leafwise.Growth(rounds=FEW.boost_rounds, least_rows=20)
+    return leafwise.fit(train, NAMES, (*DAY, "sequence"), how=how).predict(test, "p_trees").select(*DAY, "sequence", "y", "p_trees")
+
+
 @catalog.add("calibrate")
 def calibrate(spark, sf):
     train, cal, test = _split(spark, sf)

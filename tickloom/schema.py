@@ -60,6 +60,10 @@ class Settings:
     fee_usd: float = 2.5
     fees_usd: tuple[float, ...] = (1.0, 2.5, 4.0)
     boost_rounds: int = 300
+    boost_leaves: int = 31
+    boost_rate: float = 0.05
+    boost_l2: float = 1.0
+    boost_least_rows: int = 200
     cost_rounds: int = 200
     min_train_days: int = 5
     test_block_days: int = 3
