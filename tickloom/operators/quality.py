@@ -93,9 +93,10 @@ def roll_days(volume: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     return rows.withColumn("is_roll", (F.col("share") < cfg.min_front_share) | near)
 
 
-def trading_days(spark, first: str, last: str, holidays: list[str]) -> DataFrame:
-    """Weekdays of a range that are no holidays."""
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("date"))
+def trading_days(rows: DataFrame, date: str, holidays: list[str]) -> DataFrame:
+    """Weekdays from the first to the last ``date`` of ``rows`` that are no holidays; none for an empty table."""
+    ends = rows.agg(F.min(date).alias("first"), F.max(date).alias("last")).filter("first IS NOT NULL")
+    days = ends.select(F.explode(F.sequence("first", "last")).alias("date"))
     return days.filter((F.dayofweek("date").between(2, 6)) & ~F.col("date").cast("string").isin(*holidays))
 
 

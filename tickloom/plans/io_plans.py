@@ -70,9 +70,12 @@ def csv_comments(spark, sf):
     return tables.read_csv(spark, at, "ts_ns long, name string")
 
 
-@catalog.add("csv_missing", "SELECT CAST(NULL AS BIGINT) AS ts_ns, CAST(NULL AS VARCHAR) AS name WHERE false")
+@catalog.add("csv_missing", f"WITH {l2_sql()} SELECT date, count(*) AS events, CAST(0 AS BIGINT) AS in_release FROM l2 GROUP BY date")
 def csv_missing(spark, sf):
-    return tables.read_csv(spark, folder(spark, "none"), "ts_ns long, name string")
+    """A calendar that is not there is an empty one: no event is near a release."""
+    calendar = tables.read_csv(spark, folder(spark, "none"), "ts_ns long, name string")
+    rows = quality.with_release_flag(l2_events(spark, sf), calendar, 300_000_000)
+    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("events"), F.count_if("in_release_window").alias("in_release"))
 
 
 @catalog.add("json_records", _COSTS)
@@ -91,13 +94,12 @@ def upsert_table(spark, sf):
     return tables.upsert(rows.filter("k >= 10"), at)
 
 
-@catalog.add("clear_outputs", "SELECT CAST(2 AS INTEGER) AS cleared, false AS left_over")
+@catalog.add("clear_outputs", "SELECT CAST(count(DISTINCT event_type) AS INTEGER) AS cleared, false AS left_over FROM events")
 def clear_outputs(spark, sf):
     at = folder(spark, "outputs")
-    for name in ("log_a", "log_b"):
-        tables.write_records(read(spark, sf, "region"), f"{at}/{name}")
-    n = tables.clear(spark, f"{at}/log_*")
-    return spark.createDataFrame([(n, tables.exists(spark, f"{at}/log_*"))], "cleared int, left_over boolean")
+    read(spark, sf, "events").select("event_type", "event_id").write.partitionBy("event_type").json(f"{at}/log")
+    n = tables.clear(spark, f"{at}/log/event_type=*")
+    return spark.createDataFrame([(n, tables.exists(spark, f"{at}/log/event_type=*"))], "cleared int, left_over boolean")
 
 
 @catalog.add("definition_check", "SELECT DISTINCT round(CAST(1 + s_suppkey % 3 AS DOUBLE) / 64, 9) AS tick_size, s_suppkey % 3 = 0 AS ok FROM supplier")

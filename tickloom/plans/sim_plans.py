@@ -10,7 +10,7 @@ from tickloom.plans.registry import Catalog
 from tickloom.plans.sql import DAY, LEVELS, book_sql, flow_sql, time_sum
 from tickloom.schema import DAY as KEYS
 from tickloom.schema import DEFAULT, QUEUE_MODELS, SECOND
-from tickloom.sources.fixtures import RELEASES_SQL, l2_events, l2_sql, releases
+from tickloom.sources.fixtures import MINI_LOG_SQL, RELEASES_SQL, l2_events, l2_sql, mini_log, releases
 from tickloom.sources.scratch import stored
 
 catalog = Catalog()
@@ -102,7 +102,9 @@ def _walk_fixed(orders: str, start: str, prefix: str = "") -> str:
 SIM_SQL = f"{ORDERS_SQL}, {_walk_fixed('o3', 'o.t0 + o.latency_ms * 1000000')}"
 
 catalog.add("decisions", f"WITH {l2_sql()}, {DEC_SQL} SELECT {K}, t0, s AS order_side FROM dec")(made)
-catalog.add("grid_cells", "SELECT q AS queue_model, l AS latency_ms, d AS deadline_s FROM (VALUES ('pessimistic'), ('proportional'), ('optimistic'), ('exact')) a(q), (VALUES (0), (1), (10), (100)) b(l), (VALUES (5), (15), (30)) c(d)")(lambda s, d: policies.grid(s, DEFAULT))
+catalog.add("grid_cells", f"WITH {MINI_LOG_SQL} SELECT q AS queue_model, l AS latency_ms, d AS deadline_s, count(decision_id) AS logged FROM (VALUES ('pessimistic'), ('proportional'), ('optimistic'), ('exact')) a(q) CROSS JOIN (VALUES (0), (1), (10), (100)) b(l) CROSS JOIN (VALUES (5), (15), (30)) c(d) LEFT JOIN mini_log ON queue_model = q AND latency_ms = l AND deadline_s = d GROUP BY ALL")(
+    lambda s, d: policies.grid(s, DEFAULT).join(mini_log(s, d).groupBy("queue_model", *CELL).agg(F.count("decision_id").alias("logged")), ["queue_model", *CELL], "left").withColumn("logged", F.coalesce("logged", F.lit(0)))
+)
 
 
 @catalog.add("asof_book", f"WITH {book_sql()}, {B_SQL}, {DEC_SQL} SELECT instrument_id, date, decision_id, t0, sequence, bid_px, ask_px FROM ({asof_sql('(SELECT *, t0 AS ats FROM dec)', 'q.sequence, q.bid_px, q.ask_px')})")

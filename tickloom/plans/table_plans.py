@@ -25,7 +25,9 @@ catalog.add("scan_glob", "SELECT r_regionkey AS k, r_name AS name FROM region UN
     lambda s, d: s.read.parquet(f"{d}/[r]egion.parquet").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")).unionByName(s.read.parquet(f"{d}/[n]ation.parquet").select(F.col("n_regionkey").alias("k"), F.col("n_name").alias("name")))
 )
 catalog.add("available_days", f"WITH {l2_sql()} SELECT DISTINCT instrument_id, date FROM l2")(lambda s, d: l2_events(s, d).select(*KEYS).distinct())
-catalog.add("releases_calendar", f"WITH {RELEASES_SQL} SELECT * FROM releases")(lambda s, d: releases(s))
+catalog.add("releases_calendar", f"WITH {RELEASES_SQL}, {l2_sql()} SELECT r.date, r.time_et, r.event, r.ts_ns, count(l2.sequence) AS day_events FROM releases r LEFT JOIN l2 ON l2.date = r.date GROUP BY ALL")(
+    lambda s, d: releases(s).join(l2_events(s, d).groupBy("date").agg(F.count("sequence").alias("day_events")), "date", "left").withColumn("day_events", F.coalesce("day_events", F.lit(0)))
+)
 catalog.add("ordered_events", f"WITH {l2_sql('tied')} SELECT instrument_id, date, ts_event, sequence, price FROM l2 ORDER BY instrument_id, date, ts_event, sequence")(lambda s, d: l2_events(s, d, "tied").select(*KEYS, "ts_event", "sequence", "price").orderBy(*KEYS, "ts_event", "sequence"))
 catalog.add("project_cols", f"WITH {l2_sql()} SELECT instrument_id, ts_event, price FROM l2")(lambda s, d: l2_events(s, d).select("instrument_id", "ts_event", "price"))
 catalog.add("compact_types", f"WITH {l2_sql()} SELECT ts_event, sequence, price, CAST(size AS INTEGER) AS size, CAST(queue_pos AS INTEGER) AS queue_pos, CAST(CAST(price AS DOUBLE) / 2 AS FLOAT) AS half FROM l2")(
@@ -155,8 +157,9 @@ catalog.add("anti_roll_days", f"WITH {MINI_VOLUME_SQL}, {ROLL_SQL} SELECT DISTIN
     lambda s, d: (lambda v: v.select("date").distinct().join(quality.roll_days(v).filter("is_roll").select("date"), "date", "left_anti"))(mini_volume(s, d))
 )
 catalog.add("volume_shares", f"WITH {MINI_VOLUME_SQL} SELECT date, instrument_id, volume, round(volume / sum(volume) OVER (PARTITION BY date)::DOUBLE, 9) AS share FROM mini_volume")(lambda s, d: mini_volume(s, d).withColumn("share", F.round(F.col("volume") / F.sum("volume").over(Window.partitionBy("date")), 9)))
-catalog.add("trading_days", "SELECT CAST(d AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-03-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29')")(
-    lambda s, d: quality.trading_days(s, "2024-01-01", "2024-03-30", ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29"])
+HOLIDAYS = ("1995-01-02", "1995-12-25", "1996-01-01", "1996-12-25")
+catalog.add("trading_days", f"SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(range(min(CAST(o_orderdate AS DATE))::TIMESTAMP, max(CAST(o_orderdate AS DATE))::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS d FROM orders) WHERE isodow(d) <= 5 AND CAST(d AS DATE) NOT IN ({', '.join(f'DATE {h!r}' for h in HOLIDAYS)})")(
+    lambda s, d: quality.trading_days(read(s, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", list(HOLIDAYS))
 )
 
 # ------------------------------------------------------------------ scalars
