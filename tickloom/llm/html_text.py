@@ -193,14 +193,15 @@ def learn_weights(pages: DataFrame, html_col: str = "html", max_labelled: int =
             found = [x for page in batch.column(0).to_pylist() for x in count_classes(page)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["kind", "inside", "outside"])
 
-    labelled = pages.select(F.col(html_col).alias("html")).filter(F.rlike(F.col("html"), F.lit("(?i)<(article|main)")))
-    chosen = labelled.orderBy(F.xxhash64("html")).limit(max_labelled)
+    labelled = pages.select(F.col(html_col).alias("html")).filter(F.rlike(F.col("html"), F.lit("(?i)<(article|main)"))).withColumn("h", F.xxhash64("html"))
+    # Hashes alone are compared, so that no task gathers pages; copies of a page count once.
+    last = labelled.select("h").distinct().orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
+    chosen = labelled.filter(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min("html").alias("html")).select("html")
     counted = chosen.mapInArrow(rows, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    seen = F.col("inside") + F.col("outside")
-    named = counted.filter(~F.startswith("kind", F.lit("c.")))
-    words = counted.filter(F.startswith("kind", F.lit("c.")) & (seen >= EVIDENCE)).orderBy(seen.desc(), "kind").limit(MAX_CLASSES)
-    found = named.unionByName(words).collect()  # classes, not pages: at most two for each name in KNOWN, and the class words
-    return weights_from(sorted(tuple(r) for r in found))
+    found = [tuple(r) for r in counted.collect()]  # classes of max_labelled pages
+    words = sorted((x for x in found if x[0].startswith("c.") and x[1] + x[2] >= EVIDENCE), key=lambda x: (-x[1] - x[2], x[0]))
+    found = [x for x in found if not x[0].startswith("c.")] + words[:MAX_CLASSES]
+    return weights_from(sorted(found))
 
 
 def weights_from(counts: list[tuple[str, int, int]]) -> dict[str, float]:
