@@ -75,12 +75,10 @@ def split(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, Data
     """Rows of ``df`` whose hash in ``column`` may be in the filter, and those whose hash is not; null is not."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def maybe(hashes):
-        import pandas as pd
-
-        known = hashes.notna().to_numpy()
-        return pd.Series(known & contains(sent.value, hashes.fillna(0).to_numpy(dtype=np.int64)))
+    @F.arrow_udf("boolean")
+    def maybe(hashes: pa.Array) -> pa.Array:
+        known = hashes.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(known & contains(sent.value, hashes.fill_null(0).to_numpy(zero_copy_only=False)))
 
     return df.filter(maybe(F.col(column))), df.filter(~maybe(F.col(column)))
 

@@ -10,7 +10,6 @@ bytes themselves, so that colliding fingerprints never merge two texts.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,18 +98,18 @@ def _messages(n_owners: int):
     return send
 
 
-def _reply(group: pd.DataFrame) -> pd.DataFrame:
+def _reply(group: pa.Table) -> pa.Table:
     """One bitmap a message: set where a fingerprint came more than once."""
-    lists = [rice_decode(x) for x in group["coded"]]
+    lists = [rice_decode(x) for x in group.column("coded").to_pylist()]
     keys, counts = np.unique(np.concatenate(lists), return_counts=True)
     shared = keys[counts > 1]
     bitmaps = []
-    for own, twice in zip(lists, group["twice"], strict=True):
+    for own, twice in zip(lists, group.column("twice").to_pylist(), strict=True):
         at = np.minimum(np.searchsorted(shared, own), max(0, len(shared) - 1))
         hit = (shared[at] == own) if len(shared) else np.zeros(len(own), dtype=bool)
         hit |= np.unpackbits(np.frombuffer(twice, dtype=np.uint8), count=len(own)).astype(bool)
         bitmaps.append(np.packbits(hit).tobytes())
-    return pd.DataFrame({"sender": group["sender"], "owner": group["owner"], "bitmap": bitmaps})
+    return pa.table({"sender": group.column("sender"), "owner": group.column("owner"), "bitmap": pa.array(bitmaps, type=pa.binary())})
 
 
 def _receive(n_owners: int):
@@ -119,11 +118,11 @@ def _receive(n_owners: int):
     def read(batches):
         for batch in batches:
             found = []
-            for owner, coded, bitmap in zip(batch["owner"], batch["coded"], batch["bitmap"], strict=True):
+            for owner, coded, bitmap in zip(*(batch.column(c).to_pylist() for c in ("owner", "coded", "bitmap")), strict=True):
                 own = rice_decode(coded) + np.uint64(owner) * width
                 found.append(own[np.unpackbits(np.frombuffer(bitmap, dtype=np.uint8), count=len(own)).astype(bool)])
             keys = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-            yield pd.DataFrame({"fingerprint": keys.view(np.int64)})
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["fingerprint"])
 
     return read
 
@@ -139,9 +138,10 @@ def fingerprint_exchange(prints: DataFrame) -> DataFrame:
     """
     n_owners = max(partitions(prints.sparkSession), prints.count() // OWNER_KEYS + 1)
     sent = stored(prints.select("fingerprint").mapInArrow(_messages(n_owners), "sender long, owner long, coded binary, twice binary"), "messages")
-    replies = sent.groupBy("owner").applyInPandas(_reply, "sender long, owner long, bitmap binary")
+    # Written, so that no task has Python workers for both the replies and what is done with them.
+    replies = stored(sent.groupBy("owner").applyInArrow(_reply, "sender long, owner long, bitmap binary"), "replies")
     received = sent.select("sender", "owner", "coded").join(replies, ["sender", "owner"])
-    return received.mapInPandas(_receive(n_owners), "fingerprint long").distinct()
+    return received.mapInArrow(_receive(n_owners), "fingerprint long").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,7 +164,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     asked = stored(asked, "asked")
     bits = bloom.build(asked.select(F.xxhash64("sha").alias("h")), "h", bloom.block_count(asked.count(), FILTER_BYTES))
     texts = bloom.probe(rows.select("sha", "text", F.xxhash64("sha").alias("h")), "h", bits).join(asked, "sha").select("node", "text")
-    grams = stored(texts.mapInArrow(_grams, "node binary, grams binary").dropDuplicates(["node"]), "grams")
+    # One text a node before the shuffle, shingles behind it: no task has Python workers for both the filter and the shingles.
+    grams = stored(texts.dropDuplicates(["node"]).mapInArrow(_grams, "node binary, grams binary"), "grams")
     sets = lambda c: grams.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}"))
     return pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar, "a binary, b binary")
 
