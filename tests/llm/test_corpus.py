@@ -179,6 +179,51 @@ def test_near_texts_are_found():
     assert keys >= 0.98 * 300 and np.mean(np.array(bits) <= near_text.RADIUS) >= 0.98
 
 
+def near_in_pairs(pairs):
+    """Two texts a pair, alike to 0.803; texts of different pairs share a passage and are alike to 0.783 only."""
+    draw = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in draw.integers(0, 1 << 40, n)]
+    passage, rows = word(394), []
+    for i in range(pairs):
+        shared = word(14)
+        rows += [(2 * i + k, " ".join([*passage, "x", *shared, "y", *word(97)])) for k in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize("longest, held", [(4096, 16 << 20), (20, 16 << 20), (4096, 30_000)])
+def test_near_pairs_of_long_runs_are_all_found(spark, monkeypatch, longest, held):
+    rows = near_in_pairs(40)
+    sets = [set(near_text.shingles(near_text.words_of(t.encode()), near_text.WORDS).tolist()) for _, t in rows]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= near_text.SIMILARITY * (len(sets[a]) * len(sets[b])) ** 0.5
+    assert {(a, b) for a in range(80) for b in range(a + 1, 80) if alike(a, b)} == {(2 * i, 2 * i + 1) for i in range(40)}
+    monkeypatch.setattr(near_text, "LONG_RUN", longest)
+    monkeypatch.setattr(near_text, "RUN_BYTES", held)
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs_frame(spark, rows)).collect())
+    assert kept == list(range(0, 80, 2))
+
+
+def test_links_between_groups():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        pool = draw.integers(0, 1 << 60, 40, dtype=np.uint64)
+        sets = [np.unique(draw.choice(pool, draw.integers(1, 40))) for _ in range(150)]
+        given = draw.integers(0, 60, 150)
+        near = lambda x, y: len(np.intersect1d(x, y)) >= near_text.SIMILARITY * np.sqrt(len(x) * len(y))
+        edges = [(x, y) for x in range(150) for y in range(x + 1, 150) if near(sets[x], sets[y])]
+        found = near_text.links_between(given, sets)
+        assert set(found) <= set(edges)
+        same = [(int(np.flatnonzero(given == g)[0]), int(y)) for g in set(given.tolist()) for y in np.flatnonzero(given == g)[1:]]
+
+        def groups(links):
+            root = list(range(150))
+            for x, y in links:
+                a, b = root[x], root[y]
+                root = [a if r == b else r for r in root]
+            return {frozenset(i for i in range(150) if root[i] == r) for r in root}
+
+        assert groups([*found, *same]) == groups([*edges, *same])
+
+
 def test_links_do_not_depend_on_the_blocks(spark):
     draw = np.random.default_rng(2)
     fps = draw.integers(0, 1 << 64, 60, dtype=np.uint64)

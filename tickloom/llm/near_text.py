@@ -5,7 +5,9 @@ similarity of 0.8 or more, the similarity that SimHash estimates. That is up to
 22 differing bits of 64, too many for keys of bits. Texts are therefore
 compared where the least values of some hash functions over their shingles
 agree; fingerprints within these runs are held against each other by pivot
-distance tables, and the shingles of what is left are counted.
+distance tables, and the shingles of what is left are counted. A long run
+proposes only a tree of its pairs; if its texts are not all of one group by
+then, the shingles of every other pair of it are counted too.
 """
 
 from __future__ import annotations
@@ -22,11 +24,17 @@ from tickloom.llm.components import components
 WORDS, SEED, SIMILARITY = 5, 42, 0.8
 #: Bits that fingerprints at the least similarity differ by: 13.1 on average, more than 22 in 3 of 1000 pairs.
 RADIUS = 22
-#: Keys of a text, and least values that make a key: at a similarity of 0.8 a pair shares a key in 993 of 1000 cases.
+#: Bits that pairs of a short run may differ by: ten standard deviations more than the average at the least similarity.
+WIDE = 45
+#: Least values that make a key, and disjoint keys that all of them make.
 BANDS, ROWS = 14, 3
+#: Three sets of such keys over the same values, any two keys of which share one value at most: at a similarity of 0.8 a pair has no key in common in 1 to 3 of 10,000 cases.
+SHIFTS = ((0, 0), (1, 2), (3, 7))
 #: Longer runs of a key, as of texts that share a passage, are divided by MORE further keys of two least values each.
 LONG_RUN, MORE = 4096, 8
 FILTER_BYTES = 16 << 20
+#: Shingles of a run that one task holds; longer runs are looked at by pairs of blocks.
+RUN_BYTES = 16 << 20
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS + 2 * MORE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -76,6 +84,13 @@ def _joined(values: np.ndarray, size: int, salt: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def keys_of(least: np.ndarray) -> np.ndarray:
+    """The keys of a text from its least values."""
+    values = least[: BANDS * ROWS].reshape(BANDS, ROWS)
+    turned = (np.column_stack([values[:, 0], np.roll(values[:, 1], -a), np.roll(values[:, 2], -b)]) for a, b in SHIFTS)
+    return np.concatenate([_joined(x.ravel(), ROWS, 1 + BANDS * i) for i, x in enumerate(turned)])
+
+
 _SIGNED = "fp long, keys array<long>, more array<long>"
 
 
@@ -94,7 +109,7 @@ def signed(rows: DataFrame) -> DataFrame:
                 least = least_values(hashes)
                 node.append(blake2b(b" ".join(words), digest_size=16).digest())
                 fp.append(fingerprint_of(hashes))
-                keys.append(_joined(least[: BANDS * ROWS], ROWS, 1) if words else [])
+                keys.append(keys_of(least) if words else [])
                 more.append(_joined(least[BANDS * ROWS :], 2, 1000) if words else [])
             columns = [pa.array(node, type=pa.binary()), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), *(pa.array(x, type=pa.list_(pa.int64())) for x in (keys, more))]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], [*(f.name for f in kept), "node", "fp", "keys", "more"])
@@ -103,6 +118,8 @@ def signed(rows: DataFrame) -> DataFrame:
 
 
 def _pairs(longest: int | None):
+    """Proposed pairs of sorted runs, and the members of long runs (``b`` null, with ``key``)."""
+
     def rows(batches):
         def out(a, b, key):
             return pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary()), pa.array(key, type=pa.int64())], ["a", "b", "key"])
@@ -111,14 +128,16 @@ def _pairs(longest: int | None):
             if part_of_long:
                 yield out(nodes.tolist(), [None] * len(nodes), keys)
                 continue
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            size = np.diff(np.r_[first, len(keys)])
+            size = np.repeat(size, size)
+            long = size > min(pivots.SHORT_RUN, longest or pivots.SHORT_RUN)
+            for at in range(0, int(long.sum()), 1 << 16):
+                part = np.flatnonzero(long)[at : at + (1 << 16)]
+                yield out(nodes[part].tolist(), [None] * len(part), keys[part])
             if longest is not None:
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                size = np.diff(np.r_[first, len(keys)])
-                long = np.repeat(size > longest, size)
-                if long.any():
-                    yield out(nodes[long].tolist(), [None] * int(long.sum()), keys[long])
-                    keys, fps, nodes = keys[~long], fps[~long], nodes[~long]
-            i, j = pivots.near_in_runs(keys, fps.view(np.uint64), RADIUS)
+                keys, fps, nodes = (x[size <= longest] for x in (keys, fps, nodes))
+            i, j = pivots.near_in_runs(keys, fps.view(np.uint64), RADIUS, WIDE)
             for at in range(0, len(i), 1 << 16):
                 part = slice(at, at + (1 << 16))
                 yield out(nodes[i[part]].tolist(), nodes[j[part]].tolist(), np.zeros(len(i[part]), dtype=np.int64))
@@ -131,14 +150,18 @@ def _in_runs(keyed: DataFrame, longest: int | None) -> DataFrame:
     return keyed.select("key", "fp", "node").repartition(n, "key").sortWithinPartitions("key", "fp", "node").mapInArrow(_pairs(longest), "a binary, b binary, key long")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of ``nodes`` (``node``, ``fp``, ``keys``, ``more``) that share a key and are near by their fingerprints."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``a``, ``b``) of ``nodes`` (``node``, ``fp``, ``keys``, ``more``) that share a key and are near by their fingerprints, and the members (``run``, ``node``) of long runs, of which the pairs are a part only."""
     first = stored(_in_runs(nodes.select(F.explode("keys").alias("key"), "fp", "node"), LONG_RUN), "pairs")
-    long = first.filter("b IS NULL").select("key", F.col("a").alias("node"))
+    members = first.filter("b IS NULL").select("key", F.col("a").alias("node"))
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "run-sizes")
+    members = stored(members.join(sizes, "key"), "members")
+    long = members.filter(F.col("n") > LONG_RUN).select("key", "node")
     again = long.join(nodes.select("node", "fp", "more"), "node").select(F.col("key").alias("run"), F.explode("more").alias("value"), "fp", "node")
-    second = _in_runs(again.withColumn("key", F.xxhash64("run", "value")), None)
-    pairs = first.filter("b IS NOT NULL").unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.distinct()
+    second = stored(_in_runs(again.withColumn("key", F.xxhash64("run", "value")), None), "pairs")
+    pairs = first.unionByName(second).filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    runs = members.filter(F.col("n") <= LONG_RUN).select(F.col("key").alias("run"), "node").unionByName(second.filter("b IS NULL").select(F.col("key").alias("run"), F.col("a").alias("node")))
+    return pairs.distinct(), runs
 
 
 def _similar(batches):
@@ -158,18 +181,80 @@ def _grams(batches):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(grams, type=pa.binary())], ["node", "grams"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """``pairs`` whose shingles are similar enough; ``nodes`` has the ``sha`` of one text of each node, ``rows`` has ``sha`` and ``text``."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sha"), "node")
-    asked = stored(asked, "asked")
+def grams_of(asked: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Shingle sets (``grams``) of the ``asked`` nodes; ``nodes`` has the ``sha`` of one text of each node, ``rows`` has ``sha`` and ``text``."""
+    asked = stored(asked.distinct().join(nodes.select("node", "sha"), "node"), "asked")
     bits = bloom.build(asked.select(F.xxhash64("sha").alias("h")), "h", bloom.block_count(asked.count(), FILTER_BYTES))
     texts = bloom.probe(rows.select("sha", "text", F.xxhash64("sha").alias("h")), "h", bits).join(asked, "sha").select("node", "text")
     # One text a node before the shuffle, shingles behind it: no task has Python workers for both the filter and the shingles.
-    grams = stored(texts.dropDuplicates(["node"]).mapInArrow(_grams, "node binary, grams binary"), "grams")
+    return stored(texts.dropDuplicates(["node"]).mapInArrow(_grams, "node binary, grams binary"), "grams")
+
+
+def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """``pairs`` whose shingles are similar enough."""
     sets = lambda c: grams.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}"))
     return pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "grams_a", "grams_b").mapInArrow(_similar, "a binary, b binary")
 
 
+def links_between(group: np.ndarray, grams: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Similar pairs of texts (places), enough to connect all texts that similar pairs connect; texts of one ``group`` are connected before."""
+    size = np.array([len(x) for x in grams], dtype=np.int64)
+    _, ids = np.unique(np.concatenate(grams), return_inverse=True)
+    stop = np.cumsum(size)
+    start, group, links = stop - size, group.copy(), []
+    seen = np.zeros(int(ids.max()) + 1, dtype=bool)
+    rest = np.arange(len(grams))  # the texts that are still compared, in order
+    flat = ids
+    for x in range(len(grams)):
+        if len(rest) > 64 and x > rest[len(rest) // 2]:  # those behind x only
+            rest = rest[rest > x]
+            flat = ids[start[rest[0]] :] if len(rest) else ids[:0]
+        other = rest[(rest > x) & (group[rest] != group[x])]
+        other = other[np.minimum(size[other], size[x]) >= SIMILARITY**2 * np.maximum(size[other], size[x]) - 1e-9 * size[x]]
+        if not len(other):
+            continue
+        seen[ids[start[x] : stop[x]]] = True
+        base = len(ids) - len(flat)
+        hits = np.concatenate([[0], np.cumsum(seen[flat])])
+        both = hits[stop[other] - base] - hits[start[other] - base]
+        seen[ids[start[x] : stop[x]]] = False
+        for y in other[both >= SIMILARITY * np.sqrt(size[x] * size[other])].tolist():
+            if group[y] != group[x]:
+                links.append((x, y))
+                group[group == group[y]] = group[x]
+    return links
+
+
+def _links(batches):
+    for keys, roots, nodes, grams in (c for c, _ in pivots.whole_runs(batches)):
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in grams[a:b]]
+            found = links_between(np.unique(roots[a:b], return_inverse=True)[1], sets)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[a + x] for x, _ in found], type=pa.binary()), pa.array([nodes[a + y] for _, y in found], type=pa.binary())], ["a", "b"])
+
+
+def missed(runs: DataFrame, roots: DataFrame, grams: DataFrame) -> DataFrame:
+    """Similar pairs of long runs (``run``, ``node``) that connect what ``roots`` (``node``, ``root``) leaves apart.
+
+    Runs of one group are done; of runs with the same members one is looked at.
+    Where the shingles of a run are more than a task should hold, its members
+    are dealt to blocks and every pair of blocks is looked at.
+    """
+    spark = runs.sparkSession
+    named = runs.join(roots, "node", "left").select("run", "node", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    named = stored(named.join(grams.select("node", F.length("grams").alias("bytes")), "node"), "run-members")
+    told = named.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.sum("bytes").alias("bytes"))
+    chosen = stored(told.filter("lo <> hi").groupBy("n", "x", "y").agg(F.min("run").alias("run"), F.max("bytes").alias("all")), "mixed-runs")
+    blocks = F.ceil(F.col("all") / RUN_BYTES).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("own")) | (F.col("blocks") == 1))
+    dealt = named.join(chosen.select("run", blocks.alias("blocks")), "run").withColumn("own", own).select("run", "root", "node", "own", F.explode(others).alias("other"))
+    dealt = dealt.select(F.xxhash64("run", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "root", "node")
+    rows = dealt.join(grams, "node").select("key", "root", "node", "grams")
+    return rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_links, "a binary, b binary")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-equal texts, the smallest id.
 
@@ -187,8 +272,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Rows of one node have equal fingerprints and keys.
     nodes = prints.groupBy("node").agg(F.min(own).alias("best"), F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("fp", "keys", "more")))
     nodes = stored(nodes.select("node", "best", F.col("best.sha").alias("sha"), "n", "fp", "keys", "more"), "nodes")
-    pairs = stored(candidates(nodes), "candidates")
-    roots = components(stored(verified(pairs, nodes, rows.select("sha", "text")), "similar"))
+    pairs, runs = candidates(nodes)
+    pairs, runs = stored(pairs, "candidates"), stored(runs, "runs")
+    grams = grams_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(runs.select("node")), nodes, rows.select("sha", "text"))
+    similar = stored(verified(pairs, grams), "similar")
+    roots = components(similar)
+    more = stored(missed(runs, roots, grams), "missed")
+    if more.take(1):
+        roots = components(similar.unionByName(more))
     linked = nodes.select("node", "best", "n").join(roots, "node", "left").filter("root IS NOT NULL OR n > 1")
     linked = stored(linked.select("node", "best", F.coalesce("root", "node").alias("root")), "linked")
     best = stored(linked.groupBy("root").agg(F.min("best").alias("stays")), "stays")  # written, so that a large group is divided

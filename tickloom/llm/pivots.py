@@ -47,8 +47,14 @@ def _grow(fps: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, in
     return links
 
 
-def near_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of near pairs with equal keys, all of a short run and enough to connect a long one; equal keys stand together."""
+def near_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int, short_radius: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs with equal keys, all of a short run and enough to connect a long one; equal keys stand together.
+
+    Where nearness decides, a connected run is all there is to know. Where it
+    only proposes pairs for another test, pairs of a long run that are left out
+    here may pass that test, and the caller looks at such runs once more; the
+    pairs of short runs may then be up to ``short_radius`` apart.
+    """
     table = distance_table(fps)
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.r_[first, len(keys)])
@@ -59,7 +65,7 @@ def near_in_runs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
         i = np.flatnonzero((keys[lag:] == keys[:-lag]) & short[lag:]) if len(keys) > lag else np.zeros(0, dtype=int)
         if not len(i):
             break
-        i = i[near(fps, table, i, i + lag, radius)]
+        i = i[near(fps, table, i, i + lag, radius if short_radius is None else short_radius)]
         a.append(i)
         b.append(i + lag)
     for at, n in zip(first[long_runs].tolist(), sizes[long_runs].tolist(), strict=True):
