@@ -100,3 +100,13 @@ def test_as_of_over_parts_of_a_key(spark, keys):
     assert asked(joins.as_of_long) == asked(joins.as_of)
     assert joins.as_of_long(points, table.limit(0), ("k",), "at", "ts", "seq", ["v"]).filter("v IS NULL").count() == 900
     assert joins.as_of_long(points.limit(0), table, ("k",), "at", "ts", "seq", ["v"]).count() == 0
+
+
+def test_sums_do_not_multiply_rows(spark):
+    rows = spark.createDataFrame([(i % 3, x) for i, x in enumerate([0.1, -3e300, 5e-324, 1e-310, 2.0**-52, None, float("nan"), 7e22, -0.0])], "k int, x double")
+    plan = exact.sums(rows, ("k",), ("x",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # a value is one row up to the grouping
+    apart = exact._taken_apart(rows.filter("NOT isnan(x)"))
+    for r in apart.collect():
+        whole = sum(r[f"amount{i}"] << (max(max(r.top - i, exact.LEAST // exact.WIDTH) * exact.WIDTH, exact.LEAST) - exact.LEAST) for i in range(exact.PARTS))
+        assert whole / (1 << -exact.LEAST) == (r.x or 0.0)
