@@ -220,3 +220,22 @@ def test_series_are_summed_where_they_lie(spark):
     for g, own in plain.groupby("g"):
         up, down = own[own.y == 1].p.to_numpy(), own[own.y == 0].p.to_numpy()
         assert abs(aucs[g] - ((up[:, None] > down).mean() + (up[:, None] == down).mean() / 2)) < 1e-9
+
+
+def test_short_slices_are_folded_many_at_a_time(spark):
+    """Slices of twelve rows: a group for each block of them, and no frame that is summed up anew for each slice."""
+    draw, rows = random.Random(5), []
+    for i in range(600):
+        rows.append((i, draw.choice([ADD, ADD, CANCEL, MODIFY, TRADE, CLEAR if i % 90 == 50 else ADD]), draw.choice([BID, ASK]), 1000 + draw.randint(-4, 4), draw.choice([1, 3, 8])))
+    want = [(r[0], r[1], r[2], r[3]) for r in plain(rows)]
+    action, side, price, size = (np.array(x) for x in list(zip(*rows, strict=True))[1:])
+    part, known = np.arange(600) // 12, np.ones(600, dtype=bool)
+    cut = book.sliced(events(spark, rows), 12)
+    opening = book.opening_levels(book.slice_effects(cut, 12))
+    assert "rowframe, 1, unboundedfollowing" not in opening._jdf.queryExecution().optimizedPlan().toString().lower()
+    held = np.array([(r.slice, r.book_side, r.price, r.size) for r in opening.collect() if r.book_side]).T
+    found = ladder.fold_slices(action, side, price, size, known, 10, DEFAULT.price_window, int(price[0]), part, tuple(held))
+    px = lambda name: [int(p) if has else None for p, has in zip(found[f"{name}_px"], found[f"has_{name}"], strict=True)]
+    assert list(zip(px("bid"), px("ask"), found["book_flags"].tolist(), found["bid_depth"].tolist(), strict=True)) == want
+    plan = book.book_frame(events(spark, rows), DEFAULT.override(slice_rows=12))._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" in plan
