@@ -52,3 +52,24 @@ def test_orders_fill_as_followed_by_hand(found, name):
         assert (r.entry_px, r.ahead0, r.arrival_mid) == (100, 20.0, 100.5)
         assert (r.fill_ts // MS if r.filled else None) == filled.get(model), model
         assert r.passive_px == (100 if r.filled else r.end_px)
+
+
+def test_orders_are_followed_once_for_all_deadlines(spark, monkeypatch):
+    """One fold to the longest deadline, one book, and the same rows as from each deadline by itself."""
+    from pyspark.sql import functions as F
+
+    from tickloom.plans import sim_plans
+
+    books, asked, real = [], [], simulator.folded
+    kept = sim_plans.books
+    monkeypatch.setattr(sim_plans, "books", lambda s, d: (books.append(d), kept(s, d))[1])
+    monkeypatch.setattr(simulator, "folded", lambda runs: (asked.append(runs.select("decision_id").count()), real(runs))[1])
+    together = sim_plans.checkpoints(spark, "/root/testdata/sf0.001")
+    assert len(books) == 1
+    cells = together.filter("j = 0 AND queue_model = 'exact'").count()
+    assert asked == [cells // len(sim_plans.SIM.deadlines_s)]
+    frame, made = kept(spark, "/root/testdata/sf0.001"), sim_plans.made(spark, "/root/testdata/sf0.001")
+    short = sim_plans.SIM.override(deadlines_s=(1,))
+    apart = simulator.checkpoint_rows(simulator.simulate(made, frame, short), frame, short)
+    same = together.filter(F.col("deadline_s") == 1).select(*apart.columns)
+    assert sorted(map(repr, apart.collect())) == sorted(map(repr, same.collect()))
