@@ -84,3 +84,31 @@ def test_it_learns_and_scores_missing_values(spark):
     assert [r.p for r in model.predict(odd, "p").collect()] == [0.5, 0.5]
     with pytest.raises(ValueError, match="both labels"):
         leafwise.fit(frame.filter("y = 1"), NAMES, ("id",))
+
+
+def test_a_row_costs_a_few_array_steps():
+    """Rows of bins are read from their buffer, also from the middle of a column, and sums equal those by plain loops."""
+    draw = np.random.default_rng(6)
+    bins = draw.integers(0, 16, (500, 3)).astype(np.uint8)
+    column = leafwise.packed(bins)
+    assert [x.as_py() for x in column] == [x.tobytes() for x in bins]
+    assert (leafwise.unpacked(column.slice(7, 90), 3) == bins[7:97]).all() and leafwise.unpacked(column.slice(0, 0), 3).shape == (0, 3)
+    tree = leafwise.Tree()
+    for node, feature, cut in ((0, 0, 7), (2, 1, 3), (1, 2, 11), (4, 0, 12)):
+        tree.split(node, feature, cut)
+
+    def plain(row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = tree.left[at] + int(row[tree.feature[at]] > tree.cut[at])
+        return at
+
+    leaf = tree.leaf_of(bins)
+    assert leaf.tolist() == [plain(x) for x in bins]
+    total, weight, slot = np.zeros((2, 3, 16, 2)), draw.random(500), leaf % 2
+    leafwise.added(total, bins, slot, (weight, np.ones(500)))
+    want = np.zeros_like(total)
+    for s, row, w in zip(slot, bins, weight, strict=True):
+        for f in range(3):
+            want[s, f, row[f]] += (w, 1)
+    assert (total == want).all()
