@@ -412,3 +412,60 @@ def test_one_component_of_most_fingerprints(spark):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert {i: c for i, (_, c) in got.items()} == {i: find(i) for i in ids}
+
+
+# Packing: terms of many documents at once, words cut without look-ahead
+
+
+def test_heaviest_terms_equal_the_plain_definition():
+    import numpy as np
+
+    from tickloom.llm import packing
+
+    draw = np.random.default_rng(8)
+    docs = [draw.zipf(1.3, k).clip(max=300).astype("<u4") for k in draw.integers(0, 60, 700)] + [np.array([70_000, 9], dtype="<u4")] * 2
+    counts = packing.Counts.of(docs)
+    expected = []
+    for d in docs:
+        terms, tf = np.unique(d, return_counts=True)
+        known = counts.df[terms] > 1
+        terms, weight = terms[known], counts.weights(terms[known], tf[known], len(d))
+        expected.append(([int(t) for _, t in sorted(zip(-weight, terms, strict=True))] + [-1] * 3)[:3])
+    assert packing.heaviest(docs, counts).tolist() == expected
+
+
+def test_terms_are_counted_in_one_pass(spark):
+    import numpy as np
+
+    from tickloom.llm import packing
+
+    docs = [[5, 5, 7], [], [7, 70_000], [200_000], [5]]
+    tokens = spark.createDataFrame([(np.array(d, dtype="<u4").tobytes(),) for d in docs], "ids binary").repartition(3)
+    counts = packing.count_terms(tokens)
+    assert (counts.n, counts.mean) == (4, 7 / 4)
+    assert {int(t): int(counts.df[t]) for t in np.flatnonzero(counts.df)} == {5: 2, 7: 2, 70_000: 1, 200_000: 1}
+    empty = packing.count_terms(tokens.limit(0))
+    assert (empty.n, empty.mean, empty.df.sum()) == (0, 0, 0)
+
+
+def test_words_are_cut_alike_without_look_ahead():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tickloom.llm import tokens
+
+    assert public_tokenizers.PATTERN.endswith(tokens.BEHIND)
+    model = Tokenizer.from_file(public_tokenizers.path(tokens.ADDED))
+    draw = random.Random(9)
+    parts = [" ", "\n", "\t", "\r\n", "\x85", "\xa0", " ", "　", "\x1c", "\x1f", "​", "'s", "'Ve", "a", "Zürich", "日本", "12", "½", "!?", "_", "\0", "\U0001f600", "é"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(3000)]
+    texts += [draw.choice([" ", "", "\n"]) + "".join(draw.choice(parts[11:]) + draw.choice(parts[:10]) for _ in range(9)) for _ in range(2000)]
+    with_added, plain = tokens.encoder(tokens.VOCABULARY, tokens.ADDED), tokens.encoder()
+    for text in texts:
+        ids = model.encode(text, add_special_tokens=False).ids
+        assert with_added(text).tolist() == ids and plain(text).tolist() == ids, repr(text)
+    marked = "a<|endoftext|>b <|unused|> c"
+    assert with_added(marked).tolist() == model.encode(marked, add_special_tokens=False).ids
+    assert 50256 not in plain(marked) and max(plain(marked)) < 50257

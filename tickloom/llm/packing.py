@@ -53,6 +53,14 @@ class Counts:
         return Counts(len(docs), np.bincount(seen), sum(map(len, docs)) / max(1, len(docs)))
 
 
+def _terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and how often it has it, of all terms of all documents by document and term; one sort for all."""
+    key = np.sort(np.repeat(np.arange(len(docs)), [len(d) for d in docs]) << 32 | np.concatenate(docs))
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    key, tf = key[first], np.diff(first, append=len(key))
+    return key >> 32, key & 0xFFFFFFFF, tf
+
+
 class Index:
     """BM25 postings of the documents of one shard; terms are token ids.
 
@@ -62,11 +70,8 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], counts: Counts):
         self.n = n = len(docs)
-        found = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([len(t) for t, _ in found])
-        term, tf = (np.concatenate([x[i] for x in found]).astype(np.int64) for i in (0, 1))
-        doc = np.repeat(np.arange(n), sizes)
-        weight = counts.weights(term, tf, np.repeat([len(d) for d in docs], sizes))
+        doc, term, tf = _terms(docs)
+        weight = counts.weights(term, tf, np.array([len(d) for d in docs])[doc])
         own = np.bincount(term)
         shared = own[term] > 1
         term, doc, weight = term[shared], doc[shared], weight[shared]
@@ -80,15 +85,16 @@ class Index:
         names, term = np.unique(term, return_inverse=True)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.start = np.r_[0, np.cumsum(np.bincount(term, minlength=len(names)))]
+        self.size = np.bincount(term, minlength=len(names))
+        self.start = np.cumsum(self.size) - self.size
         order = np.argsort(doc, kind="stable")
         self.terms, self.first = term[order], np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 scores of all documents for all terms of document ``seed``."""
         terms = self.terms[self.first[seed] : self.first[seed + 1]]
-        begin, size = self.start[terms], self.start[terms + 1] - self.start[terms]
-        at = np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(terms) else np.zeros(0, dtype=np.int64)
+        size, end = self.size[terms], np.cumsum(self.size[terms])
+        at = np.repeat(self.start[terms] + size - end, size) + np.arange(end[-1] if len(end) else 0)
         return self.common[seed] + np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
 
 
@@ -199,24 +205,45 @@ def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def count_terms(tokens: DataFrame) -> Counts:
-    """Counts over the ``ids`` of all documents; what reaches the driver is one number a term of the vocabulary."""
+    """Counts over the ``ids`` of all documents, in one pass; what reaches the driver is one number a term of the vocabulary, and two more."""
 
     def rows(batches):
-        df = np.zeros(1 << 16, dtype=np.int64)
+        df, n, size = np.zeros(1 << 16, dtype=np.int64), 0, 0
         for batch in batches:
             for ids in _ids(batch):
-                terms = np.unique(ids)
-                if len(terms) and terms[-1] >= len(df):
-                    df = np.pad(df, (0, int(terms[-1]) + 1))
-                df[terms] += 1
+                if not len(ids):
+                    continue
+                if (top := int(ids.max())) >= len(df):
+                    df = np.pad(df, (0, top + 1))
+                df[ids] += 1  # once a term, however often the document has it
+                n, size = n + 1, size + len(ids)
         terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, [-1, -2])), pa.array(np.append(df[terms], [n, size]))], ["term", "df"])
 
     found = tokens.select("ids").mapInArrow(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df = np.zeros(1 + max(found.column("term").to_pylist(), default=0), dtype=np.int64)
-    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
-    n, size = tokens.filter(F.octet_length("ids") > 0).agg(F.count(F.lit(1)), F.sum(F.octet_length("ids") / 4)).first()
-    return Counts(n, df, (size or 0) / max(1, n))
+    term, number = found.column("term").to_numpy(), found.column("df").to_numpy()
+    df = np.zeros(1 + max(0, term.max(initial=0)), dtype=np.int64)
+    df[term[term >= 0]] = number[term >= 0]
+    n, size = (int(number[term == k].sum()) for k in (-1, -2))
+    return Counts(n, df, size / max(1, n))
+
+
+def heaviest(docs: list[np.ndarray], counts: Counts) -> np.ndarray:
+    """The ``PLACED_BY`` terms that weigh most in each document among those of two documents or more, the smaller of equal ones first, -1 for none."""
+    heavy = np.full((len(docs), PLACED_BY), -1, dtype=np.int64)
+    doc, term, tf = _terms(docs)
+    known = counts.df[term] > 1
+    doc, term, tf = doc[known], term[known], tf[known]
+    weight = counts.weights(term, tf, np.array([len(d) for d in docs])[doc])
+    for place in range(PLACED_BY if len(doc) else 0):
+        start = np.flatnonzero(np.diff(doc, prepend=-1))
+        most = np.maximum.reduceat(weight, start)
+        at = np.flatnonzero(weight == np.repeat(most, np.diff(start, append=len(doc))))
+        at = at[np.flatnonzero(np.diff(doc[at], prepend=-1))]
+        at = at[weight[at] >= 0]
+        heavy[doc[at], place] = term[at]
+        weight[at] = -1
+    return heavy
 
 
 def placed(tokens: DataFrame, counts: Counts) -> DataFrame:
@@ -227,14 +254,8 @@ def placed(tokens: DataFrame, counts: Counts) -> DataFrame:
     def rows(batches):
         own = sent.value
         for batch in batches:
-            heavy = np.full((batch.num_rows, PLACED_BY), -1, dtype=np.int64)
-            for i, ids in enumerate(_ids(batch)):
-                terms, tf = np.unique(ids, return_counts=True)
-                known = own.df[terms] > 1
-                terms, tf = terms[known], tf[known]
-                weight = own.weights(terms, tf, len(ids))
-                best = terms[np.lexsort((terms, -weight))[:PLACED_BY]]
-                heavy[i, : len(best)] = best
+            docs = _ids(batch)
+            heavy = np.concatenate([heaviest(docs[a : a + SHARD_DOCS], own) for a in range(0, len(docs), SHARD_DOCS)] or [np.zeros((0, PLACED_BY), dtype=np.int64)])
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(heavy[:, i])) for i in range(PLACED_BY))], [*batch.schema.names, *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema.fields)
