@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm import substring_dedup
+from tickloom.llm import quality, substring_dedup
 
 
 def test_anchors_are_dealt_evenly_to_their_owners():
@@ -35,3 +35,34 @@ def test_a_string_of_many_contexts_goes_to_its_bucket_once():
     spans = substring_dedup._apply(left, back).set_index("id")
     assert sorted(spans.index) == list(range(101, 100 + n))  # all but the first lose the common bytes
     assert {(tuple(a), tuple(b)) for a, b in zip(spans["starts"], spans["stops"], strict=True)} == {((5,), (60,))}
+
+
+def test_quality_learns_from_all_pairs_of_all_labels(spark):
+    from pyspark.sql import functions as F
+
+    draw, n = np.random.default_rng(8), 300
+    words = ["Anna", "tree,", "stone", "river!", "###", "42", "X", "be", "of."]
+    texts = [" ".join(draw.choice(words, draw.integers(3, 40), p=draw.dirichlet(np.ones(len(words))))) for _ in range(n)]
+    x = np.array([quality.features(t) for t in texts])
+    y = (x[:, 2] + 0.3 * draw.normal(size=n) * x[:, 2].std() < np.median(x[:, 2])).astype(int)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    model = quality.train(docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"))
+    scale = x.std(0)
+    z = (x - x.mean(0)) / np.where(scale < 1e-9, 1, scale)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])  # every pair
+    w = model["weights"]
+    gradient = lambda w: diff.T @ (-1 / (1 + np.exp(diff @ w))) / len(diff) + quality.RIDGE * w
+    assert np.abs(gradient(w)).max() < 1e-8
+    assert np.abs(gradient(quality.fit_pairs(x, y)["weights"])).max() > 1e-4  # drawn pairs, as before
+    assert ((np.array([(z[i] * w).sum() for i in range(n)]) < model["threshold"]).sum()) == (y == 0).sum()
+    # The sums at the nodes are those of all pairs, wherever the scores lie.
+    big = z @ (30 * draw.normal(size=z.shape[1]))
+    loss, slope, curve = quality.pair_sums(quality.node_sums(z[y == 1], big[y == 1]), quality.node_sums(z[y == 0], big[y == 0]), z.shape[1])
+    u = (big[y == 1][:, None] - big[y == 0][None]).ravel()
+    p = 1 / (1 + np.exp(u))
+    assert np.isclose(loss, np.logaddexp(0, -u).mean(), rtol=1e-11)
+    assert np.allclose(slope, -diff.T @ p / len(u), rtol=1e-10, atol=1e-12) and np.allclose(curve, (diff * (p * (1 - p))[:, None]).T @ diff / len(u), rtol=1e-9, atol=1e-12)
+    # More labels than the 20,000 that were read before.
+    many = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("! "), (F.col("id") % 7).cast("int")), F.col("id").cast("string")).alias("text"))
+    seen = quality.train(many, many.select("doc_id", (F.col("doc_id") < 20_999).cast("int").alias("quality")))
+    assert np.isclose(seen["mean"][3], np.mean([quality.features("word " + "! " * (i % 7) + str(i))[3] for i in range(21_000)]), atol=1e-11) and np.abs(seen["weights"]).max() > 0
