@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm import quality, substring_dedup
+from tickloom.llm import near_text, quality, substring_dedup
 
 
 def test_anchors_are_dealt_evenly_to_their_owners():
@@ -66,3 +66,29 @@ def test_quality_learns_from_all_pairs_of_all_labels(spark):
     many = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("! "), (F.col("id") % 7).cast("int")), F.col("id").cast("string")).alias("text"))
     seen = quality.train(many, many.select("doc_id", (F.col("doc_id") < 20_999).cast("int").alias("quality")))
     assert np.isclose(seen["mean"][3], np.mean([quality.features("word " + "! " * (i % 7) + str(i))[3] for i in range(21_000)]), atol=1e-11) and np.abs(seen["weights"]).max() > 0
+
+
+def test_near_texts_without_a_key_in_common_are_found(spark):
+    rows = []
+    for i, seed in enumerate((21741, 45026)):  # of 60,000 such pairs the two that share no key
+        words = [f"w{x}" for x in np.random.default_rng(seed).integers(0, 1 << 40, 72)]
+        rows += [(10 * i, " ".join(words[:61])), (10 * i + 1, " ".join([*words[:50], *words[61:]])), (10 * i + 2, " ".join(words[40:]))]
+        sets = [np.unique(near_text.shingles(near_text.words_of(t.encode()), near_text.WORDS)) for _, t in rows[-3:]]
+        keys = [near_text.keys_of(near_text.least_values(x)) for x in sets]
+        assert len(np.intersect1d(sets[0], sets[1])) == 46 >= 0.8 * 57 and not len(np.intersect1d(keys[0], keys[1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in near_text.keep_one(docs).collect()) == [0, 2, 10, 12]  # 1 and 11 stayed before
+
+
+def test_near_sets_have_a_first_shared_shingle_in_common(spark):
+    draw = np.random.default_rng(6)
+    everything = np.full((1 << 6, 8), 0xFFFFFFFF, dtype=np.uint32)  # a filter that passes all: nothing is told apart
+    for _ in range(2000):
+        n, m = draw.integers(1, 60, 2)
+        pool = draw.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(np.r_[pool[: draw.integers(0, n + 1)], pool[n:]])
+        if len(np.intersect1d(x, y)) >= near_text.SIMILARITY * np.sqrt(len(x) * len(y)):
+            assert len(np.intersect1d(near_text.first_shared(x, everything), near_text.first_shared(y, everything)))
+    texts = [(f"a{i} b{i} c{i} d{i} e{i} f{i} x y z u v w",) for i in range(50)]
+    shared = {r.h for r in near_text.shared_shingles(spark.createDataFrame(texts, "text string").repartition(3)).collect()}
+    assert shared == set(substring_dedup._filter_key(np.unique(near_text.shingles(b"x y z u v w".split(), near_text.WORDS)) >> np.uint64(16)).tolist())

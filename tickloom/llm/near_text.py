@@ -8,6 +8,12 @@ agree; fingerprints within these runs are held against each other by pivot
 distance tables, and the shingles of what is left are counted. A long run
 proposes only a tree of its pairs; if its texts are not all of one group by
 then, the shingles of every other pair of it are counted too.
+
+What keys and fingerprints overlook is found last, without chance. A text near
+another one shares 0.64 of its shingles with it at least, so the rest of its
+shingles and one more hold a shared one. Shingles that no other text has are
+told by a coded exchange; few texts have 0.64 of the others. The first of these,
+by their hash, make runs, and runs of several groups are looked at as above.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm import bloom, pivots, verdicts
+from tickloom.llm import bloom, pivots, substring_dedup, verdicts
 from tickloom.llm.common import partitions, stored
 from tickloom.llm.components import components
 
@@ -35,6 +41,10 @@ LONG_RUN, MORE = 4096, 8
 FILTER_BYTES = 16 << 20
 #: Shingles of a run that one task holds; longer runs are looked at by pairs of blocks.
 RUN_BYTES = 16 << 20
+#: Shingles that are coded at once, and text whose shingles one owner decodes on average.
+MESSAGE_KEYS, OWNER_TEXT = 1 << 20, 8 << 20
+#: Least share of its shingles that a text has in common with a near one.
+COMMON = SIMILARITY**2
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS + 2 * MORE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -255,6 +265,66 @@ def missed(runs: DataFrame, roots: DataFrame, grams: DataFrame) -> DataFrame:
     return rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_links, "a binary, b binary")
 
 
+def shared_shingles(rows: DataFrame) -> DataFrame:
+    """Filter keys (``h``) of the shingles that two or more of ``rows`` (``text``) have."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_owners = max(partitions(rows.sparkSession), size // OWNER_TEXT + 1)
+    width = np.uint64((1 << 48) // n_owners + 1)
+    _, receive = substring_dedup._exchange(n_owners)
+
+    def send(batches):
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.unique(shingles(words_of(text.as_buffer().to_pybytes()), WORDS) >> np.uint64(16)))
+                n += len(held[-1])
+                if n >= MESSAGE_KEYS:
+                    yield substring_dedup.messages(np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held]), width)
+                    held, n = [], 0
+        if n:
+            yield substring_dedup.messages(np.concatenate(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held]), width)
+
+    return rows.select("text").mapInArrow(send, "owner long, coded binary, many binary").groupBy("owner").applyInPandas(receive, "h long")
+
+
+def first_shared(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of sorted distinct shingles those that a near text has one of: the first of the shared ones; none if too few are shared."""
+    shared = hashes[bloom.contains(bits, substring_dedup._filter_key(hashes >> np.uint64(16)))]
+    least = int(np.ceil(COMMON * len(hashes) - 1e-6))
+    return shared[: max(0, len(shared) - least + 1)]
+
+
+def common_runs(rows: DataFrame) -> DataFrame:
+    """Runs (``run``, ``node``) of the texts of ``rows`` (``text``) such that near texts have a run in common."""
+    shared = stored(shared_shingles(rows), "shared")
+    sent = rows.sparkSession.sparkContext.broadcast(bloom.build(shared, "h", bloom.block_count(shared.count(), FILTER_BYTES)))
+
+    def found(batches):
+        from hashlib import blake2b
+
+        for batch in batches:
+            node, runs = [], []
+            for text in batch.column(0):
+                words = words_of(text.as_buffer().to_pybytes())
+                own = first_shared(np.unique(shingles(words, WORDS)), sent.value)
+                if len(own):
+                    node.append(blake2b(b" ".join(words), digest_size=16).digest())
+                    runs.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, type=pa.binary()), pa.array(runs, type=pa.list_(pa.int64()))], ["node", "runs"])
+
+    found = stored(rows.select("text").mapInArrow(found, "node binary, runs array<long>").dropDuplicates(["node"]), "first-shared")
+    return found.select(F.explode("runs").alias("run"), "node")
+
+
+def overlooked(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Near pairs that connect what ``roots`` (``node``, ``root``) leaves apart, from :func:`common_runs`."""
+    runs = common_runs(rows).join(roots, "node", "left").select("run", "node", F.xxhash64(F.coalesce("root", "node")).alias("root"))
+    runs = stored(runs, "common-runs")
+    mixed = runs.groupBy("run").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("run")
+    runs = stored(runs.join(stored(mixed, "mixed"), "run").select("run", "node"), "open-runs")
+    return stored(missed(runs, roots, grams_of(runs.select("node"), nodes, rows)), "overlooked")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-equal texts, the smallest id.
 
@@ -278,6 +348,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     similar = stored(verified(pairs, grams), "similar")
     roots = components(similar)
     more = stored(missed(runs, roots, grams), "missed")
+    if more.take(1):
+        similar = similar.unionByName(more)
+        roots = components(similar)
+    more = overlooked(rows.select("sha", "text"), nodes, roots)
     if more.take(1):
         roots = components(similar.unionByName(more))
     linked = nodes.select("node", "best", "n").join(roots, "node", "left").filter("root IS NOT NULL OR n > 1")
